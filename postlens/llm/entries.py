@@ -100,3 +100,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     got = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, distance=3)
     return got.select("doc_id", simhash.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
