@@ -107,3 +107,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    got = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
