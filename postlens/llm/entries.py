@@ -115,3 +115,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     got = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pst
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, words = pst.fit(docs.where(remainder("doc_id", 7) != 2))
+    return pst.score(docs, model, words).withColumn("held_out", remainder("doc_id", 7) == 2)

@@ -27,6 +27,29 @@ def l2_svm(gram: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return beta, float(beta.sum())
 
 
+def l2_svm_primal(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """(w, b) of the same problem, for fewer features than rows: memory goes with the features squared."""
+    k = x.shape[1]
+    active = np.ones(len(y), bool)
+    w, b = np.zeros(k), 0.0
+    for _ in range(rounds):
+        xa = x[active]
+        c = weight[active].astype(x.dtype)
+        hessian = np.empty((k + 1, k + 1))
+        hessian[:k, :k] = (xa * c[:, None]).T @ xa
+        hessian[:k, k] = hessian[k, :k] = c @ xa
+        hessian[k, k] = c.sum()
+        hessian[np.diag_indices(k + 1)] += ridge
+        right = np.append((c * y[active]) @ xa, c @ y[active])
+        solved = np.linalg.solve(hessian, right)
+        w, b = solved[:k], float(solved[k])
+        now = y * (x @ w.astype(x.dtype) + b) < 1
+        if (now == active).all() or not now.any():
+            break
+        active = now
+    return w, b
+
+
 def balanced(y: np.ndarray) -> np.ndarray:
     """Weights that give both signs of y the same total."""
     pos, n = max(1, int((y > 0).sum())), len(y)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import LOWER, append_columns, bounded_sample, checkpointed, pieces, small_batches, utf8
-from .linear import balanced, l2_svm, logistic, platt
+from .linear import balanced, l2_svm_primal, logistic, platt
 
 BITS, ORDERS = 18, (4, 5, 6)
 
@@ -82,7 +82,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     return checkpointed(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "id"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = 2500, features: int = 2048, alpha: float = 1.0, seed: int = 22) -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = 2000, features: int = 1536, alpha: float = 1.0, seed: int = 22) -> ToxicModel:
     """Fits on at most rows_per_class labelled rows of each class."""
     small_batches(docs.sparkSession)
     rows = sample(docs, labels, id_col, text_col, label_col, rows_per_class, seed)
@@ -125,16 +125,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     scale = float(np.sqrt((x**2).sum(1).mean())) or 1.0
     x /= scale
     y = np.where(got["y"].to_numpy() == 1, 1.0, -1.0)
-    gram = (x @ x.T).astype(np.float64)
     # margins for the curve come from the other half of the sample, else they are too sure
     half = np.arange(len(y)) % 2 == 0
     margin = np.zeros(len(y))
     for a, b in ((half, ~half), (~half, half)):
-        beta, bias = l2_svm(gram[np.ix_(a, a)], y[a], balanced(y[a]), ridge=0.1)
-        margin[b] = gram[np.ix_(b, a)] @ beta + bias
+        w, bias = l2_svm_primal(x[a], y[a], balanced(y[a]), ridge=0.1)
+        margin[b] = x[b] @ w + bias
     slope, shift = platt(margin, y)
-    beta, bias = l2_svm(gram, y, balanced(y), ridge=0.1)
-    weight = (beta @ x) * r / scale
+    w, bias = l2_svm_primal(x, y, balanced(y), ridge=0.1)
+    weight = w * r / scale
     return ToxicModel(table, slope * weight, slope * bias + shift)
 
 
