@@ -124,3 +124,11 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model, words = pst.fit(docs.where(remainder("doc_id", 7) != 2))
     return pst.score(docs, model, words).withColumn("held_out", remainder("doc_id", 7) == 2)
+
+
+@query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_dedup
+
+    got = suffix_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
