@@ -27,6 +27,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -199,8 +200,6 @@ def measure(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id:
 
 def _joined(docs: DataFrame, fields: list[T.StructField]) -> DataFrame:
     """Unites the hits of the last block with those of earlier ones (columns named __x); narrow."""
-    import pandas as pd
-
     @F.pandas_udf("struct<n_hit: long, n_items: long, items: string, hit_words: binary>")
     def unite(bits: pd.Series, old_bits: pd.Series, items: pd.Series, old_items: pd.Series) -> pd.DataFrame:
         rows = []
@@ -225,8 +224,6 @@ def remove_spans(measured: DataFrame, text_col: str = "text", max_words: int = 0
     A span reaches from the first byte of its first word to the last of its
     last; what separates words around it stays.
     """
-    import pandas as pd
-
     @F.pandas_udf("string")
     def cut(text: pd.Series, bits: pd.Series, n: pd.Series) -> pd.Series:
         out = []

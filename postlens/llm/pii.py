@@ -27,8 +27,10 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import boosting
@@ -263,9 +265,6 @@ def find(docs: DataFrame, text_col: str = "text", precision: float = 0.98) -> Da
 
 def redact(found: DataFrame, text_col: str = "text") -> DataFrame:
     """found with each span of the text replaced by its kind in brackets; of overlapping spans the union, named by the first."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
