@@ -45,6 +45,8 @@ WINDOW, K = 100, 32
 SPAN = WINDOW - K  # an anchor is at most so far from its window's start
 #: Anchors or units that a task holds before it gives out what it has.
 HELD_ANCHORS, HELD_UNITS = 1 << 19, 60_000
+#: Units whose windows are told apart at once.
+BLOCK_UNITS = 8192
 _BASE = 0x9E3779B97F4A7C15
 _LAST = (1 << 63) - 1
 
@@ -164,12 +166,17 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
     return found.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(choose, "rk long, pos int")
 
 
+def ragged_index(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All indexes from start to start + size, span after span."""
+    total = np.cumsum(size)
+    return np.repeat(start - total + size, size) + np.arange(int(total[-1]))
+
+
 def ragged(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The bytes data[start : start + size] of all spans, end to end."""
-    total = np.cumsum(size)
-    if not len(size) or not total[-1]:
+    if not len(size) or not size.any():
         return np.zeros(0, np.uint8)
-    return data[np.repeat(start - total + size, size) + np.arange(int(total[-1]))]
+    return data[ragged_index(start, size)]
 
 
 class Units:
@@ -341,17 +348,22 @@ def removed_by(runs: list[dict[str, np.ndarray]]) -> tuple[np.ndarray, np.ndarra
             rows.append(starts[r] + i)
             shared.append(n)
         rows, shared = np.array(rows), np.array(shared)
-        near = np.concatenate([shared[1:] >= K, [False]])
-        near[1:] |= shared[1:] >= K
         c = {k: np.concatenate([r[k] for r in runs]) for k, _ in Units.FIXED}
         x = np.frombuffer(b"".join(s for one in strings for s in one), np.uint8)
         left = np.concatenate([r["left"] for r in runs])
         del strings
         x_size, left_size = c["x_size"].astype(np.int64), c["left_size"].astype(np.int64)
         x_at, left_at = np.cumsum(x_size) - x_size, np.cumsum(left_size) - left_size
-        pick = rows[near]
-        pick = pick[np.lexsort((c["start"][pick], c["order"][pick]))]
-        out += window_intervals(pick, c, x, x_at, x_size, left, left_at, left_size)
+        # units that share K bytes with a neighbour form groups; whole groups make blocks of bounded size
+        start = np.flatnonzero(np.concatenate([[True], shared[1:] < K]))
+        size = np.diff(np.append(start, len(rows)))
+        start, size = start[size > 1], size[size > 1]
+        total = np.cumsum(size)
+        for g in np.split(np.arange(len(size)), np.flatnonzero(np.diff(total // BLOCK_UNITS)) + 1):
+            if len(g):
+                pick = rows[ragged_index(start[g], size[g])]
+                pick = pick[np.lexsort((c["start"][pick], c["order"][pick]))]
+                out += window_intervals(pick, c, x, x_at, x_size, left, left_at, left_size)
     if not out:
         none = np.zeros(0, np.int64)
         return none, none, none
