@@ -1,11 +1,9 @@
-"""Queries over the driver tables, by name, with equivalent SQL."""
+"""Queries over the driver tables, by name, with equivalent SQL where SQL can express them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import evaluation_queries, text_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+_MODULES = (text_queries, evaluation_queries)
+QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
+SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
