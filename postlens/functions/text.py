@@ -64,6 +64,19 @@ def units(text: Column | str) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(UNIT), F.lit(0))
 
 
+def ngrams(items: Column, n: int, separator: str = "") -> Column:
+    """Joined n-grams of an array that is a column or a lambda's variable; empty if it is shorter.
+
+    Built by n - 1 element-wise joins with the shifted array: linear, unlike a slice for each place.
+    """
+    size = F.size(items)
+    out = items
+    for k in range(1, n):
+        left = F.greatest(size - k, F.lit(0))
+        out = F.zip_with(F.slice(out, 1, left), F.slice(items, k + 1, left), lambda a, b: F.concat(a, F.lit(separator), b) if separator else F.concat(a, b))
+    return out
+
+
 def opener(unit_array: Column) -> Column:
     return F.array_join(F.slice(unit_array, 1, 2), "")
 
@@ -72,8 +85,7 @@ def repeated_ratio(unit_array: Column, n: int = 4) -> Column:
     """Share of n-unit sequences that occur before in the text; no shuffle."""
 
     def of(u: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.size(u) - (n - 1)), lambda i: F.array_join(F.slice(u, i, n), "\u0001"))
-        return F.when(F.size(u) < n, F.lit(0.0)).otherwise(let(grams, lambda g: 1 - F.size(F.array_distinct(g)) / F.size(g)))
+        return F.when(F.size(u) < n, F.lit(0.0)).otherwise(let(ngrams(u, n, "\u0001"), lambda g: 1 - F.size(F.array_distinct(g)) / F.size(g)))
 
     return let(unit_array, of)
 
