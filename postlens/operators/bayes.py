@@ -67,11 +67,13 @@ def train(rows: DataFrame, low: int = NGRAM_MIN, high: int = NGRAM_MAX, max_feat
         raise ValueError("n-gram bounds")
     if max_features < 100 or alpha <= 0:
         raise ValueError("max_features must be 100 or more, alpha positive")
-    counts = token_counts(rows, low, high)
-    kept = counts.join(F.broadcast(vocabulary(counts, max_features).select("token")), "token", "left_semi")  # at most max_features rows
-    wide = kept.groupBy("token").pivot("label", list(CLASSES)).agg(F.sum("n")).fillna(0)
-    docs = rows.groupBy(F.col("gold_label").alias("label")).agg(F.count("*").alias("documents"))
-    return Bayes(docs, wide, low, high, alpha)
+    token = rows.select(F.col("gold_label").alias("label"), F.explode(grams(F.col("text"), low, high)).alias("token"))
+    wide = token.groupBy("token").agg(*[F.count_if(F.col("label") == c).alias(c) for c in CLASSES], F.count("*").alias("total")).orderBy(F.desc("total"), "token").limit(max_features)
+    spark = rows.sparkSession
+    # at most max_features rows: counted once, then a small table
+    kept = spark.createDataFrame(wide.select("token", *CLASSES).collect(), "token string, human long, ai long, mixed long")
+    docs = spark.createDataFrame(rows.groupBy(F.col("gold_label").alias("label")).agg(F.count("*").alias("documents")).collect(), "label string, documents long")
+    return Bayes(docs, kept, low, high, alpha)
 
 
 def parameters(model: Bayes) -> dict[str, tuple[float, float]]:

@@ -70,14 +70,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Dealt over all cores before heavy per-row work where a table came in fewer partitions."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
-
-
-def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(*columns)
+def documents(spark: SparkSession, sf_dir: str, *columns) -> DataFrame:
+    """Columns of documents; where the table has fewer files than there are cores, texts are dealt over all cores."""
+    d = table(spark, sf_dir, "documents")
+    got = d.select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return got.repartition(cores) if "text" in got.columns and len(d.inputFiles()) < cores else got
 
 
 def zh_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
