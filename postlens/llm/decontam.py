@@ -166,7 +166,7 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int):
 def measure(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with n_words, n_hit, n_items, items (comma-joined, sorted as strings), hit_words (packed bits of the words)."""
     fields = [T.StructField(c, T.LongType()) for c in ("n_words", "n_hit", "n_items")] + [T.StructField("items", T.StringType()), T.StructField("hit_words", T.BinaryType())]
-    kept = [c for c in docs.columns if c not in {f.name for f in fields}]
+    kept = [c for c in docs.columns if c.lower() not in {f.name for f in fields}]
     for number, block in enumerate(itertools.chain(item_blocks(items, item_id, item_text, block_words), [None])):
         if block is None and number:
             break
