@@ -34,6 +34,8 @@ FAMILIES = {
     "slavic": ("ru", "uk", "pl", "cs", "sk", "bg", "sr", "hr", "sl"),
 }
 BITS, ORDERS = 13, (1, 2, 3, 4)
+#: Slices of a language that are ranked apart when its sample is drawn.
+SLICES = 64
 SALTS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 
 _letters = LOWER.copy()
@@ -122,8 +124,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Fits on at most rows_per_lang rows of each language, those of smallest seeded hash."""
     small_batches(docs.sparkSession)
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "id"), "id")
-    chosen = labelled.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows_per_lang).select("id").distinct()
+    h = F.xxhash64(F.lit(seed), "id")
+    # first within slices of each language, so that no task meets a whole one; rows of least hash are among their slice's least
+    labelled = labelled.withColumns({"h": h, "slice": F.pmod(h, F.lit(SLICES))})
+    order = Window.partitionBy("lang", "slice").orderBy("h", "id")
+    few = labelled.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows_per_lang)
+    few = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("k") <= rows_per_lang)
+    chosen = few.select("id").distinct()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull())
     # chosen has at most rows_per_lang rows for each language, so it is small enough to broadcast
     sample = rows.join(F.broadcast(chosen), "id", "left_semi")
