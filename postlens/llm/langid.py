@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, append_columns, pieces, small_batches, utf8
+from .common import LOWER, append_columns, checkpointed, pieces, small_batches, utf8
 from .linear import balanced, l2_svm, logistic
 
 #: Languages by family. A language that is not listed is a family of its own.
@@ -34,8 +34,8 @@ FAMILIES = {
     "slavic": ("ru", "uk", "pl", "cs", "sk", "bg", "sr", "hr", "sl"),
 }
 BITS, ORDERS = 13, (1, 2, 3, 4)
-#: Slices of a language that are ranked apart when its sample is drawn.
-SLICES = 64
+#: When a language's sample is drawn, 2^SLICE_BITS ranges of its hashes are counted first.
+SLICE_BITS = 12
 SALTS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 
 _letters = LOWER.copy()
@@ -125,10 +125,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     small_batches(docs.sparkSession)
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
     h = F.xxhash64(F.lit(seed), "id")
-    # first within slices of each language, so that no task meets a whole one; rows of least hash are among their slice's least
-    labelled = labelled.withColumns({"h": h, "slice": F.pmod(h, F.lit(SLICES))})
-    order = Window.partitionBy("lang", "slice").orderBy("h", "id")
-    few = labelled.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows_per_lang)
+    labelled = checkpointed(labelled.withColumn("h", h).withColumn("slice", F.shiftright("h", 64 - SLICE_BITS)))
+    # the slices of least hashes that hold enough rows, by counts alone; only their rows are ranked
+    before = Window.partitionBy("lang").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = labelled.groupBy("lang", "slice").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    last = counts.where(F.col("before") < rows_per_lang).groupBy("lang").agg(F.max("slice").alias("last"))
+    # last has one row for each language, as the model has planes for each
+    few = labelled.join(F.broadcast(last), "lang").where(F.col("slice") <= F.col("last"))
     few = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("k") <= rows_per_lang)
     chosen = few.select("id").distinct()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull())
