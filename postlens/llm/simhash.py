@@ -17,12 +17,15 @@
    all buckets then give components (see components.py).
 
 Defined results: null and wordless texts have fingerprint 0 and link like any
-other; texts of fewer words than a shingle are one shingle; repeated rows of an
-id get a result row each, with one component.
+other; texts of fewer words than a shingle are one shingle; each row goes by its
+own text, so rows that repeat an id may be of different components; rows of
+null ids link like others, and give a component its id or its kept row only
+where no row of it has an id.
 """
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 import numpy as np
@@ -167,7 +170,7 @@ def links(nodes: DataFrame, distance: int = 3, blocks: int = 5) -> DataFrame:
     nodes has each fingerprint once.
     """
     masks = [m - (1 << 64) if m >= 1 << 63 else m for m in block_masks(distance, blocks)]
-    keyed = nodes.where("node is not null").select("fingerprint", "node", F.posexplode(F.array(*[F.col("fingerprint").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "bits"))
+    keyed = nodes.select("fingerprint", "node", F.posexplode(F.array(*[F.col("fingerprint").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "bits"))
     keyed = keyed.select("fingerprint", "node", F.xxhash64("t", "bits").alias("key"))
     # the number is given, so that partitions of the Python step are not coalesced
     dealt = keyed.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), "key")
@@ -185,16 +188,37 @@ def links(nodes: DataFrame, distance: int = 3, blocks: int = 5) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
+def clustered(prints: DataFrame, best, distance: int) -> DataFrame:
+    """(fingerprint, cluster, best) of each distinct fingerprint: the least fingerprint reachable over links, and the least `best` of its rows."""
+    nodes = prints.groupBy("fingerprint").agg(F.min(best).alias("best"))
+    found = components(links(nodes.select("fingerprint", F.col("fingerprint").alias("node")), distance)).withColumnRenamed("node", "fingerprint")
+    return nodes.join(found, "fingerprint", "left").select("fingerprint", F.coalesce("component", "fingerprint").alias("cluster"), "best")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
-    """(id, fingerprint long, component_id) of each row; component_id is the least id reachable over links."""
+    """(id, fingerprint long, component_id) of each row; component_id is the least id reachable over links, null where no row reached has one."""
     prints = checkpointed(with_fingerprint(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), text_col, shingle).select(id_col, "fingerprint"))
-    nodes = prints.groupBy("fingerprint").agg(F.min(id_col).alias("node"))
-    found = components(links(nodes, distance))
-    of = nodes.join(found, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(of, "fingerprint").select(id_col, "fingerprint", "component_id")
+    of = clustered(prints, F.col(id_col), distance)
+    least = of.groupBy("cluster").agg(F.min("best").alias("component_id"))
+    return prints.join(of.join(least, "cluster").select("fingerprint", "component_id"), "fingerprint").select(id_col, "fingerprint", "component_id")
+
+
+def row_key(docs: DataFrame) -> list:
+    """Two 64-bit hashes of a row, never null; columns that can't be hashed (maps, variants) have no part in them."""
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]
+    values = [x for c in hashed for x in (F.isnull(c), c)]
+    return [F.xxhash64(F.lit(k), *values) for k in (1, 2)]
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
-    """docs with one row of each component: that of its least id (of repeated rows of that id, any one)."""
-    kept = near_duplicates(docs, id_col, text_col, shingle, distance).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    """docs with one row of each component: that of its least id, null ids last, then that of least row key. Rows equal in all columns are one."""
+    key = ["__row1", "__row2"]
+    while {k.lower() for k in key} & {c.lower() for c in docs.columns}:
+        key = [f"{k}_" for k in key]
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(*columns, *[k.alias(n) for n, k in zip(key, row_key(docs))])
+    prints = checkpointed(with_fingerprint(keyed.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), *key), "text", shingle).drop("text"))
+    of = clustered(prints, F.struct(F.isnull("id").alias("no_id"), "id", *key), distance)
+    kept = of.groupBy("cluster").agg(F.min("best").alias("best")).select(*[F.col(f"best.{k}").alias(k) for k in key])
+    # repeated rows are combined before the shuffle
+    return keyed.dropDuplicates(key).join(kept, key, "left_semi").select(*columns)

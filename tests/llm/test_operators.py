@@ -329,6 +329,29 @@ def test_simhash(spark):
     assert simhash.near_duplicates(make(spark, [(None, "a b c"), (None, None)])).count() == 2
 
 
+def test_keep_one_of_null_and_repeated_ids(spark):
+    r = random.Random(13)
+    text = ["".join(r.choice("abcdefgh ") for _ in range(300)) for _ in range(6)]
+    # 0: only without an id; 1: a null id and a later id; 2-3: one id, two texts; 4: a copy under the id of 5, the text itself under a less one
+    rows = [(None, text[0]), (None, text[0]), (None, text[1]), (8, text[1]), (5, text[2]), (5, text[3]), (2, text[4]), (6, text[4]), (6, text[5]), (6, text[5])]
+    want = [(None, text[0]), (8, text[1]), (5, text[2]), (5, text[3]), (2, text[4]), (6, text[5])]
+    for parts in (1, 4):
+        kept = simhash.keep_one(make(spark, rows).repartition(parts)).collect()
+        assert sorted(map(tuple, kept), key=repr) == sorted(want, key=repr)
+    got = Counter((x.doc_id, x.component_id) for x in simhash.near_duplicates(make(spark, rows)).collect())
+    assert got == Counter([(None, None), (None, None), (None, 8), (8, 8), (5, 5), (5, 5), (2, 2), (6, 2), (6, 6), (6, 6)])
+
+
+def test_links_through_null_ids_and_equal_ids_apart(spark, monkeypatch):
+    """Fingerprints 0, 7 and 63 form a chain whose middle has no id; a repeated id links nothing by itself."""
+    number = {"a": 0, "b": 7, "c": 63, "d": -1}
+    prints = lambda docs, *_: docs.withColumn("fingerprint", F.create_map(*[F.lit(x) for kv in number.items() for x in kv])[F.col("text")].cast("long"))
+    monkeypatch.setattr(simhash, "with_fingerprint", prints)
+    d = make(spark, [(4, "a"), (None, "b"), (3, "c"), (3, "d")])
+    assert {(x.doc_id, x.fingerprint): x.component_id for x in simhash.near_duplicates(d).collect()} == {(4, 0): 3, (None, 7): 3, (3, 63): 3, (3, -1): 3}
+    assert sorted(map(tuple, simhash.keep_one(d).collect())) == [(3, "c"), (3, "d")]
+
+
 def test_large_buckets_are_split_without_loss(monkeypatch):
     r = np.random.default_rng(3)
     fp = np.unique(np.uint64(5) ^ (np.uint64(1) << r.integers(0, 40, 300).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 40, 300).astype(np.uint64)))
