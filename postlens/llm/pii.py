@@ -12,8 +12,9 @@ No labelled personal data exists in the tables, so the trees are trained here
 on seeded, generated cases (see training_cases). They are fitted once on the
 driver and sent with the tasks (some 100 KB).
 
-One narrow pass; only texts with a digit or an @ are looked at, as every kind
-needs one. Offsets are code points, ends exclusive.
+One narrow pass; only texts with a digit, an @ or an assignment sign (= or :)
+are looked at, as every kind needs one. A secret's run has no longest length.
+Offsets are code points, ends exclusive.
 
 Defined results: null and empty texts have no spans; very long digit or word
 runs take linear time; repeated rows are each searched.
@@ -86,7 +87,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 #: High-recall proposals for each further kind; they overlap freely.
 _PROPOSE = {
-    "secret": re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/-]{16,512}+={0,2}"),
+    "secret": re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+={0,2}"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}(?:[\x20]?[A-Za-z0-9]{4}){2,7}(?:[\x20]?[A-Za-z0-9]{1,3})?(?![A-Za-z0-9])"),
     "national_id": re.compile(r"(?<![0-9-])[0-9]{3}[-\x20][0-9]{2}[-\x20][0-9]{4}(?![0-9-])"),
     "local_phone": re.compile(r"(?<![0-9A-Za-z+])\(?0?[0-9]{2,4}\)?[\x20./-][0-9]{3}[\x20./-]?[0-9]{3,5}(?![0-9A-Za-z])"),
@@ -98,6 +99,8 @@ _KEYS = {
     "national_id": re.compile(r"(?i)ssn|social security|national id|tax id|steuer|dni|insee"),
     "local_phone": re.compile(r"(?i)phone|tel\b|tel[.:]|call|mobile|fax|cell|telefon|teléfono|téléphone"),
 }
+#: What a secret's run may hold before its first digit.
+_UNDIGITED = re.compile(r"[A-Za-z_+/=-]*+")
 _VOWELS = frozenset("aeiouAEIOU")
 _HEX = frozenset("0123456789abcdefABCDEF")
 
@@ -130,11 +133,23 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
     ]
 
 
+def assigned(text: str, start: int, kind: str) -> bool:
+    """Whether a key word and an assignment sign are before the span."""
+    before = text[max(0, start - 32) : start]
+    return before.rstrip(" \"'`")[-1:] in ("=", ":") and bool(_KEYS[kind].search(before))
+
+
 def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Proposed spans of all further kinds that overlap no taken span."""
+    """Proposed spans of all further kinds that overlap no taken span; a secret without a digit must be assigned to a key word."""
     out = []
     for kind, rx in _PROPOSE.items():
+        stop = -1
         for m in rx.finditer(text):
+            if kind == "secret":
+                if stop < m.start():  # else the last scan has passed this start
+                    stop = _UNDIGITED.match(text, m.start()).end()
+                if not ("0" <= text[stop : stop + 1] <= "9" or assigned(text, m.start(), kind)):
+                    continue
             if not any(a < m.end() and m.start() < b for a, b, _ in taken):
                 out.append((m.start(), m.end(), kind))
     return out
@@ -183,10 +198,26 @@ def training_cases(seed: int = 7, n: int = 3000) -> tuple[np.ndarray, np.ndarray
         lambda: ("", f"{draw(letters, 2)}{draw(digits, 2)} {word()[:4]:x<4} {word()[:4]:x<4} {word()[:4]:x<4}", " "),
         lambda: (r.choice(["token ", "secret ", "key "]), "_".join(word() for _ in range(r.randint(3, 5))) + "_1", " "),
     ]
+    keys = ["token", "TOKEN", "api_key", "secret", "password", "access key", "auth"]
+
+    def spoken() -> str:
+        return "".join(r.choice("bcdfglmnprstv") + r.choice("aeiou") + r.choice(["", "", "n", "r", "s", "t"]) for _ in range(r.randint(2, 4)))
+
+    #: Without a digit, after a key word and an assignment sign.
+    letters_only = [
+        lambda: (announced(r.choice(keys)), draw(letters, r.randint(16, 64)), r.choice(" \"")),
+        lambda: (announced(r.choice(keys)), draw(letters + letters.upper() + r.choice(["", "+/"]), r.randint(20, 64)), r.choice(" \"")),
+        lambda: (announced(r.choice(keys)), draw(letters + letters.upper(), r.randint(64, 900)) + r.choice(["", "=", "=="]), " "),
+    ]
+    words_only = [
+        lambda: (announced(r.choice(keys)), r.choice("-_/").join(spoken() for _ in range(r.randint(3, 6))), " "),
+        lambda: (announced(r.choice(keys)), "".join(spoken().capitalize() for _ in range(r.randint(3, 5))), " "),
+        lambda: (announced(r.choice(keys)), "".join(spoken() for _ in range(r.randint(3, 5))), " "),
+    ]
     x, y = [], []
-    for k in range(n):
+    for k in range(2 * n):
         truth = k % 2
-        before, span, after = r.choice(positive if truth else negative)()
+        before, span, after = r.choice((positive if truth else negative) if k < n else letters_only if truth else words_only)()
         lead = " ".join(word() for _ in range(r.randint(0, 6)))
         text = f"{lead} {before}{span}{after}{word()} {word()}."
         at = len(lead) + 1 + len(before)
@@ -238,6 +269,8 @@ FIELDS = [T.StructField(f"n_{k}", T.LongType()) for k in BASE] + [T.StructField(
 _HINT = np.zeros(256, bool)
 _HINT[48:58] = True
 _HINT[64] = True
+#: Assignment signs, for secrets without a digit.
+_HINT[[58, 61]] = True
 
 
 def find(docs: DataFrame, text_col: str = "text", precision: float = 0.98) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -218,6 +219,24 @@ def test_pii_operator(spark):
     assert red[1] == 'mail é [email] token = "[secret]" end' and red[2] == rows[1][1]
 
 
+def test_long_and_digit_free_secrets(spark):
+    r = random.Random(14)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    draw = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    keys = [draw(letters + "0123456789", 600), draw(letters + "0123456789", 5000) + "==", draw(letters, 40), draw(letters, 600), draw(letters[:26], 32)]
+    rows = [(i, f'api_key = "{k}" end') for i, k in enumerate(keys)] + [(10, "token: authentication-provider-settings end"), (11, f"plain {keys[2]} end")]
+    got = {x.doc_id: x.text for x in pii.redact(pii.find(make(spark, rows))).collect()}
+    assert [got[i] for i in range(len(keys))] == ['api_key = "[secret]" end'] * len(keys)
+    assert got[10] == rows[-2][1] and got[11] == rows[-1][1]
+
+
+def test_secret_proposals_take_linear_time():
+    for t in ("a=" * 200_000 + "1", "=" * 400_000, ("x" * 16 + "=") * 20_000 + " 1", "token=" + "x" * 400_000):
+        began = time.process_time()
+        pii.candidates(t, [])
+        assert time.process_time() - began < 5
+
+
 def test_boosting_learns_an_interaction():
     r = np.random.default_rng(0)
     x = r.random((800, 4))
