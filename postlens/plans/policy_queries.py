@@ -249,7 +249,7 @@ def cases(spark, sf_dir):
     return d.select(
         k.cast("string").alias("case_id"), F.when(k % 11 == 0, "0.9").otherwise("1.0").alias("schema_version"),
         F.struct(F.when(k % 13 == 0, "ftp://x").otherwise("https://example.org/p").alias("url"), F.when(k % 17 == 0, "fax").otherwise("web").alias("platform"), F.lit("ann").alias("author"), F.lit(None).cast("string").alias("published_at"), F.when(k % 7 == 0, "2024-05-01 10:00").otherwise("2024-05-01T10:00:00Z").alias("captured_at"), (k % 23 != 0).alias("public")).alias("source"),
-        F.struct(F.when(k % 37 != 0, F.left("text", F.lit(300))).alias("text"), F.lit("en").alias("language"), F.when(k % 2 == 0, F.array(image("img1"), F.when(k % 41 == 0, image("img1")).otherwise(image("img2")))).otherwise(F.array().cast("array<struct<id:string,path:string,source_url:string,alt_text:string>>")).alias("images")).alias("content"),
+        F.struct(F.when(k % 37 != 0, F.col("text")).alias("text"), F.lit("en").alias("language"), F.when(k % 2 == 0, F.array(image("img1"), F.when(k % 41 == 0, image("img1")).otherwise(image("img2")))).otherwise(F.array().cast("array<struct<id:string,path:string,source_url:string,alt_text:string>>")).alias("images")).alias("content"),
         F.array(seen).alias("observations"), F.lit("inform").alias("declared_purpose"),
     )
 

@@ -65,3 +65,12 @@ def test_jsonl_and_stream(spark, tmp_path):
     spark.createDataFrame([(1, "天气很好。", "zh")], "doc_id bigint, text string, language string").write.parquet(str(tmp_path / "in"))
     score.start(score.read_documents(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).first().style_assessment == "few_ai_style_patterns"
+
+
+def test_excerpts_from_anywhere_in_a_long_text(spark, monkeypatch):
+    text = "".join(f"sentence {k} of it. " for k in range(500)) + "The very end."
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    monkeypatch.setattr(Q, "documents", lambda spark, sf_dir, *columns: d.select(*columns))
+    quotes = spark.createDataFrame([("1", "friction", x) for x in ("sentence 0 of", "Sentence 250 of it", "the very end.", "sentence 500")], "case_id string, path string, excerpt string")
+    got = {r.excerpt: r.locator for r in validation.ground(quotes, validation.evidence_items(Q.cases(spark, ""))).collect()}
+    assert got == {"sentence 0 of": "content.text", "Sentence 250 of it": "content.text", "the very end.": "content.text", "sentence 500": None}
