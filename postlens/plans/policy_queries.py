@@ -315,7 +315,7 @@ def reception_view_order(spark, sf_dir):
 
 def full_findings(spark, sf_dir):
     zh = zh_corpus(spark, sf_dir)
-    text = detector.analyze(zh, compress=False)
+    text = detector.analyze(zh)
     top = report.top_sentences(detector.sentence_findings(detector.surprisals(zh.where("language = 'zh'").select("doc_id", "text"))))
     v = origin.verdicts(*policy_inputs(spark, sf_dir)).withColumnRenamed("case_id", "doc_id")
     joined = text.join(top, "doc_id", "left").join(v, "doc_id")

@@ -74,3 +74,12 @@ def test_excerpts_from_anywhere_in_a_long_text(spark, monkeypatch):
     quotes = spark.createDataFrame([("1", "friction", x) for x in ("sentence 0 of", "Sentence 250 of it", "the very end.", "sentence 500")], "case_id string, path string, excerpt string")
     got = {r.excerpt: r.locator for r in validation.ground(quotes, validation.evidence_items(Q.cases(spark, ""))).collect()}
     assert got == {"sentence 0 of": "content.text", "Sentence 250 of it": "content.text", "the very end.": "content.text", "sentence 500": None}
+
+
+def test_reports_count_compressibility(spark, monkeypatch):
+    zh = spark.createDataFrame([(1, "今天天气很好。" * 60, "zh")], "doc_id long, text string, language string")
+    verdict = spark.createDataFrame([(1, "insufficient_evidence", "low")], "case_id long, verdict string, confidence string")
+    monkeypatch.setattr(Q, "zh_corpus", lambda *_: zh)
+    monkeypatch.setattr(Q, "policy_inputs", lambda *_: ())
+    monkeypatch.setattr(Q.origin, "verdicts", lambda *_: verdict)
+    assert "high_compressibility:+1" in Q.full_findings(spark, "").select("drivers").first().drivers
