@@ -27,27 +27,33 @@ def l2_svm(gram: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return beta, float(beta.sum())
 
 
-def l2_svm_primal(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """(w, b) of the same problem, for fewer features than rows: memory goes with the features squared."""
-    k = x.shape[1]
-    active = np.ones(len(y), bool)
-    w, b = np.zeros(k), 0.0
-    for _ in range(rounds):
-        xa = x[active]
-        c = weight[active].astype(x.dtype)
-        hessian = np.empty((k + 1, k + 1))
-        hessian[:k, :k] = (xa * c[:, None]).T @ xa
-        hessian[:k, k] = hessian[k, :k] = c @ xa
-        hessian[k, k] = c.sum()
-        hessian[np.diag_indices(k + 1)] += ridge
-        right = np.append((c * y[active]) @ xa, c @ y[active])
-        solved = np.linalg.solve(hessian, right)
-        w, b = solved[:k], float(solved[k])
-        now = y * (x @ w.astype(x.dtype) + b) < 1
-        if (now == active).all() or not now.any():
+def l2_svm_sparse(rows: list[np.ndarray], square: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, epochs: int = 12, tolerance: float = 0.1, seed: int = 5) -> tuple[np.ndarray, float]:
+    """The same problem over rows of present features, by dual coordinate descent; memory is that of the rows.
+
+    Feature k of a row that has it is the root of square[k]. Returns what each
+    present feature adds to the margin (its weight times its value), and the bias.
+    """
+    draw = np.random.default_rng(seed)
+    out, bias = np.zeros(len(square)), 0.0
+    beta, slack = np.zeros(len(y)), ridge / weight
+    curve = np.array([square[r].sum() for r in rows]) + 1.0 + slack
+    for _ in range(epochs):
+        worst = 0.0
+        for i in draw.permutation(len(y)).tolist():
+            r = rows[i]
+            slope = y[i] * (out[r].sum() + bias) - 1.0 + beta[i] * slack[i]
+            if beta[i] == 0 and slope >= 0:
+                continue
+            worst = max(worst, abs(slope))
+            now = max(beta[i] - slope / curve[i], 0.0)
+            step = (now - beta[i]) * y[i]
+            if step:
+                beta[i] = now
+                out[r] += step * square[r]
+                bias += step
+        if worst < tolerance:
             break
-        active = now
-    return w, b
+    return out, float(bias)
 
 
 def balanced(y: np.ndarray) -> np.ndarray:

@@ -1,23 +1,28 @@
 """Toxicity: a linear classifier of character n-grams, each scaled by its naive Bayes log-count ratio.
 
-Features are which byte 4- to 6-grams of the whole lower-cased text occur,
-hashed to 2^18 buckets. From a bounded, seeded sample of labelled rows (at most
-`rows_per_class` of each class) come, by Spark aggregation over at most 2^18
-buckets, the number of toxic and other texts with each bucket; the ratio of the
-smoothed logs scales the feature. The `features` buckets that tell most apart
-(count-weighted ratio) enter an L2-regularised squared-hinge classifier, and a
-logistic curve turns its margin into a score.
-
-Scoring covers every row in one pass without a shuffle.
+Features are which 4- to 6-grams of code points occur in the whole text (A-Z
+lower-cased, other ASCII but digits and letters as a space), hashed to 2^18
+buckets; no bucket is left out. From a bounded, seeded sample of labelled rows
+(at most `rows_per_class` of each class) come the number of toxic and other
+texts with each bucket; the ratio of the smoothed logs scales the feature. An
+L2-regularised squared-hinge classifier over all buckets is fitted to the
+sample's sparse rows by dual coordinate descent, and a logistic curve turns its
+margin into a score.
+
+Scoring covers every row in one pass without a shuffle; a text is read in
+segments, so that its length does not matter for memory.
 
 Defined results: null and empty texts have no n-grams and get the score of the
-bias alone; a repeated label row of an id counts as toxic if any of them is; if
-a class has no labelled row, the score is that class's smoothed share
-everywhere; repeated rows are scored alike.
+bias alone; a repeated label row of an id counts as toxic if any of them is; of
+rows that repeat an id the least text is learnt from; if a class has no
+labelled row, the score is that class's smoothed share everywhere; ties of the
+sample's hash go to the lesser id; repeated rows are scored alike. A null id is
+never learnt from.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,114 +32,109 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import LOWER, append_columns, bounded_sample, checkpointed, pieces, small_batches, utf8
-from .linear import balanced, l2_svm_primal, logistic, platt
+from .linear import balanced, l2_svm_sparse, logistic, platt
 
 BITS, ORDERS = 18, (4, 5, 6)
+#: Code points of a text that are hashed at once.
+SEGMENT = 1 << 18
+_BASE, _SPREAD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
-_folded = LOWER.copy()
+_folded = LOWER.astype(np.uint32)
 _folded[[b for b in range(128) if not chr(LOWER[b]).isalnum()]] = 32
 
 
-def gram_buckets(data: np.ndarray, order: int) -> np.ndarray:
-    x = _folded[data].astype(np.uint64)
-    v = x[: len(x) - order + 1].copy()
-    for k in range(1, order):
-        v = (v << np.uint64(8)) | x[k : len(x) - order + 1 + k]
-    v += np.uint64(order << 56)
-    return ((v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-def present(column: pa.Array, table: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and features, each pair once, of the features that table (bucket -> feature or -1) keeps."""
+def code_points(column: pa.Array) -> Iterator[np.ndarray]:
+    """The folded code points of each text."""
     data, off = utf8(column)
-    found = []
-    for order in ORDERS:
-        if len(data) < order:
-            continue
-        ids = table[gram_buckets(data, order)]
-        at = np.flatnonzero(ids >= 0)
-        row = np.searchsorted(off, at, side="right") - 1
-        inside = at + order <= off[row + 1]
-        found.append(row[inside] * size + ids[at[inside]])
-    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return pairs // size, pairs % size
+    point = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    point = np.where(point < 128, _folded[np.minimum(point, 127)], point)
+    before = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=before[1:])  # continuation bytes start no code point
+    edge = before[off]
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        yield point[a:b]
+
+
+class Present:
+    """The distinct buckets of one text at a time."""
+
+    def __init__(self) -> None:
+        self.mark = np.zeros(1 << BITS, bool)
+
+    def __call__(self, point: np.ndarray) -> np.ndarray:
+        for start in range(0, max(len(point) - ORDERS[0] + 1, 0), SEGMENT):
+            x = point[start : start + SEGMENT + ORDERS[-1] - 1].astype(np.uint64)
+            h = x
+            for n in range(2, ORDERS[-1] + 1):
+                if len(h) < 2:
+                    break
+                h = h[:-1] * _BASE + x[n - 1 :]
+                if n >= ORDERS[0]:
+                    self.mark[(((h + np.uint64(n)) * _SPREAD) >> np.uint64(64 - BITS)).view(np.int64)] = True
+        found = np.flatnonzero(self.mark)
+        self.mark[found] = False
+        return found
 
 
 @dataclass
 class ToxicModel:
-    table: np.ndarray  # bucket -> feature or -1
-    weight: np.ndarray
+    weight: np.ndarray  # of each bucket
     bias: float
 
     def score(self, column: pa.Array) -> np.ndarray:
-        total = np.full(len(column), self.bias)
-        if len(self.weight):
-            row, feature = present(column, self.table, len(self.weight))
-            total += np.bincount(row, self.weight[feature], len(column))
-        return logistic(total)
+        if not self.weight.any():
+            return np.full(len(column), logistic(np.array([self.bias]))[0])
+        present = Present()
+        return logistic(np.array([self.bias + self.weight[present(p)].sum() for p in code_points(column)]))
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows_per_class: int, seed: int) -> DataFrame:
-    """(id, text, y) of at most rows_per_class labelled rows of each class, checkpointed."""
+    """(id, text, y) of at most rows_per_class labelled ids of each class, one row each, checkpointed."""
     y = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) == 1).cast("int")).alias("y"))
     ids = bounded_sample(y.where("y = 1"), "id", rows_per_class, seed).unionByName(bounded_sample(y.where("y = 0"), "id", rows_per_class, seed))
     # ids has at most 2 * rows_per_class rows
-    return checkpointed(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "id"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "id")
+    return checkpointed(rows.groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y")))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = 2000, features: int = 1536, alpha: float = 1.0, seed: int = 22) -> ToxicModel:
-    """Fits on at most rows_per_class labelled rows of each class."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = 2500, alpha: float = 1.0, ridge: float = 0.1, seed: int = 22) -> ToxicModel:
+    """Fits on at most rows_per_class labelled rows of each class: the one bound, the same at every input size."""
     small_batches(docs.sparkSession)
     rows = sample(docs, labels, id_col, text_col, label_col, rows_per_class, seed)
-    everything = np.arange(1 << BITS)
 
-    def counted(batches):
-        count = np.zeros((2, 1 << BITS), np.int64)
+    def sparse(batches):
+        present = Present()
         for batch in batches:
             for piece in pieces(batch, "text"):
-                y = piece.column("y").to_numpy(zero_copy_only=False)
-                row, bucket = present(piece.column("text"), everything, 1 << BITS)
-                np.add.at(count, (y[row], bucket), 1)
-        some = np.flatnonzero(count.sum(0))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[0][some]), pa.array(count[1][some])], names=["bucket", "n0", "n1"])
-
-    counts = rows.mapInArrow(counted, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 3").toPandas().sort_values("bucket")
-    classes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = classes.get(1, 0), classes.get(0, 0)
+                found = [present(p).astype(np.int32).tobytes() for p in code_points(piece.column("text"))]
+                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("y"), pa.array(found, pa.binary())], names=["id", "y", "x"])
+
+    got = rows.mapInArrow(sparse, f"id {rows.schema['id'].dataType.simpleString()}, y int, x binary").toArrow().sort_by("id")
+    y = np.where(got.column("y").to_numpy() == 1, 1.0, -1.0)
+    n1, n0 = int((y > 0).sum()), int((y < 0).sum())
     if not n1 or not n0:
-        return ToxicModel(np.full(1 << BITS, -1, np.int64), np.zeros(0), float(np.log((n1 + 1) / (n0 + 1))))
-    p, q = (counts["n1"] + alpha).to_numpy() / (n1 + 2 * alpha), (counts["n0"] + alpha).to_numpy() / (n0 + 2 * alpha)
-    ratio = np.log(p / q)
-    gain = np.abs(ratio) * np.abs(p - q) ** 0.5
-    top = np.sort(np.argsort(-gain, kind="stable")[:features])
-    r, table = ratio[top], np.full(1 << BITS, -1, np.int64)
-    table[counts["bucket"].to_numpy()[top]] = np.arange(len(top))
-    size = len(top)
-
-    def vectors(batches):
-        for batch in batches:
-            for piece in pieces(batch, "text"):
-                row, feature = present(piece.column("text"), table, size)
-                bits = np.zeros((piece.num_rows, size), bool)
-                bits[row, feature] = True
-                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("y"), pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())], names=["id", "y", "x"])
-
-    id_type = rows.schema["id"].dataType.simpleString()
-    got = rows.mapInArrow(vectors, f"id {id_type}, y int, x binary").toPandas().sort_values(["id", "x"])
-    x = np.unpackbits(np.stack([np.frombuffer(b, np.uint8) for b in got["x"]]), axis=1)[:, :size].astype(np.float32) * r.astype(np.float32)
-    scale = float(np.sqrt((x**2).sum(1).mean())) or 1.0
-    x /= scale
-    y = np.where(got["y"].to_numpy() == 1, 1.0, -1.0)
+        return ToxicModel(np.zeros(1 << BITS), float(np.log((n1 + 1) / (n0 + 1))))
+    x = [np.frombuffer(b.as_buffer(), np.int32) for chunk in got.column("x").chunks for b in chunk]
+    share = []
+    for sign, n in ((1, n1), (-1, n0)):
+        count = np.zeros(1 << BITS)
+        for i in np.flatnonzero(y == sign):
+            count[x[i]] += 1
+        share.append(np.log((count + alpha) / (n + 2 * alpha)))
+    ratio = share[0] - share[1]
+    square = ratio**2
+    square /= np.mean([square[i].sum() for i in x]) or 1.0  # rows have unit length on average
     # margins for the curve come from the other half of the sample, else they are too sure
     half = np.arange(len(y)) % 2 == 0
     margin = np.zeros(len(y))
     for a, b in ((half, ~half), (~half, half)):
-        w, bias = l2_svm_primal(x[a], y[a], balanced(y[a]), ridge=0.1)
-        margin[b] = x[b] @ w + bias
+        if len(set(y[a])) < 2:
+            continue
+        weight, bias = l2_svm_sparse([x[i] for i in np.flatnonzero(a)], square, y[a], balanced(y[a]), ridge)
+        margin[b] = [weight[x[i]].sum() + bias for i in np.flatnonzero(b)]
     slope, shift = platt(margin, y)
-    w, bias = l2_svm_primal(x, y, balanced(y), ridge=0.1)
-    weight = w * r / scale
-    return ToxicModel(table, slope * weight, slope * bias + shift)
+    weight, bias = l2_svm_sparse(x, square, y, balanced(y), ridge)
+    return ToxicModel(slope * weight, slope * bias + shift)
 
 
 def score(docs: DataFrame, model: ToxicModel, text_col: str = "text") -> DataFrame:
