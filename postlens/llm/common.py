@@ -45,18 +45,28 @@ def small_batches(spark: SparkSession) -> None:
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, written to the checkpoint folder that all machines share, so that lost executors cost no recomputation.
 
-    The folder is spark.checkpoint.dir; only where that is unset and no folder
-    was set on the context (tests) is a temporary one used.
+    The folder is shared_folder(), unless one was set on the context.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "postlens-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a temporary folder in local mode (tests) and an error on a cluster, whose machines share none."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return os.path.join(tempfile.gettempdir(), "postlens-shared")
+
+
 def remainder(id_col: str, n: int):
-    """crc32 of the id's decimal text, modulo n."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(n)
+    """crc32 of the id's decimal text, modulo n; -1 for a null id, which no fold holds out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(n), F.lit(-1))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,9 +94,12 @@ def pieces(batch: pa.RecordBatch, text_col: str, limit: int = CHUNK_BYTES) -> It
         start = end
 
 
-def schema_with(df: DataFrame, fields: list[T.StructField]) -> T.StructType:
-    names = {f.name.lower() for f in fields}
-    return T.StructType([f for f in df.schema.fields if f.name.lower() not in names] + fields)
+def fresh(name: str, columns: list[str]) -> str:
+    """name, with underscores added until no column has it in any letter case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[pa.Array], dict]]) -> DataFrame:
@@ -98,9 +111,7 @@ def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField], ma
     small_batches(df.sparkSession)
     names = {f.name.lower() for f in fields}
     kept = [c for c in df.columns if c.lower() not in names]
-    aux = "__text"
-    while aux in kept:
-        aux += "_"
+    aux = fresh("__text", kept)
     out = T.StructType([f for f in df.schema.fields if f.name in kept] + fields)
     types = [T_TO_ARROW[type(f.dataType)] for f in fields]
 

@@ -7,11 +7,14 @@ table look-up per byte, n-gram length and hyperplane; texts of any length take
 constant memory per chunk.
 
 Fitting uses a bounded, seeded sample: at most `rows_per_lang` labelled rows of
-each language. Scoring covers every row in one pass without a shuffle.
+each language and `max_rows` in all, so that the driver's memory does not grow
+with the number of languages. Scoring covers every row in one pass without a
+shuffle.
 
 Defined results: a text without a letter (null, empty, digits only) is `und`
-with score 0; ties go to the language first in code point order; repeated rows
-are scored alike; with no labelled row everything is `und`.
+with score 0; ties go to the language first in code point order; rows equal in
+id, text and language are learnt from once; repeated rows are scored alike;
+with no labelled row everything is `und`.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, append_columns, checkpointed, pieces, small_batches, utf8
+from .common import LOWER, append_columns, checkpointed, fresh, pieces, small_batches, utf8
 from .linear import balanced, l2_svm, logistic
 
 #: Languages by family. A language that is not listed is a family of its own.
@@ -120,51 +123,51 @@ class LangModel:
         return best, score
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = 450, seed: int = 11) -> LangModel:
-    """Fits on at most rows_per_lang rows of each language, those of smallest seeded hash."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = 450, max_rows: int = 4000, seed: int = 11) -> LangModel:
+    """Fits on at most rows_per_lang rows of each language, those of smallest seeded hash of the row, and max_rows in all."""
     small_batches(docs.sparkSession)
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
-    h = F.xxhash64(F.lit(seed), "id")
-    labelled = checkpointed(labelled.withColumn("h", h).withColumn("slice", F.shiftright("h", 64 - SLICE_BITS)))
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col), F.col(lang_col)).alias("h"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    labelled = checkpointed(rows.select("lang", "h", F.shiftright("h", 64 - SLICE_BITS).alias("slice")))
+    counts = labelled.groupBy("lang", "slice").agg(F.count("*").alias("n"))
+    each = min(rows_per_lang, max(1, max_rows // max(1, counts.select("lang").distinct().count())))
     # the slices of least hashes that hold enough rows, by counts alone; only their rows are ranked
     before = Window.partitionBy("lang").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    counts = labelled.groupBy("lang", "slice").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    last = counts.where(F.col("before") < rows_per_lang).groupBy("lang").agg(F.max("slice").alias("last"))
+    last = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < each).groupBy("lang").agg(F.max("slice").alias("last"))
     # last has one row for each language, as the model has planes for each
     few = labelled.join(F.broadcast(last), "lang").where(F.col("slice") <= F.col("last"))
-    few = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("k") <= rows_per_lang)
-    chosen = few.select("id").distinct()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull())
-    # chosen has at most rows_per_lang rows for each language, so it is small enough to broadcast
-    sample = rows.join(F.broadcast(chosen), "id", "left_semi")
+    chosen = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= each).select("h").distinct()
+    # chosen has at most `each` rows for each language, so it is small enough to broadcast
+    sample = rows.join(F.broadcast(chosen), "h", "left_semi").dropDuplicates(["h"])
 
     def run(batches):
         for batch in batches:
             for piece in pieces(batch, "text"):
                 x = feature_rows(piece.column("text")).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([piece.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
+                yield pa.RecordBatch.from_arrays([piece.column("lang"), piece.column("h"), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "h", "x"])
 
-    got = sample.mapInArrow(run, "lang string, x binary").toPandas()
-    if not len(got):
+    got = sample.select("lang", "h", "text").mapInArrow(run, "lang string, h long, x binary").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
+    if not got.num_rows:
         return LangModel()
-    got = got.sort_values(["lang", "x"]).drop_duplicates().reset_index(drop=True)
-    x = np.stack([np.frombuffer(b, np.float16) for b in got["x"]]).astype(np.float32)
+    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(got.num_rows, -1).astype(np.float32)
+    names = got.column("lang").to_pylist()
+    del got
     scale = 1 / (x.std(0) + 1e-3)  # rare buckets count for more, but not without bound
     x *= scale
-    x /= np.sqrt((x**2).sum(1).mean())
-    norm = x
-    gram = (norm @ norm.T).astype(np.float64)
-    langs = sorted(set(got["lang"]))
-    of = got["lang"].map(langs.index).to_numpy()
+    ratio = float(np.sqrt((x**2).sum(1).mean()))
+    x /= ratio
+    gram = (x @ x.T).astype(np.float64)
+    langs = sorted(set(names))
+    of = np.array([langs.index(name) for name in names])
     fams = sorted({family_of(lang) for lang in langs})
     fam_of = np.array([fams.index(family_of(lang)) for lang in langs])[of]
-    raw = np.stack([np.frombuffer(b, np.float16) for b in got["x"]]).astype(np.float32)
-    ratio = float(np.sqrt(((raw * scale) ** 2).sum(1).mean()))
     planes, bias, pairs = [], [], []
 
     def plane(rows: np.ndarray, y: np.ndarray) -> None:
         beta, b = l2_svm(gram[np.ix_(rows, rows)], y, balanced(y))
-        planes.append(((beta @ norm[rows]) * scale / ratio).astype(np.float32))
+        whole = np.zeros(len(x), np.float32)
+        whole[rows] = beta
+        planes.append(((whole @ x) * scale / ratio).astype(np.float32))
         bias.append(b)
 
     for f in range(len(fams)):
@@ -180,7 +183,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def predict(docs: DataFrame, model: LangModel, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score (0 to 1); such columns of docs are replaced."""
-    flagged = docs.withColumn("__letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    letter = fresh("__letter", docs.columns)
+    flagged = docs.withColumn(letter, F.coalesce(F.col(f"`{text_col}`").cast("string").rlike(r"\p{L}"), F.lit(False)))
 
     def make():
         names = np.array(model.langs, dtype=object)
@@ -194,4 +198,4 @@ def predict(docs: DataFrame, model: LangModel, text_col: str = "text") -> DataFr
         return work
 
     out = append_columns(flagged, text_col, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], make)
-    return out.withColumns({"lang_pred": F.when(F.col("__letter"), F.col("lang_pred")).otherwise(F.lit("und")), "score": F.when(F.col("__letter"), F.col("score")).otherwise(F.lit(0.0))}).drop("__letter")
+    return out.withColumns({"lang_pred": F.when(F.col(letter), F.col("lang_pred")).otherwise(F.lit("und")), "score": F.when(F.col(letter), F.col("score")).otherwise(F.lit(0.0))}).drop(letter)

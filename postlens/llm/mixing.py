@@ -13,13 +13,16 @@
 4. Of each (source, length) group the documents of smallest seeded hash are
    chosen. Groups are cut into hash ranges of about `group_rows` rows; whole
    ranges are decided by their counts, and only the range in which the limit
-   falls is ranked, so a length shared by any number of documents never meets
-   in one task.
+   falls is ranked. What is taken of each group is broadcast, for the hot groups
+   at least, so a length shared by any number of documents never meets in one
+   task.
 
 Defined results: null and empty texts have size 0 and take 0 words; a null
 source is a source of its own, last in order; a source of size 0 has target 0;
-repeated rows are chosen one by one; empty tables give empty results. The
-number of sources is a driver-side list, bounded by `max_sources`.
+rows that repeat an id count each, equal ones are interchangeable; empty tables
+give empty results; of `keep`, columns that have the name of an output column
+are replaced. The number of sources is a driver-side list, bounded by
+`max_sources`.
 """
 
 from __future__ import annotations
@@ -29,15 +32,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, fresh
 
 #: Words of remaining budget up to which the dynamic programme runs; wider budgets were narrowed by shares before.
 MAX_BUDGET = 1 << 16
+#: Most (source, length) groups that go to each executor; more are joined by a shuffle, but for the hot ones.
+BROADCAST_ROWS = 100_000
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, size): size counts the words of the text, 0 for null."""
-    return docs.select(id_col, F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, keep, source, size): size counts the words of the text, 0 for null."""
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return docs.select(id_col, *keep, F.col(source_col).cast("string").alias("source"), size.alias("size"))
 
 
 def by_code_point(sources: list[str | None]) -> list[str | None]:
@@ -117,37 +123,50 @@ def fit_budget(length: np.ndarray, count: np.ndarray, budget: int) -> np.ndarray
     return take
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: dict[str | None, float] | None = None, max_repeats: int = 3, seed: int = 8, max_sources: int = 100_000, group_rows: int = 2000) -> DataFrame:
-    """(id, source, size, source_size, target, copies, taken) of each document; taken = size * copies."""
-    rows = checkpointed(sizes(docs, id_col, text_col, source_col).withColumn("h", F.xxhash64(F.lit(seed), F.col(id_col))))
-    counts = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
-    by_source = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")).limit(max_sources + 1).collect()
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (), weight: dict[str | None, float] | None = None, max_repeats: int = 3, seed: int = 8, max_sources: int = 100_000, group_rows: int = 2000, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(id, keep, source, size, source_size, target, copies, taken) of each document; taken = size * copies. keep: further columns to pass on."""
+    keep = tuple(c for c in keep if c not in (id_col, "source", "size", "source_size", "target", "copies", "taken"))
+    h = fresh("_h", docs.columns)
+    hashed = docs.withColumn(h, F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col), *keep))
+    sized = sizes(hashed, id_col, text_col, source_col, (h, *keep))
+    # nulls as '' beside a flag, so that sources join by plain equality
+    rows = checkpointed(sized.select(id_col, *keep, F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("src"), "size", F.col(h).alias("h")))
+    group = ["none", "src", "size"]
+    counts = rows.groupBy(*group).agg(F.count("*").alias("n"))
+    by_source = counts.groupBy("none", "src").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("n"), F.count("*").alias("lengths")).limit(max_sources + 1).collect()
     if len(by_source) > max_sources:
         raise ValueError(f"more than max_sources = {max_sources} sources")
-    size = {r["source"]: int(r["words"]) for r in by_source}
+    size = {None if r["none"] else r["src"]: int(r["words"]) for r in by_source}
     target = targets(size, weight or default_weights(list(size)), max_repeats)
-    plan = [(s, size[s], float(target[s]), int(min(max_repeats, target[s] // size[s] if size[s] else 0))) for s in size]
-    plan_df = docs.sparkSession.createDataFrame(plan, "name string, source_size long, target double, full int")
+    plan = [(s is None, s or "", size[s], float(target[s]), int(min(max_repeats, target[s] // size[s] if size[s] else 0))) for s in size]
+    plan_df = docs.sparkSession.createDataFrame(plan, "none boolean, src string, source_size long, target double, full int")
 
-    def choose(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def choose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         # one row for each length of the source: at most as many as its longest document has words
         size, n = pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
         budget = float(pdf["target"].iloc[0]) - int(pdf["full"].iloc[0]) * int((size * n).sum())
-        return pdf.assign(take=fit_budget(size, n, int(round(budget))))[["source", "size", "n", "source_size", "target", "full", "take"]]
+        return pdf.assign(take=fit_budget(size, n, int(round(budget))))
 
     # plan_df has at most max_sources rows
-    planned = counts.join(F.broadcast(plan_df), F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    quota = planned.groupBy("source").applyInPandas(choose, "source string, size long, n long, source_size long, target double, full int, take long")
+    planned = counts.join(F.broadcast(plan_df), ["none", "src"]).select(*group, "n", "source_size", "target", "full")
+    quota = planned.groupBy("none", "src").applyInPandas(choose, "none boolean, src string, size long, n long, source_size long, target double, full int, take long")
     quota = checkpointed(quota.withColumn("ranges", F.ceil(F.col("n") / F.lit(group_rows)).cast("long")))
-    # nulls as '' beside a flag, so that sources join by plain equality
-    key = lambda df: df.withColumns({"none": F.col("source").isNull(), "src": F.coalesce("source", F.lit(""))}).drop("source")
-    joined = key(rows).join(key(quota), ["none", "src", "size"])
+    # groups above this size are at most broadcast_rows, and so broadcast; smaller ones are no hot keys
+    total, lengths = sum(r["n"] for r in by_source), sum(r["lengths"] for r in by_source)
+    hot = 0 if lengths <= broadcast_rows else -(-total // broadcast_rows)
+    joined = rows.join(F.broadcast(quota.where(F.col("n") > hot)), group, "left")
+    if hot:
+        others = joined.where("n is null").select(*rows.columns).join(quota.where(F.col("n") <= hot), group)
+        joined = joined.where("n is not null").unionByName(others)
     part = joined.withColumn("part", F.pmod("h", F.col("ranges")))
-    whole = part.where("take = 0 or take = n").select(id_col, "none", "src", "size", "source_size", "target", "full", (F.col("take") > 0).cast("int").alias("more"))
-    cut = part.where("take > 0 and take < n")
-    before = Window.partitionBy("none", "src", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = cut.groupBy("none", "src", "size", "part").agg(F.count("*").alias("here")).withColumn("before", F.coalesce(F.sum("here").over(before), F.lit(0)))
-    ranked = cut.join(ranges, ["none", "src", "size", "part"]).withColumn("k", F.row_number().over(Window.partitionBy("none", "src", "size", "part").orderBy("h", id_col)))
-    chosen = ranked.select(id_col, "none", "src", "size", "source_size", "target", "full", (F.col("before") + F.col("k") <= F.col("take")).cast("int").alias("more"))
-    out = whole.unionByName(chosen).withColumn("copies", F.when(F.col("size") > 0, F.least(F.col("full") + F.col("more"), F.lit(max_repeats))).otherwise(0).cast("long"))
-    return out.select(id_col, F.when(~F.col("none"), F.col("src")).alias("source"), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    out = [id_col, *keep, *group, "source_size", "target", "full"]
+    whole = part.where("take = 0 or take = n").select(*out, (F.col("take") > 0).cast("int").alias("more"))
+    # rows equal in all that counts are one from here on, with how often they occur
+    cut = part.where("take > 0 and take < n").groupBy(*out, "take", "part", "h").agg(F.count("*").alias("m"))
+    before = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = part.where("take > 0 and take < n").groupBy(*group, "part").agg(F.count("*").alias("here")).withColumn("before", F.coalesce(F.sum("here").over(before), F.lit(0)))
+    above = Window.partitionBy(*group, "part").orderBy("h", id_col).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = cut.join(ranges, [*group, "part"]).withColumn("left", F.col("take") - F.col("before") - F.coalesce(F.sum("m").over(above), F.lit(0)))
+    chosen = ranked.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "m"))).select(*out, (F.col("k") <= F.col("left")).cast("int").alias("more"))
+    copies = F.when(F.col("size") > 0, F.least(F.col("full") + F.col("more"), F.lit(max_repeats))).otherwise(0).cast("long")
+    return whole.unionByName(chosen).withColumn("copies", copies).select(id_col, *keep, F.when(~F.col("none"), F.col("src")).alias("source"), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
