@@ -7,24 +7,25 @@ columns of documents; the last returns the mix's plan for each document.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens.llm import decontam, langid, mixing, pii, simhash
-from postlens.llm.common import remainder
+from postlens.llm.common import remainder, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no learned language is recognised: those without a letter. lang becomes the prediction where it is null."""
+    """Drops documents without a recognised language (und); lang of the others becomes the prediction, which the mix's rows carry.
+
+    No score is too low: clean documents of one line come near the least that a
+    model of a few languages can give, so a limit would lose them.
+    """
     model = langid.fit(docs.where(remainder("doc_id", 4) != 2))
-    got = langid.predict(docs, model).where(F.col("lang_pred") != "und")
-    return got.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    return langid.predict(docs, model).where(F.col("lang_pred") != "und").withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How often the mix takes each document, and the words that it takes."""
-    return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    return mixing.mix(docs, keep=("lang",)).select("doc_id", "lang", "source", "size", "source_size", "target", "copies", "taken")
 
 
 STAGES = [
@@ -62,8 +63,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents, each written to the shared folder and read again."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "postlens-pipeline")
-    base = f"{shared}/pipeline-{uuid.uuid4()}"
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{number}_{name}")
