@@ -7,10 +7,11 @@ window is `window` consecutive words of an item, or a whole shorter item; where
 the tracked length reaches a window's, its words count as hit and its items as
 found.
 
-Items reach the executors in blocks of at most `block_words` words, each block
-one more narrow pass over the documents, so neither an automaton nor a
-broadcast grows with the table of items. No shuffle; documents of any length
-take one pass.
+Items reach the executors in blocks of about `block_words` words, dealt by a
+hash of the item, so that neither an automaton nor what the driver holds grows
+with the table of items. One block takes one narrow pass. Several take one pass
+each, of which only the texts with hits are written to the shared folder; they
+are united by text and joined to the documents at the end.
 
 Only runs of words that occur in some item can hold a window, so the automaton
 is walked over such runs that are long enough, and nowhere else; that loses
@@ -18,21 +19,22 @@ nothing, as any other word returns it to its root.
 
 Defined results: a null or empty text, and one without words, has no hits and
 is not contaminated; null and wordless items have no window; rows of one
-item_id count as one item; repeated documents are each judged; with no items
-nothing is hit.
+item_id count as one item; items of null id count as one that is not listed;
+repeated documents are each judged; with no items nothing is hit.
 """
 
 from __future__ import annotations
 
-import itertools
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, utf8
+from .common import T_TO_ARROW, append_columns, checkpointed, fresh, pieces, small_batches, utf8
 
 WINDOW = 13
 BLOCK_WORDS = 100_000
@@ -47,7 +49,7 @@ def normal_words(raw: bytes) -> list[bytes]:
 class Automaton:
     """Generalised suffix automaton over the word ids of several items."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW) -> None:
         self.window = window
         self.ids: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -58,9 +60,9 @@ class Automaton:
             for w in word_ids:
                 last = self._extend(last, w)
         #: Of the state that has the windows of full length: the items with that window.
-        self.found: dict[int, set[str]] = {}
+        self.found: dict[int, set[str | None]] = {}
         #: Of a state: (length, item) of the short items it spells.
-        self.short: dict[int, list[tuple[int, str]]] = {}
+        self.short: dict[int, list[tuple[int, str | None]]] = {}
         self.least = min((min(window, len(x)) for _, x in coded), default=window)
         for item, word_ids in coded:
             if len(word_ids) < window:
@@ -122,7 +124,7 @@ class Automaton:
             state = self.link[state]
         return state
 
-    def hits(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
+    def hits(self, words: list[bytes]) -> tuple[np.ndarray, set[str | None]]:
         """Which words are hit, and the items found."""
         get = self.ids.get
         ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
@@ -148,69 +150,76 @@ class Automaton:
         return np.cumsum(hit[:-1]) > 0, items
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int):
-    """Lists of (item id, words), each list of block_words words at most or of one item; read row by row."""
-    block, size = [], 0
-    rows = items.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string"), text_col)
-    for item, text in rows.toLocalIterator():
-        words = normal_words(text.encode())
-        if block and size + len(words) > block_words:
-            yield block
-            block, size = [], 0
-        block.append((str(item), words))
-        size += len(words)
-    if block:
-        yield block
+FIELDS = [T.StructField(c, T.LongType()) for c in ("n_words", "n_hit", "n_items")] + [T.StructField("items", T.StringType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("hit_words", T.BinaryType())]
+_STRINGS = pa.list_(pa.string())
+
+
+def described(n_words: int, hit: np.ndarray, found: set[str | None]) -> dict:
+    """A row's values of FIELDS."""
+    named = sorted(i for i in found if i is not None)
+    return {"n_words": n_words, "n_hit": int(hit.sum()), "n_items": len(found), "items": ",".join(named), "item_ids": named + [None] * (None in found), "hit_words": np.packbits(hit).tobytes()}
+
+
+def columns_of(rows: list[dict]) -> dict:
+    out = {f.name: [r[f.name] for r in rows] for f in FIELDS}
+    return out | {"item_ids": pa.array(out["item_ids"], _STRINGS)}
+
+
+def _one_block(docs: DataFrame, block: list[tuple[str | None, list[bytes]]], text_col: str, window: int) -> DataFrame:
+    def make():
+        automaton = Automaton(block, window)
+
+        def work(column):
+            data, off = utf8(column)
+            raw, rows = data.tobytes(), []
+            for i in range(len(column)):
+                words = normal_words(raw[off[i] : off[i + 1]])
+                rows.append(described(len(words), *automaton.hits(words)))
+            return columns_of(rows)
+
+        return work
+
+    return append_columns(docs, text_col, FIELDS, make)
 
 
 def measure(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with n_words, n_hit, n_items, items (comma-joined, sorted as strings), hit_words (packed bits of the words)."""
-    fields = [T.StructField(c, T.LongType()) for c in ("n_words", "n_hit", "n_items")] + [T.StructField("items", T.StringType()), T.StructField("hit_words", T.BinaryType())]
-    kept = [c for c in docs.columns if c.lower() not in {f.name for f in fields}]
-    for number, block in enumerate(itertools.chain(item_blocks(items, item_id, item_text, block_words), [None])):
-        if block is None and number:
-            break
-
-        def make(block=block or []):
-            automaton = Automaton(block, window)
-
-            def work(column):
-                data, off = utf8(column)
-                raw = data.tobytes()
-                out = {f.name: [] for f in fields}
-                for i in range(len(column)):
-                    words = normal_words(raw[off[i] : off[i + 1]])
-                    hit, found = automaton.hits(words)
-                    out["n_words"].append(len(words))
-                    out["n_hit"].append(int(hit.sum()))
-                    out["n_items"].append(len(found))
-                    out["items"].append(",".join(sorted(found)))
-                    out["hit_words"].append(np.packbits(hit).tobytes())
-                return out
-
-            return work
-
-        if number:  # what earlier blocks found is kept beside and joined in
-            docs = docs.withColumnsRenamed({f.name: f"__{f.name}" for f in fields})
-        docs = append_columns(docs, text_col, fields, make)
-        if number:
-            docs = _joined(docs, fields)
-    return docs.select(*[f"`{c}`" for c in kept], *[f.name for f in fields])
-
-
-def _joined(docs: DataFrame, fields: list[T.StructField]) -> DataFrame:
-    """Unites the hits of the last block with those of earlier ones (columns named __x); narrow."""
-    @F.pandas_udf("struct<n_hit: long, n_items: long, items: string, hit_words: binary>")
-    def unite(bits: pd.Series, old_bits: pd.Series, items: pd.Series, old_items: pd.Series) -> pd.DataFrame:
-        rows = []
-        for a, b, x, y in zip(bits, old_bits, items, old_items):
-            both = np.frombuffer(a, np.uint8) | np.frombuffer(b, np.uint8)
-            found = sorted({s for s in f"{x},{y}".split(",") if s})
-            rows.append((int(np.unpackbits(both).sum()), len(found), ",".join(found), both.tobytes()))
-        return pd.DataFrame(rows, columns=["n_hit", "n_items", "items", "hit_words"])
-
-    u = docs.withColumn("__u", unite("hit_words", "__hit_words", "items", "__items"))
-    return u.withColumns({c: F.col(f"__u.{c}") for c in ("n_hit", "n_items", "items", "hit_words")}).drop("__u", *[f"__{f.name}" for f in fields])
+    """docs with n_words, n_hit, n_items, items (comma-joined, sorted as strings), item_ids (array), hit_words (packed bits of the words)."""
+    spark = docs.sparkSession
+    known = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text"))
+    total = known.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")))).first()[0] or 0
+    blocks = max(1, -(-total // block_words))
+    dealt = known.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
+    # a block has about block_words words, whatever the table of items holds
+    block_of = lambda b: [(r["item"], normal_words(r["text"].encode())) for r in dealt.where(F.col("block") == b).collect()]
+    if blocks == 1:
+        return _one_block(docs, block_of(0), text_col, window)
+    key = [fresh(f"__text{k}", docs.columns) for k in (1, 2)]
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    hashes = [F.xxhash64(F.lit(k), text).alias(name) for k, name in enumerate(key)]
+    alone = docs.select(text.alias("text"), *hashes)
+    parts = [checkpointed(_one_block(alone, block_of(b), "text", window).where("n_hit > 0").select(*key, "hit_words", "item_ids").dropDuplicates(key)) for b in range(blocks)]
+    small_batches(spark)
+    names = {f.name.lower() for f in FIELDS}
+    kept = [f for f in docs.schema.fields if f.name.lower() not in names]
+    bits, lists, body = (fresh(c, docs.columns) for c in ("__bits", "__lists", "__body"))
+    united = reduce(DataFrame.unionByName, parts).groupBy(*key).agg(F.collect_list("hit_words").alias(bits), F.flatten(F.collect_list("item_ids")).alias(lists))
+    joined = docs.select(*[F.col(f"`{f.name}`") for f in kept], text.alias(body), *hashes).join(united, key, "left").drop(*key)
+
+    def unite(batches):
+        for batch in batches:
+            for piece in pieces(batch, body):
+                data, off = utf8(piece.column(body))
+                raw, rows = data.tobytes(), []
+                for i, (packed, found) in enumerate(zip(piece.column(bits).to_pylist(), piece.column(lists).to_pylist())):
+                    n = len(normal_words(raw[off[i] : off[i + 1]]))
+                    hit = np.zeros(n, bool)
+                    for b in packed or ():
+                        hit |= np.unpackbits(np.frombuffer(b, np.uint8))[:n].astype(bool)
+                    rows.append(described(n, hit, set(found or ())))
+                got = columns_of(rows)
+                yield pa.RecordBatch.from_arrays([piece.column(f.name) for f in kept] + [x if isinstance(x := got[f.name], pa.Array) else pa.array(x, T_TO_ARROW[type(f.dataType)]) for f in FIELDS], names=[f.name for f in [*kept, *FIELDS]])
+
+    return joined.mapInArrow(unite, T.StructType([*kept, *FIELDS]))
 
 
 def is_contaminated(coverage_percent: int = 5):
@@ -218,8 +227,8 @@ def is_contaminated(coverage_percent: int = 5):
     return (F.col("n_hit") > 0) & (F.lit(100) * F.col("n_hit") >= F.lit(coverage_percent) * F.col("n_words"))
 
 
-def remove_spans(measured: DataFrame, text_col: str = "text", max_words: int = 0, coverage_percent: int = 0) -> DataFrame:
-    """measured with the hit spans cut out of the text: each of more than max_words words, where at least coverage_percent of the words are hit.
+def remove_spans(measured: DataFrame, text_col: str = "text", max_words: int = WINDOW, coverage_percent: int = 5) -> DataFrame:
+    """measured with hit spans cut out of the text: those of more than max_words words, and all of a text of which at least coverage_percent of the words are hit.
 
     A span reaches from the first byte of its first word to the last of its
     last; what separates words around it stays.
@@ -229,9 +238,10 @@ def remove_spans(measured: DataFrame, text_col: str = "text", max_words: int = 0
         out = []
         for t, b, k in zip(text, bits, n):
             hit = np.unpackbits(np.frombuffer(b, np.uint8))[:k].astype(bool)
-            if t is None or not hit.any() or 100 * hit.sum() < coverage_percent * k:
+            if t is None or not hit.any():
                 out.append(t)
                 continue
+            least = 0 if 100 * hit.sum() >= coverage_percent * k else max_words
             raw = t.encode()
             folded = np.frombuffer(raw.translate(_FOLD), np.uint8)
             word = ~np.isin(folded, (32,))
@@ -240,7 +250,7 @@ def remove_spans(measured: DataFrame, text_col: str = "text", max_words: int = 0
             runs = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
             kept, at = [], 0
             for s, e in zip(runs[::2], runs[1::2]):
-                if e - s > max_words:
+                if e - s > least:
                     kept.append(raw[at : starts[s]])
                     at = ends[e - 1]
             out.append(b"".join([*kept, raw[at:]]).decode())

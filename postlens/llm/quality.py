@@ -11,7 +11,8 @@ difference of the Mahalanobis log-densities.
 Defined results: null and empty texts have all statistics 0; repeated label
 rows of an id count as good only if all of them are; if a class has no
 labelled row, the score is the smoothed share of the other; repeated rows are
-scored alike.
+scored alike; columns of docs pass through, but for one named
+quality_statistics, which holds the statistics until score() drops it.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ FEATURES = (
     "non_ascii_share", "distinct_words", "adjacent_repeats", "top_word_share", "log_lines", "mean_line", "symbol_words", "end_stops", "repeat_triples",
 )
 
+#: The column that holds the statistics between with_statistics() and score().
+STATISTICS = "quality_statistics"
+
 _CLASS = np.zeros((6, 256), bool)
 _CLASS[0, 65:91] = True
 _CLASS[1, 48:58] = True
@@ -91,6 +95,14 @@ def statistics(column: pa.Array) -> np.ndarray:
     return out
 
 
+def forward(factor: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """z of factor z = right, for a lower triangular factor, by forward substitution."""
+    z = np.empty_like(right)
+    for i in range(len(factor)):
+        z[i] = (right[i] - factor[i, :i] @ z[:i]) / factor[i, i]
+    return z
+
+
 @dataclass
 class QualityModel:
     prior: float  # log-odds
@@ -103,7 +115,7 @@ class QualityModel:
             return np.full(len(x), logistic(np.array([self.prior]))[0])
         density = []
         for mean, factor in zip(self.mean, self.factor):
-            z = np.linalg.solve(factor, (x - mean).T)
+            z = forward(factor, (x - mean).T)
             density.append(-0.5 * (z**2).sum(0) - np.log(np.diag(factor)).sum())
         return logistic(self.prior + self.temperature * (density[1] - density[0]))
 
@@ -134,29 +146,29 @@ def moments(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with x, the array of statistics."""
+    """docs with quality_statistics, an array."""
 
     def make():
         def work(column):
             x = statistics(column)
-            return {"x": pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))}
+            return {STATISTICS: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))}
 
         return work
 
     return append_columns(docs, text_col, [_X], make)
 
 
-_X = T.StructField("x", T.ArrayType(T.DoubleType(), True))
+_X = T.StructField(STATISTICS, T.ArrayType(T.DoubleType(), True))
 
 
 def fit(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", own: float = 0.7, diagonal: float = 0.05) -> QualityModel:
-    """Fits on all rows (id, x) that labels name.
+    """Fits on all rows (id, quality_statistics) that labels name.
 
     own: weight of a class's own covariance against the pooled one;
     diagonal: weight of the diagonal in the result.
     """
     y = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min((F.col(label_col) == 1).cast("int")).alias("y"))
-    m = moments(rows.select(F.col(id_col).alias("id"), "x").join(y, "id").select("y", "x"))
+    m = moments(rows.select(F.col(id_col).alias("id"), F.col(STATISTICS).alias("x")).join(y, "id").select("y", "x"))
     (n0, s0, q0), (n1, s1, q1) = m[0], m[1]
     prior = float(np.log((n1 + 1) / (n0 + 1)))
     if n0 < 2 or n1 < 2:
@@ -175,15 +187,15 @@ def fit(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
 
 
 def score(rows: DataFrame, model: QualityModel) -> DataFrame:
-    """rows (with x) with score (0 to 1, higher: better) and predicted; x is dropped."""
-    kept = [c for c in rows.columns if c.lower() not in ("x", "score", "predicted")]
+    """rows of with_statistics() with score (0 to 1, higher: better) and predicted, without quality_statistics."""
+    kept = [c for c in rows.columns if c.lower() not in (STATISTICS, "score", "predicted")]
     out = T.StructType([f for f in rows.schema.fields if f.name in kept] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     k = len(FEATURES)
 
     def run(batches):
         for batch in batches:
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            x = batch.column(STATISTICS).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
             s = model.score(x)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*kept, "score", "predicted"])
 
-    return rows.select(*[F.col(f"`{c}`") for c in kept], "x").mapInArrow(run, out)
+    return rows.select(*[F.col(f"`{c}`") for c in kept], STATISTICS).mapInArrow(run, out)
