@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,10 +15,13 @@ class Trees:
     start: float = 0.0
     trees: list[list[tuple[int, float, int, int, float]]] = field(default_factory=list)
 
+    @functools.cached_property
+    def columns(self) -> list[tuple[np.ndarray, ...]]:
+        return [tuple(np.array(c) for c in zip(*tree)) for tree in self.trees]
+
     def margin(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.start)
-        for tree in self.trees:
-            feature, value, left, right, leaf = (np.array(c) for c in zip(*tree))
+        for feature, value, left, right, leaf in self.columns:
             at = np.zeros(len(x), np.int64)
             while (inner := feature[at] >= 0).any():
                 rows = np.flatnonzero(inner)

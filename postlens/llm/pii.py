@@ -16,12 +16,14 @@ One narrow pass; only texts with a digit, an @ or an assignment sign (= or :)
 are looked at, as every kind needs one. A secret's run has no longest length.
 Offsets are code points, ends exclusive.
 
-Defined results: null and empty texts have no spans; very long digit or word
-runs take linear time; repeated rows are each searched.
+Defined results: null and empty texts have no spans; of equally sure candidates
+the one proposed first stays; repeated rows are each searched. Work is linear in
+the text, but for sorting its candidates.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
 import random
@@ -139,9 +141,33 @@ def assigned(text: str, start: int, kind: str) -> bool:
     return before.rstrip(" \"'`")[-1:] in ("=", ":") and bool(_KEYS[kind].search(before))
 
 
+class Taken:
+    """Places that spans have taken, as disjoint intervals in order, so that a look-up is a bisection."""
+
+    def __init__(self, spans: list[tuple[int, int, str]] = ()) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b, _ in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def overlaps(self, start: int, end: int) -> bool:
+        k = bisect.bisect_left(self.starts, end)
+        return k > 0 and self.ends[k - 1] > start
+
+    def add(self, start: int, end: int) -> None:
+        """Takes a span that overlaps none."""
+        k = bisect.bisect_left(self.starts, start)
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)
+
+
 def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Proposed spans of all further kinds that overlap no taken span; a secret without a digit must be assigned to a key word."""
-    out = []
+    out, places = [], Taken(taken)
     for kind, rx in _PROPOSE.items():
         stop = -1
         for m in rx.finditer(text):
@@ -150,7 +176,7 @@ def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
                     stop = _UNDIGITED.match(text, m.start()).end()
                 if not ("0" <= text[stop : stop + 1] <= "9" or assigned(text, m.start(), kind)):
                     continue
-            if not any(a < m.end() and m.start() < b for a, b, _ in taken):
+            if not places.overlaps(m.start(), m.end()):
                 out.append((m.start(), m.end(), kind))
     return out
 
@@ -253,10 +279,12 @@ def extra_spans(text: str, taken: list[tuple[int, int, str]], trees: boosting.Tr
         return []
     p = trees.probability(np.array([features(text, *c) for c in proposed]))
     chosen: list[tuple[int, int, str]] = []
+    places = Taken()
     for k in np.argsort(-p, kind="stable"):
         a, b, kind = proposed[k]
-        if p[k] >= threshold[kind] and not any(s < b and a < e for s, e, _ in chosen):
+        if p[k] >= threshold[kind] and not places.overlaps(a, b):
             chosen.append(proposed[k])
+            places.add(a, b)
     return chosen
 
 
