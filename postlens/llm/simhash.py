@@ -41,6 +41,8 @@ from .components import components
 SEED, PIVOTS = 42, 16
 #: A bucket with more rows than this is split by further bit blocks.
 LARGE_BUCKET = 2048
+#: Rows of buckets that a task holds, on average, at most.
+PARTITION_ROWS = 500_000
 
 
 def fingerprint(words: list[bytes], shingle: int) -> int:
@@ -172,8 +174,9 @@ def links(nodes: DataFrame, distance: int = 3, blocks: int = 5) -> DataFrame:
     masks = [m - (1 << 64) if m >= 1 << 63 else m for m in block_masks(distance, blocks)]
     keyed = nodes.select("fingerprint", "node", F.posexplode(F.array(*[F.col("fingerprint").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "bits"))
     keyed = keyed.select("fingerprint", "node", F.xxhash64("t", "bits").alias("key"))
-    # the number is given, so that partitions of the Python step are not coalesced
-    dealt = keyed.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), "key")
+    # the number is given, so that partitions of the Python step are not coalesced; it grows with the nodes, as a task holds a partition
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-nodes.count() * len(masks) // PARTITION_ROWS))
+    dealt = keyed.repartition(parts, "key")
 
     def run(batches):
         got = [(b.column("key").to_numpy(), b.column("fingerprint").to_numpy(), b.column("node").to_numpy()) for b in batches]

@@ -1,4 +1,4 @@
-"""Exact substring deduplication by a distributed, common-prefix-aware merge sort of suffixes.
+"""Substring deduplication by a distributed, common-prefix-aware merge sort of suffixes.
 
 A byte is removed if a string of `window` bytes that covers it also starts
 earlier: in a document of smaller id, or earlier in its own. Sorting a suffix
@@ -24,6 +24,14 @@ loses nothing:
    the first of equal windows are removed.
 6. Removed intervals go back to their documents, which are cut.
 
+An anchor that occurs very often (a common 32-byte passage in differing
+surroundings) is no single group: its units are cut in PIECES and dealt by the 77
+bytes or more that all windows of a piece hold. The merge has a partition for each
+PARTITION_BYTES of text.
+
+Windows, and rows by id and text, are told apart by 64-bit hashes; a text may
+have 256 MB at most, a longer one is an error.
+
 Defined results: null and empty texts have no bytes; texts shorter than the
 window lose nothing; rows with equal id and equal text are one place, so
 neither removes the other, and each gets a result row; a null id sorts last.
@@ -39,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, pieces, small_batches, utf8
+from .common import mix64, pieces, small_batches, utf8, written
 
 WINDOW, K = 100, 32
 SPAN = WINDOW - K  # an anchor is at most so far from its window's start
@@ -47,6 +55,12 @@ SPAN = WINDOW - K  # an anchor is at most so far from its window's start
 HELD_ANCHORS, HELD_UNITS = 1 << 19, 60_000
 #: Units whose windows are told apart at once.
 BLOCK_UNITS = 8192
+#: Text bytes for each partition of the merge, and so the most that a task merges of anchors that are not hot.
+PARTITION_BYTES = 64 << 20
+#: An anchor is hot from HOT_LEAST occurrences, or more where a corpus would else have over HOT_MOST hot ones; a task reports counts from HOT_LOCAL.
+HOT_LEAST, HOT_MOST, HOT_LOCAL = 10_000, 20_000, 32
+#: Largest distances from an anchor to the starts of the windows of each piece of a hot unit.
+PIECES = (22, 45, SPAN)
 _BASE = 0x9E3779B97F4A7C15
 _LAST = (1 << 63) - 1
 
@@ -88,6 +102,8 @@ def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     none = np.zeros(0, np.int64)
     if len(data) < WINDOW:
         return none, none.view(np.uint64), none, none, none
+    if len(data) >= 1 << 28:
+        raise ValueError("a text has 256 MB or more")
     grams = rolling(data, K)
     where = np.arange(len(grams), dtype=np.uint64)
     at = (least_of((grams & ~np.uint64((1 << 28) - 1)) | where, SPAN + 1) & np.uint64((1 << 28) - 1)).astype(np.int64)
@@ -108,9 +124,8 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), F.xxhash64(text), F.octet_length(text)).alias("rk"), F.col(id_col).cast("long").alias("id"), text.alias("text"))
 
 
-def repeated_anchors(rows: DataFrame) -> DataFrame:
-    """(rk, pos) of the anchors whose K-gram occurs elsewhere too."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+def repeated_anchors(rows: DataFrame, parts: int) -> DataFrame:
+    """(rk, pos, null) of the anchors whose K-gram occurs elsewhere too, and (null, count, hash) of K-grams that a task met often."""
 
     def find(batches):
         held, n = [], 0
@@ -124,7 +139,17 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
             key = h.copy()
             # known to repeat: goes to any partition
             key[same] = mix64(rk[same].view(np.uint64) + pos[same].astype(np.uint64))
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rk), pa.array(pos), pa.array(flag)], names=["h", "rk", "pos", "flag"])
+            first = np.flatnonzero(~same)
+            count = np.diff(np.append(first, len(h)))
+            often = count >= HOT_LOCAL
+            # a hot anchor's count goes as a row without a text
+            null = np.concatenate([np.zeros(len(h), bool), np.ones(int(often.sum()), bool)])
+            both = lambda a, b: np.concatenate([a, b])
+            columns = [
+                pa.array(both(key, h[first[often]]).view(np.int64)), pa.array(both(rk, np.zeros(int(often.sum()), np.int64)), mask=null),
+                pa.array(both(pos, count[often].astype(np.int32))), pa.array(both(flag, np.full(int(often.sum()), 1, np.int32))),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["h", "rk", "pos", "flag"])
 
         for batch in batches:
             for piece in pieces(batch, "text"):
@@ -143,9 +168,11 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
         # sorted by h; the last group of a batch may go on, so its first row waits
         last, waiting = None, None
         for batch in batches:
-            h, rk, pos, flag = (batch.column(c).to_numpy() for c in ("h", "rk", "pos", "flag"))
+            h, pos, flag = (batch.column(c).to_numpy() for c in ("h", "pos", "flag"))
             if not len(h):
                 continue
+            nulls = batch.column("rk").is_null().to_numpy(zero_copy_only=False)
+            rk = batch.column("rk").fill_null(0).to_numpy()
             start = np.concatenate([[True], h[1:] != h[:-1]])
             group = np.cumsum(start) - 1
             size = np.bincount(group)
@@ -154,16 +181,16 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
             if goes_on:
                 good[0] = True
             keep = good[group]
-            out_rk, out_pos = rk[keep], pos[keep]
+            out_rk, out_pos, out_h, out_null = rk[keep], pos[keep], h[keep], nulls[keep]
             if waiting is not None and goes_on:
-                out_rk, out_pos = np.append(out_rk, waiting[0]), np.append(out_pos, waiting[1])
+                out_rk, out_pos, out_h, out_null = np.append(out_rk, waiting[0]), np.append(out_pos, waiting[1]), np.append(out_h, last), np.append(out_null, False)
             end_alone = not good[-1]
             waiting = (rk[-1], pos[-1]) if end_alone else None
             last = h[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(out_rk), pa.array(out_pos.astype(np.int32))], names=["rk", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(out_rk, mask=out_null), pa.array(out_pos.astype(np.int32)), pa.array(out_h, mask=~out_null)], names=["rk", "pos", "h"])
 
     found = rows.select("rk", "text").mapInArrow(find, "h long, rk long, pos int, flag int")
-    return found.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(choose, "rk long, pos int")
+    return found.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(choose, "rk long, pos int, h long")
 
 
 def ragged_index(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -189,6 +216,7 @@ class Units:
         self.n = 0
 
     def add(self, data: np.ndarray, off: np.ndarray, row, h, anchor, first, last, rk: np.ndarray, order: np.ndarray) -> None:
+        """h decides the partition: equal windows must have equal h."""
         left_size, x_size = anchor - first, last + WINDOW - anchor
         n = len(row)
         x, left = np.zeros((n, WINDOW), np.uint8), np.zeros((n, SPAN), np.uint8)
@@ -404,10 +432,39 @@ def window_intervals(pick, c, x, x_at, x_size, left, left_at, left_size):
     return [(rk[at[first]], place[at[first]].astype(np.int64), place[at[last]].astype(np.int64) + WINDOW)]
 
 
+def pieces_of_hot(data: np.ndarray, hot: np.ndarray, row, h, anchor, first, last):
+    """The units with those of hot anchors cut in pieces, each dealt by the bytes that all its windows hold.
+
+    A piece has the windows that start between two of PIECES before the anchor,
+    so equal windows are in pieces of one kind and hold the same bytes there.
+    """
+    is_hot = np.isin(h, hot)
+    if not is_hot.any():
+        return row, h, anchor, first, last
+    out = [tuple(c[~is_hot] for c in (row, h, anchor, first, last))]
+    row, h, anchor, first, last = (c[is_hot] for c in (row, h, anchor, first, last))
+    nearest = 0
+    for farthest in PIECES:
+        a, b = np.maximum(first, anchor - farthest), np.minimum(last, anchor - nearest)
+        some = a <= b
+        begin, size = anchor[some] - nearest, WINDOW - (farthest - nearest)
+        value = np.zeros(len(begin), np.uint64)
+        for k in range(size):
+            value = value * np.uint64(_BASE) + (data[begin + k].astype(np.uint64) + np.uint64(1))
+        out.append((row[some], mix64(value + np.uint64(farthest)), anchor[some], a[some], b[some]))
+        nearest = farthest + 1
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
 def removed_intervals(rows: DataFrame) -> DataFrame:
     """(rk, from, to), intervals of bytes to remove; they may overlap."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    chosen = repeated_anchors(rows).groupBy("rk").agg(F.collect_set("pos").alias("pos"))  # a text's anchors, at most its length
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-size // PARTITION_BYTES))
+    repeated = written(repeated_anchors(rows, parts))
+    # at most HOT_MOST rows, as about one byte in 35 is an anchor
+    least = max(HOT_LEAST, size // 32 // HOT_MOST)
+    hot = np.array([r["h"] for r in repeated.where("rk is null").groupBy("h").agg(F.sum("pos").alias("n")).where(F.col("n") >= least).select("h").collect()], np.int64).view(np.uint64)
+    chosen = repeated.where("rk is not null").groupBy("rk").agg(F.collect_set("pos").alias("pos"))  # a text's anchors, at most its length
 
     def sort(batches):
         units = Units()
@@ -422,7 +479,7 @@ def removed_intervals(rows: DataFrame) -> DataFrame:
                 good = np.isin(anchor, want)
                 order = piece.column("id").fill_null(_LAST).to_numpy()
                 if good.any():
-                    units.add(data, off, row[good], h[good], anchor[good], first[good], last[good], piece.column("rk").to_numpy(), order)
+                    units.add(data, off, *pieces_of_hot(data, hot, row[good], h[good], anchor[good], first[good], last[good]), piece.column("rk").to_numpy(), order)
                 if units.n >= HELD_UNITS:
                     yield from packed(units)
                     units = Units()

@@ -290,22 +290,44 @@ def brute_removed(docs):
     return out
 
 
-def test_suffix_dedup(spark):
-    r = random.Random(10)
+def repeating(seed, n=70):
+    r = random.Random(seed)
     base = "".join(r.choice("abcd é") for _ in range(700))
     docs = []
-    for i in range(70):
+    for i in range(n):
         parts = []
         for _ in range(r.randint(0, 5)):
             a = r.randint(0, 600)
             parts += [base[a : a + r.choice([60, 99, 100, 101, 110, 150, 300])], "".join(r.choice("abcd é") for _ in range(r.randint(0, 90)))]
         docs.append((i, "".join(parts)))
-    docs += [(200, "a" * 500), (203, "a" * 99), (204, "ab" * 300), (206, docs[5][1]), *ODD]
-    got = suffix_dedup.deduplicate(make(spark, docs).repartition(5)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
+    return docs + [(200, "a" * 500), (203, "a" * 99), (204, "ab" * 300), (206, docs[5][1]), *ODD]
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_suffix_dedup(spark, monkeypatch, hot):
+    if hot:  # every anchor that a task meets twice is cut in pieces
+        monkeypatch.setattr(suffix_dedup, "HOT_LEAST", 1)
+        monkeypatch.setattr(suffix_dedup, "HOT_LOCAL", 2)
+    docs = repeating(10)
+    got = suffix_dedup.deduplicate(make(spark, docs).repartition(5).withColumn("kept", F.lit("clash"))).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
     assert Counter(map(tuple, got.collect())) == brute_removed(docs)
     assert suffix_dedup.deduplicate(make(spark, [])).count() == 0
 
 
+def test_pieces_of_hot_anchors_keep_equal_windows_together():
+    r = np.random.default_rng(5)
+    passage = r.integers(97, 123, 32, np.uint8)
+    data = np.concatenate([np.concatenate([r.integers(97, 99, 70, np.uint8), passage, r.integers(97, 99, 70, np.uint8)]) for _ in range(200)])
+    anchor = np.arange(200) * 172 + 70
+    h = np.full(200, 9, np.uint64)
+    row, key, at, first, last = suffix_dedup.pieces_of_hot(data, h[:1], np.zeros(200, np.int64), h, anchor, anchor - suffix_dedup.SPAN, anchor)
+    windows = {}
+    for k, a, b in zip(key.tolist(), first.tolist(), last.tolist()):
+        for p in range(a, b + 1):
+            windows.setdefault(data[p : p + 100].tobytes(), set()).add(k)
+    assert sum((last - first + 1).tolist()) == 200 * 69 and all(len(k) == 1 for k in windows.values()) and len(set(key.tolist())) > 300
+
+
 def test_loser_tree_merges():
     r = random.Random(11)
     runs = [sorted(bytes(r.choice(b"ab") for _ in range(r.randint(1, 8))) for _ in range(r.randint(0, 30))) for _ in range(7)]
