@@ -48,6 +48,32 @@ def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+SQL["op5_repetition"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+word AS (SELECT doc_id, i AS p, length(w[i]) AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+gram AS (
+  SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS s
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT unnest([5, 6, 7, 8, 10]) AS n) WHERE len(w) >= n)
+), twice AS (SELECT doc_id, n, i FROM gram QUALIFY count(*) OVER (PARTITION BY doc_id, n, s) > 1),
+cover AS (SELECT DISTINCT doc_id, n, unnest(range(i, i + n)) AS p FROM twice),
+share AS (
+  SELECT doc_id, count(*) FILTER (n = 5) AS words_5, sum(c) FILTER (n = 5) AS c5, sum(c) FILTER (n = 6) AS c6, sum(c) FILTER (n = 7) AS c7, sum(c) FILTER (n = 8) AS c8, sum(c) FILTER (n = 10) AS c10
+  FROM cover JOIN word USING (doc_id, p) GROUP BY doc_id
+), line AS (SELECT doc_id, j, l[j] AS s FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS j FROM (SELECT doc_id, string_split(t, chr(10)) AS l FROM d)) WHERE regexp_matches(l[j], '[^\x20\x09-\x0D]')),
+again AS (SELECT doc_id, s FROM line QUALIFY row_number() OVER (PARTITION BY doc_id, s ORDER BY j) > 1),
+dup AS (SELECT doc_id, count(*) AS lines, sum(length(regexp_replace(s, '[\x20\x09-\x0D]+', '', 'g'))) AS c FROM again GROUP BY doc_id),
+total AS (SELECT doc_id, sum(c) AS c FROM word GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(total.c, 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(lines, 0) AS n_dup_lines, coalesce(words_5, 0) AS n_repeat_words,
+    len(w) < 10 OR 100 * coalesce(words_5, 0) > 20 * len(w) AS base_failed, CAST(coalesce(dup.c, 0) AS DOUBLE) / greatest(coalesce(total.c, 0), 1) AS dup_line_share,
+    CAST(coalesce(c5, 0) AS DOUBLE) / greatest(coalesce(total.c, 0), 1) AS share_5, CAST(coalesce(c6, 0) AS DOUBLE) / greatest(coalesce(total.c, 0), 1) AS share_6, CAST(coalesce(c7, 0) AS DOUBLE) / greatest(coalesce(total.c, 0), 1) AS share_7,
+    CAST(coalesce(c8, 0) AS DOUBLE) / greatest(coalesce(total.c, 0), 1) AS share_8, CAST(coalesce(c10, 0) AS DOUBLE) / greatest(coalesce(total.c, 0), 1) AS share_10
+  FROM d LEFT JOIN share USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN total USING (doc_id)
+)
+SELECT *, NOT base_failed AND dup_line_share <= 0.30 AND share_5 <= 0.25 AND share_6 <= 0.24 AND share_7 <= 0.23 AND share_8 <= 0.22 AND share_10 <= 0.21 AS kept FROM m
+"""
+
+
 @query
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
@@ -132,3 +158,16 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     got = suffix_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op9_suffix_dedup"] = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+win AS (SELECT doc_id, p, substr(x, 2 * p + 1, 200) AS s FROM (SELECT doc_id, x, unnest(range(0, n - 99)) AS p FROM d WHERE n >= 100)),
+later AS (SELECT doc_id, p FROM win QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1),
+fresh AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS f FROM later),
+run AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM (SELECT doc_id, p, sum(f) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM fresh) GROUP BY doc_id, r),
+piece AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM run UNION ALL SELECT doc_id, coalesce(e, 0), n FROM d LEFT JOIN (SELECT doc_id, max(b) AS e FROM run GROUP BY doc_id) USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS k FROM piece JOIN d USING (doc_id) GROUP BY doc_id),
+removed AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM run GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256 FROM d JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)
+"""
