@@ -74,20 +74,36 @@ def targets(size: dict[str | None, int], weight: dict[str | None, float], max_re
 def fit_budget(length: np.ndarray, count: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their words come nearest to budget, not above it.
 
-    Shares first: the same part of each length, rounded down. The rest of the
-    budget is less than the sum of the lengths; where that exceeds MAX_BUDGET,
-    longest lengths first take what fits until it doesn't. Then bounded
-    knapsack, counts split in powers of two.
+    Shares first: the same part of each length, rounded down, and bounded
+    knapsack over the documents left. Where few documents are left and the
+    budget is not met to the word, the shares are halved and then left out, and
+    the nearest sum stays; without shares it is the nearest of all, for a budget
+    of up to MAX_BUDGET words.
     """
-    take = np.zeros(len(length), np.int64)
     total = int((length * count).sum())
     if budget <= 0 or not total:
-        return take
+        return np.zeros(len(length), np.int64)
     if budget >= total:
         return np.where(length > 0, count, 0)
-    take = (count * (budget / total)).astype(np.int64)
-    take[length == 0] = 0
-    rest = budget - int((length * take).sum())
+    best, got = None, -1
+    for part in (1.0, 0.5, 0.0):
+        take = (count * (part * budget / total)).astype(np.int64)
+        take[length == 0] = 0
+        take = fill(length, count, take, budget - int((length * take).sum()))
+        if (words := int((length * take).sum())) > got:
+            best, got = take, words
+        if got == budget:
+            break
+    return best
+
+
+def fill(length: np.ndarray, count: np.ndarray, take: np.ndarray, rest: int) -> np.ndarray:
+    """take with documents added whose words come nearest to rest.
+
+    Where rest exceeds MAX_BUDGET, longest lengths first take what fits until it
+    doesn't. Then bounded knapsack, counts split in powers of two.
+    """
+    take = take.copy()
     for k in np.argsort(-length, kind="stable"):
         if rest <= MAX_BUDGET or length[k] == 0:
             break

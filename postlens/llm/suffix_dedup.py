@@ -109,6 +109,8 @@ def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     at = (least_of((grams & ~np.uint64((1 << 28) - 1)) | where, SPAN + 1) & np.uint64((1 << 28) - 1)).astype(np.int64)
     size = off[1:] - off[:-1]
     rows = np.flatnonzero(size >= WINDOW)
+    if not len(rows):
+        return none, none.view(np.uint64), none, none, none
     counts = size[rows] - WINDOW + 1
     row = np.repeat(rows, counts)
     window = np.repeat(off[rows] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))

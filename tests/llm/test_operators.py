@@ -118,7 +118,9 @@ def test_decontamination(spark, block_words):
     assert len(rows) == len(docs) + len(ODD)
     for x in rows:
         assert (x.n_words, x.n_hit, x["items"]) == brute_hits(x.text, items), x.text
-    assert all("w" not in (x.text or "") or x.n_hit == 0 or len(x.text) >= 0 for x in decontam.remove_spans(got).collect())
+    cut = decontam.remove_spans(got, max_words=0).drop("n_words", "n_hit", "n_items", "items", "item_ids", "hit_words")
+    left = {(x.doc_id, x.n_words) for x in decontam.measure(cut, spark.createDataFrame(items, "item_id long, text string")).select("doc_id", "n_words").collect()}
+    assert left == {(x.doc_id, x.n_words - x.n_hit) for x in rows}  # what is hit goes, and nothing else
     none = decontam.measure(d, spark.createDataFrame([], "item_id long, text string")).collect()
     assert all(x.n_hit == 0 for x in none)
 
@@ -145,7 +147,6 @@ def test_pst(spark):
         base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tok(t))
         assert abs(got[i].base_score - base) < 1e-6 * max(1, abs(base))
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(tok(t)), sum(c[w] > 0 for w in tok(t)), n)
-        # the automaton against a walk through the longest retained suffix
     p = 10.0 ** model.logp.astype(float)
     unseen = 256 - (model.logp.shape[1] - 1)
     assert np.allclose(p[:, :-1].sum(1) + unseen * p[:, -1], 1, atol=1e-3)  # each state's distribution sums to 1
