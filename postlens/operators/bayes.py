@@ -1,32 +1,66 @@
 """Auditable character n-gram naive Bayes: training counts, vocabulary, prediction with abstention, admission.
 
-The model is two tables: parameters by class, and (token, label, n). Its size
-is bounded by max_features, so prediction broadcasts it; counting and scoring
-are groupings with partial sums made before the shuffle.
+The model is two tables: parameters by class, and (token, label, n). N-grams
+are counted inside the tasks, over code points in numpy, so that one row for
+each distinct n-gram of some megabytes of text is shuffled. Prediction scores
+each row where it is: the vocabulary is bounded by max_features and goes with
+the tasks as a prefix table.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, model_text, ngrams
+from ..functions.text import model_text
 
 CLASSES = ("human", "ai", "mixed")
 #: Training defaults.
 NGRAM_MIN, NGRAM_MAX, ALPHA, MAX_FEATURES, MARGIN = 3, 5, 1.0, 50_000, 0.15
-
-
-def grams(text: Column, low: int = NGRAM_MIN, high: int = NGRAM_MAX) -> Column:
-    """All character n-grams of the model text. Joined from an array of characters: substring would rescan the text for each."""
-
-    def of(chars: Column) -> Column:
-        return F.concat(*[ngrams(chars, n) for n in range(low, high + 1)])
-
-    return let(F.filter(F.split(model_text(text), ""), lambda c: c != ""), of)
+#: Code points that a task turns into numpy arrays at once; one longer text is taken alone.
+CHUNK = 1 << 20
+
+
+def chunks(texts: list[str]) -> Iterator[tuple[int, str, np.ndarray]]:
+    """(first row, texts end to end, their offsets) of about CHUNK code points each."""
+    size = np.cumsum([0, *(len(t) for t in texts)])
+    start = 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(size, size[start] + CHUNK, side="right")) - 1)
+        yield start, "".join(texts[start:end]), size[start : end + 1] - size[start]
+        start = end
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def counted_grams(text: str, off: np.ndarray, low: int, high: int) -> Iterator[tuple[str, int]]:
+    """The distinct n-grams of all texts, each with how often it occurs; none crosses from text to text."""
+    alphabet, code = np.unique(code_points(text), return_inverse=True)
+    size = len(alphabet)
+    row_end = np.repeat(off[1:], np.diff(off))
+    value, bound = code.astype(np.int64), size
+    for n in range(1, high + 1):
+        if n > 1:
+            if bound * size >= 1 << 62:  # numbered anew, so that the next code point fits
+                value = np.unique(value, return_inverse=True)[1]
+                bound = len(value)
+            value, bound = value[:-1] * size + code[n - 1 :], bound * size
+        if not len(value):
+            return
+        if n >= low:
+            inside = np.flatnonzero(np.arange(len(value)) + n <= row_end[: len(value)])
+            _, first, count = np.unique(value[inside], return_index=True, return_counts=True)
+            for i, k in zip(inside[first].tolist(), count.tolist()):
+                yield text[i : i + n], k
 
 
 def training_violations(rows: DataFrame) -> DataFrame:
@@ -44,7 +78,17 @@ def training_violations(rows: DataFrame) -> DataFrame:
 
 def token_counts(rows: DataFrame, low: int = NGRAM_MIN, high: int = NGRAM_MAX) -> DataFrame:
     """(label, token, n)."""
-    return rows.select(F.col("gold_label").alias("label"), F.explode(grams(F.col("text"), low, high)).alias("token")).groupBy("label", "token").agg(F.count("*").alias("n"))
+
+    def run(batches):
+        for batch in batches:
+            label, text = batch.column("label").to_pylist(), batch.column("text").to_pylist()
+            for one in sorted(set(label), key=str):
+                for _, joined, off in chunks([t or "" for t, x in zip(text, label) if x == one]):
+                    got = list(counted_grams(joined, off, low, high))
+                    yield pa.RecordBatch.from_arrays([pa.array([one] * len(got), pa.string()), pa.array([t for t, _ in got], pa.string()), pa.array([k for _, k in got], pa.int64())], names=["label", "token", "n"])
+
+    counted = rows.select(F.col("gold_label").alias("label"), model_text("text").alias("text")).mapInArrow(run, "label string, token string, n long")
+    return counted.groupBy("label", "token").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(counts: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
@@ -67,8 +111,8 @@ def train(rows: DataFrame, low: int = NGRAM_MIN, high: int = NGRAM_MAX, max_feat
         raise ValueError("n-gram bounds")
     if max_features < 100 or alpha <= 0:
         raise ValueError("max_features must be 100 or more, alpha positive")
-    token = rows.select(F.col("gold_label").alias("label"), F.explode(grams(F.col("text"), low, high)).alias("token"))
-    wide = token.groupBy("token").agg(*[F.count_if(F.col("label") == c).alias(c) for c in CLASSES], F.count("*").alias("total")).orderBy(F.desc("total"), "token").limit(max_features)
+    n = lambda c: F.coalesce(F.sum(F.when(F.col("label") == c, F.col("n"))), F.lit(0))
+    wide = token_counts(rows, low, high).groupBy("token").agg(*[n(c).alias(c) for c in CLASSES], F.sum("n").alias("total")).orderBy(F.desc("total"), "token").limit(max_features)
     spark = rows.sparkSession
     # at most max_features rows: counted once, then a small table
     kept = spark.createDataFrame(wide.select("token", *CLASSES).collect(), "token string, human long, ai long, mixed long")
@@ -84,13 +128,78 @@ def parameters(model: Bayes) -> dict[str, tuple[float, float]]:
     return {c: (math.log(documents[c] / total), math.log(sums[c] + model.alpha * max(sums["v"], 1))) for c in CLASSES}
 
 
-def log_scores(docs: DataFrame, model: Bayes, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, human, ai, mixed): unnormalised log posteriors; tokens outside the vocabulary are ignored."""
+class Prefixes:
+    """The vocabulary as a table for each length: sorted (prefix, next code point) pairs. A look-up of all n-grams at once is a bisection a length."""
+
+    def __init__(self, tokens: list[str], weights: np.ndarray) -> None:
+        self.weights = weights
+        self.alphabet = np.unique(code_points("".join(tokens)))
+        size = len(self.alphabet) + 1
+        coded = [np.searchsorted(self.alphabet, code_points(t)).tolist() for t in tokens]
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        number: dict[int, int] = {}
+        prefix = [0] * len(tokens)
+        for n in range(max(map(len, tokens), default=0)):
+            pair = {i: prefix[i] * size + c[n] for i, c in enumerate(coded) if len(c) > n}
+            keys = np.array(sorted(set(pair.values())), np.int64)
+            number = {k: j for j, k in enumerate(keys.tolist())}
+            token = np.full(len(keys), -1, np.int64)
+            for i, k in pair.items():
+                prefix[i] = number[k]
+                if len(coded[i]) == n + 1:
+                    token[number[k]] = i
+            self.levels.append((keys, token))
+
+    def sums(self, text: str, off: np.ndarray) -> np.ndarray:
+        """Summed weights of the tokens that occur in each text, one column a class."""
+        out = np.zeros((len(off) - 1, self.weights.shape[1]))
+        if not len(self.alphabet) or not text:
+            return out
+        point = code_points(text)
+        code = np.searchsorted(self.alphabet, point)
+        code[code == len(self.alphabet)] = 0
+        code[self.alphabet[code] != point] = len(self.alphabet)  # the number that no token has
+        row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+        at, prefix = np.arange(len(point)), np.zeros(len(point), np.int64)
+        for n, (keys, token) in enumerate(self.levels):
+            fits = at + n < off[row[at] + 1]
+            at, prefix = at[fits], prefix[fits]
+            key = prefix * (len(self.alphabet) + 1) + code[at + n]
+            found = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            same = keys[found] == key
+            at, prefix = at[same], found[same]
+            hit = token[prefix] >= 0
+            for c in range(out.shape[1]):
+                out[:, c] += np.bincount(row[at[hit]], self.weights[token[prefix[hit]], c], len(out))
+        return out
+
+
+def scorer(model: Bayes):
+    """A function of texts to their unnormalised log posteriors, one column a class."""
     priors = parameters(model)
-    weights = model.counts.select("token", *[(F.log(F.col(c) + model.alpha) - priors[c][1]).alias(c) for c in CLASSES])
-    exploded = docs.select(id_col, F.explode_outer(grams(F.col(text_col), model.low, model.high)).alias("token"))
-    joined = exploded.join(F.broadcast(weights), "token", "left")  # at most max_features rows
-    return joined.groupBy(id_col).agg(*[(F.coalesce(F.sum(c), F.lit(0.0)) + priors[c][0]).alias(c) for c in CLASSES])
+    got = model.counts.select("token", *CLASSES).toPandas()  # at most max_features rows
+    weights = np.log(got[list(CLASSES)].to_numpy(float) + model.alpha) - np.array([priors[c][1] for c in CLASSES])
+    table, prior = Prefixes(got["token"].tolist(), weights), np.array([priors[c][0] for c in CLASSES])
+
+    def score(texts: list[str]) -> np.ndarray:
+        parts = [table.sums(joined, off) for _, joined, off in chunks(texts)]
+        return prior + np.concatenate([np.zeros((0, len(CLASSES))), *parts])
+
+    return score
+
+
+def log_scores(docs: DataFrame, model: Bayes, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, human, ai, mixed) of each row: unnormalised log posteriors; tokens outside the vocabulary are ignored, blank texts get nulls."""
+    score = scorer(model)
+
+    @F.pandas_udf("human double, ai double, mixed double")
+    def scored(text: pd.Series) -> pd.DataFrame:
+        texts = text.fillna("").tolist()
+        got = score(texts)
+        got[[not t for t in texts]] = np.nan
+        return pd.DataFrame(got, columns=list(CLASSES))
+
+    return docs.select(id_col, model_text(text_col).alias("_t")).select(id_col, scored("_t").alias("_s")).select(id_col, *[F.nanvl(F.col(f"_s.{c}"), F.lit(None)).alias(c) for c in CLASSES])
 
 
 def decide(scores: DataFrame, margin: float = MARGIN) -> DataFrame:
@@ -107,20 +216,29 @@ def decide(scores: DataFrame, margin: float = MARGIN) -> DataFrame:
 
 
 def predict(docs: DataFrame, model: Bayes, id_col: str = "id", text_col: str = "text", margin: float = MARGIN) -> DataFrame:
-    """decide() of each text; blank texts abstain with null scores."""
-    full = docs.where(F.trim(model_text(text_col)) != "")
-    scored = decide(log_scores(full, model, id_col, text_col), margin)
-    blank = docs.where(F.trim(model_text(text_col)) == "").select(id_col, *[F.lit(None).cast("double").alias(c) for c in (*CLASSES, "decision_margin")], F.lit("abstain").alias("predicted_label"))
-    return scored.unionByName(blank)
+    """decide() of each row; blank texts abstain with null scores."""
+    return decide(log_scores(docs, model, id_col, text_col), margin)
 
 
 def predict_sentences(rows: DataFrame, model: Bayes, id_col: str = "id", margin: float = MARGIN) -> DataFrame:
-    """(id, sentence_predictions) of rows (id, sentences array): mixed counts as abstain; order kept."""
-    flat = rows.select(F.col(id_col).alias("_id"), F.posexplode("sentences").alias("_p", "text")).withColumn("_k", F.struct("_id", "_p"))
-    got = predict(flat.select(F.col("_k").alias("key"), "text"), model, "key", "text", margin)
-    label = F.when(F.col("predicted_label") == "mixed", "abstain").otherwise(F.col("predicted_label"))
-    listed = got.groupBy(F.col("key._id").alias(id_col)).agg(F.array_sort(F.collect_list(F.struct(F.col("key._p").alias("p"), label.alias("label")))).alias("l"))
-    return listed.select(id_col, F.transform("l", lambda x: x["label"]).alias("sentence_predictions"))
+    """(id, sentence_predictions) of rows (id, sentences array): mixed counts as abstain; order kept, each row by itself."""
+    score = scorer(model)
+
+    @F.pandas_udf("array<string>")
+    def labels(sentences: pd.Series) -> pd.Series:
+        listed = [[] if x is None else ["" if t is None else t for t in x] for x in sentences]
+        flat = [t for x in listed for t in x]
+        share = np.exp((z := score(flat)) - z.max(1, initial=-np.inf, keepdims=True))
+        share /= share.sum(1, keepdims=True)
+        ranked = np.sort(share, 1)
+        sure = (ranked[:, -1] - ranked[:, -2] >= margin) & (np.array([t != "" for t in flat], bool))
+        name = np.array(["human", "ai", "abstain"], object)[share.argmax(1)]
+        name[~sure] = "abstain"
+        edge = np.cumsum([0, *map(len, listed)])
+        return pd.Series([name[a:b].tolist() for a, b in zip(edge, edge[1:])], dtype=object)
+
+    folded = rows.select(id_col, F.transform("sentences", lambda s: model_text(s)).alias("_s"))
+    return folded.select(id_col, labels("_s").alias("sentence_predictions"))
 
 
 def model_id(model: Bayes) -> DataFrame:

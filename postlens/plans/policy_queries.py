@@ -33,8 +33,17 @@ def query(sql: str | None = None):
 
 _MODEL_TEXT = f"replace(lower({SQUEEZE('text')}), 'ß', 'ss')"
 _LEAD = lambda n: " || ".join(["x"] + [f"lead(x, {k}) OVER w" for k in range(1, n)])
-_GRAMS = " UNION ALL ".join(f"SELECT id, t{n} AS token FROM led WHERE t{n} IS NOT NULL" for n in (3, 4, 5))
-_NB = f"""{MANIFEST_SQL}, ch AS (SELECT CAST(doc_id AS VARCHAR) AS id, string_split({_MODEL_TEXT}, '') AS c FROM documents), cx AS (SELECT id, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM ch), led AS (SELECT id, {_LEAD(3)} AS t3, {_LEAD(4)} AS t4, {_LEAD(5)} AS t5 FROM cx WINDOW w AS (PARTITION BY id ORDER BY i)), gr AS ({_GRAMS}),
+
+
+def _grams_sql(name: str, source: str) -> str:
+    """CTEs: texts (id, text) of source, and name (id, token) with their n-grams."""
+    each = " UNION ALL ".join(f"SELECT id, t{n} AS token FROM {name}_led WHERE t{n} IS NOT NULL" for n in (3, 4, 5))
+    return f"""{name}_ch AS (SELECT id, string_split({_MODEL_TEXT}, '') AS c FROM ({source})), {name}_cx AS (SELECT id, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM {name}_ch),
+{name}_led AS (SELECT id, {_LEAD(3)} AS t3, {_LEAD(4)} AS t4, {_LEAD(5)} AS t5 FROM {name}_cx WINDOW w AS (PARTITION BY id ORDER BY i)), {name} AS ({each})"""
+
+
+_DOCUMENTS = "SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents"
+_NB = f"""{MANIFEST_SQL}, {_grams_sql('gr', _DOCUMENTS)},
 cnt AS (SELECT gold_label AS label, token, count(*) AS n FROM gr JOIN manifest USING (id) WHERE split = 'calibration' GROUP BY ALL),
 voc AS (SELECT token, CAST(sum(n) AS BIGINT) AS total FROM cnt GROUP BY token ORDER BY total DESC, token LIMIT 50000)"""
 
@@ -44,9 +53,9 @@ def training_rows(spark, sf_dir):
     return manifest(spark, sf_dir).where("split = 'calibration'").join(text, "id")
 
 
-@query(f"WITH {_NB} SELECT label, token, n FROM cnt WHERE n >= 20")
+@query(f"WITH {_NB} SELECT label, token, n FROM cnt")
 def nb_train_counts(spark, sf_dir):
-    return bayes.token_counts(training_rows(spark, sf_dir)).where("n >= 20")
+    return bayes.token_counts(training_rows(spark, sf_dir))
 
 
 @query(f"WITH {_NB} SELECT token, total FROM voc")
@@ -54,17 +63,21 @@ def nb_vocab_topk(spark, sf_dir):
     return bayes.vocabulary(bayes.token_counts(training_rows(spark, sf_dir)))
 
 
-_PREDICT = f"""WITH {_NB}, kept AS (SELECT cnt.* FROM cnt JOIN voc USING (token)), lab AS (SELECT unnest(['human', 'ai', 'mixed']) AS label),
+def _predict_sql(grams: str) -> str:
+    """CTEs up to wd (id, human, ai, mixed, r): the classes' probabilities of each id with text in the n-grams named, and r, the three in descending order."""
+    return f"""kept AS (SELECT cnt.* FROM cnt JOIN voc USING (token)), lab AS (SELECT unnest(['human', 'ai', 'mixed']) AS label),
 den AS (SELECT label, sum(n) + (SELECT count(*) FROM voc) AS d FROM kept GROUP BY label), pri AS (SELECT gold_label AS label, ln(count(*) / (SELECT count(*) FROM manifest WHERE split = 'calibration')) AS p FROM manifest WHERE split = 'calibration' GROUP BY gold_label),
 w AS (SELECT token, label, ln((coalesce(kept.n, 0) + 1) / d) AS lw FROM voc CROSS JOIN lab JOIN den USING (label) LEFT JOIN kept USING (token, label)),
-df AS (SELECT id, token, count(*) AS f FROM gr GROUP BY ALL), sc AS (SELECT id, label, sum(f * lw) AS s FROM df JOIN w USING (token) GROUP BY ALL),
-al AS (SELECT id, label, p + coalesce(s, 0) AS s FROM (SELECT DISTINCT id FROM ch) CROSS JOIN lab JOIN pri USING (label) LEFT JOIN sc USING (id, label)),
+df AS (SELECT id, token, count(*) AS f FROM {grams} GROUP BY ALL), sc AS (SELECT id, label, sum(f * lw) AS s FROM df JOIN w USING (token) GROUP BY ALL),
+al AS (SELECT id, label, p + coalesce(s, 0) AS s FROM (SELECT DISTINCT id FROM {grams}_ch WHERE len(c) > 0 AND c <> ['']) CROSS JOIN lab JOIN pri USING (label) LEFT JOIN sc USING (id, label)),
 ex AS (SELECT id, label, exp(s - max(s) OVER (PARTITION BY id)) AS e FROM al), pr AS (SELECT id, label, e / sum(e) OVER (PARTITION BY id) AS p FROM ex),
-wd AS (SELECT id, max(p) FILTER (label = 'human') AS human, max(p) FILTER (label = 'ai') AS ai, max(p) FILTER (label = 'mixed') AS mixed, list_sort(list(p), 'DESC') AS r FROM pr GROUP BY id)
-SELECT id, round(human, 4) AS human, round(ai, 4) AS ai, round(mixed, 4) AS mixed, CASE WHEN r[1] - r[2] < 0.15 THEN 'abstain' WHEN human >= ai AND human >= mixed THEN 'human' WHEN ai >= mixed THEN 'ai' ELSE 'mixed' END AS predicted_label FROM wd"""
+wd AS (SELECT id, max(p) FILTER (label = 'human') AS human, max(p) FILTER (label = 'ai') AS ai, max(p) FILTER (label = 'mixed') AS mixed, list_sort(list(p), 'DESC') AS r FROM pr GROUP BY id)"""
 
 
-@query(_PREDICT)
+_LABEL = "CASE WHEN r[1] - r[2] < 0.15 THEN 'abstain' WHEN human >= ai AND human >= mixed THEN 'human' WHEN ai >= mixed THEN 'ai' ELSE 'mixed' END"
+
+
+@query(f"WITH {_NB}, {_predict_sql('gr')} SELECT id, round(human, 4) AS human, round(ai, 4) AS ai, round(mixed, 4) AS mixed, {_LABEL} AS predicted_label FROM wd")
 def nb_predict(spark, sf_dir):
     text = documents(spark, sf_dir, F.col("doc_id").cast("string").alias("id"), "text")
     got = bayes.predict(text, bayes.train(training_rows(spark, sf_dir)))
@@ -76,16 +89,20 @@ def nb_model_id(spark, sf_dir):
     return bayes.model_id(bayes.train(training_rows(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH {MANIFEST_SQL}, x AS (SELECT m.*, CASE WHEN d.doc_id % 50 <> 7 THEN d.text END AS text FROM manifest m JOIN documents d ON m.id = CAST(d.doc_id AS VARCHAR))
+SELECT rule, count(*) AS n FROM (SELECT 'not_calibration' AS rule FROM x WHERE split <> 'calibration' UNION ALL SELECT 'blank_text' FROM x WHERE text IS NULL OR trim(text) = '' UNION ALL SELECT 'blank_language' FROM x WHERE language IS NULL OR trim(language) = ''
+UNION ALL SELECT 'blank_group' FROM x WHERE group_id IS NULL OR trim(group_id) = '' UNION ALL SELECT 'class_absent:' || c FROM (SELECT unnest(['human', 'ai', 'mixed']) AS c) WHERE c NOT IN (SELECT gold_label FROM x)) GROUP BY rule""")
 def nb_training_violations(spark, sf_dir):
     text = documents(spark, sf_dir, F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") % 50 != 7, F.col("text")).alias("text"))
     return bayes.training_violations(manifest(spark, sf_dir).join(text, "id")).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH {_NB}, {_grams_sql('st', "SELECT conv_id || '/' || turn AS id, text FROM conversations")}, {_predict_sql('st')}, lb AS (SELECT id, replace({_LABEL}, 'mixed', 'abstain') AS label FROM wd)
+SELECT CAST(conv_id AS VARCHAR) AS id, array_to_string(list(coalesce(label, 'abstain') ORDER BY turn), ',') AS sentence_predictions FROM conversations LEFT JOIN lb ON lb.id = conv_id || '/' || turn GROUP BY conv_id""")
 def nb_sentence_predictions(spark, sf_dir):
     talk = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("sentences"))
-    return bayes.predict_sentences(talk, bayes.train(training_rows(spark, sf_dir)))
+    got = bayes.predict_sentences(talk, bayes.train(training_rows(spark, sf_dir)))
+    return got.select("id", F.array_join("sentence_predictions", ",").alias("sentence_predictions"))
 
 
 # --- origin policy
@@ -316,7 +333,7 @@ def reception_view_order(spark, sf_dir):
 def full_findings(spark, sf_dir):
     zh = zh_corpus(spark, sf_dir)
     text = detector.analyze(zh)
-    top = report.top_sentences(detector.sentence_findings(detector.surprisals(zh.where("language = 'zh'").select("doc_id", "text"))))
+    top = report.top_sentences(detector.sentence_findings(zh.where("language = 'zh'")))
     v = origin.verdicts(*policy_inputs(spark, sf_dir)).withColumnRenamed("case_id", "doc_id")
     joined = text.join(top, "doc_id", "left").join(v, "doc_id")
     return origin.practical(joined.withColumn("assessment", F.col("style_assessment")))

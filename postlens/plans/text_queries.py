@@ -60,7 +60,7 @@ def text_sufficiency(spark, sf_dir):
 
 @query(f"""
 WITH {ZH_SQL}, t AS (SELECT doc_id, {KEEP('text')} AS k, language FROM zh), n AS (SELECT *, CAST({counted('k', HAN)} AS BIGINT) AS han FROM t)
-SELECT doc_id, han, length(regexp_replace(k, '\\s+', '', 'g')) AS chars, CASE WHEN k <> '' AND language <> 'zh' THEN 'unsupported' WHEN han >= 500 THEN 'full' WHEN han >= CASE WHEN language = 'zh' THEN 200 ELSE 400 END THEN 'limited' ELSE 'insufficient' END AS coverage FROM n
+SELECT doc_id, han, length(regexp_replace(k, {quoted(f'[{WS}]+')}, '', 'g')) AS chars, CASE WHEN k <> '' AND language <> 'zh' THEN 'unsupported' WHEN han >= 500 THEN 'full' WHEN han >= CASE WHEN language = 'zh' THEN 200 ELSE 400 END THEN 'limited' ELSE 'insufficient' END AS coverage FROM n
 """)
 def detector_coverage_level(spark, sf_dir):
     return detector.coverage(zh_corpus(spark, sf_dir)).select("doc_id", "han", "chars", "coverage")
@@ -99,7 +99,7 @@ q AS (SELECT r.doc_id, r.sentence_index, sentence, CAST(len(u) AS BIGINT) AS n_u
 
 @query(f"WITH {ZH_SQL}, {_SENTENCE_ROWS} SELECT doc_id, sentence_index, n_units, opener, round(surprisal, 6) AS surprisal FROM q")
 def self_surprisal(spark, sf_dir):
-    return detector.surprisals(zh_corpus(spark, sf_dir)).select("doc_id", "sentence_index", "n_units", "opener", F.round("surprisal", 6).alias("surprisal"))
+    return detector.sentence_findings(zh_corpus(spark, sf_dir)).select("doc_id", "sentence_index", "n_units", "opener", F.round("surprisal", 6).alias("surprisal"))
 
 
 _STATS = """m AS (SELECT doc_id, count(*) AS sentence_count, avg(CASE WHEN n_units > 0 THEN n_units END) AS mean_length, median(CASE WHEN n_units > 0 THEN CAST(n_units AS DOUBLE) END) AS median_length,
@@ -114,7 +114,7 @@ SELECT doc_id, sentence_count, round(coalesce(mean_length, 0), 6) AS mean_length
 FROM m LEFT JOIN o USING (doc_id)
 """)
 def sentence_statistics(spark, sf_dir):
-    s = detector.sentence_statistics(detector.sentence_findings(detector.surprisals(zh_corpus(spark, sf_dir))))
+    s = detector.sentence_statistics(zh_corpus(spark, sf_dir))
     r = lambda c: F.round(c, 6).alias(c)
     return s.select("doc_id", "sentence_count", r("mean_length"), "median_length", r("length_cv"), r("surprisal_mean"), r("surprisal_cv"), r("opener_reuse"))
 
@@ -170,7 +170,7 @@ p AS (SELECT doc_id, sentence_index, {_CUES} + CASE WHEN {counted('sentence', P.
 
 @query(f"WITH {ZH_SQL}, {_SENTENCE_ROWS}, {_POINTS} SELECT doc_id, sentence_index, CAST(points AS BIGINT) AS points, points >= 4 AS pattern_match FROM p")
 def sentence_cues(spark, sf_dir):
-    return detector.sentence_findings(detector.surprisals(zh_corpus(spark, sf_dir))).select("doc_id", "sentence_index", "points", "pattern_match")
+    return detector.sentence_findings(zh_corpus(spark, sf_dir)).select("doc_id", "sentence_index", "points", "pattern_match")
 
 
 @query(f"""

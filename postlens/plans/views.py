@@ -70,17 +70,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str, *columns) -> DataFrame:
-    """Columns of documents; where the table has fewer files than there are cores, texts are dealt over all cores."""
+def documents(spark: SparkSession, sf_dir: str, *columns, deal: bool = False) -> DataFrame:
+    """Columns of documents; where the table has fewer files than there are cores, texts (or, with deal, any columns) are dealt over all cores."""
     d = table(spark, sf_dir, "documents")
     got = d.select(*columns)
     cores = spark.sparkContext.defaultParallelism
-    return got.repartition(cores) if "text" in got.columns and len(d.inputFiles()) < cores else got
+    return got.repartition(cores) if (deal or "text" in got.columns) and len(d.inputFiles()) < cores else got
 
 
 def zh_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, language, text)."""
-    d = documents(spark, sf_dir, "doc_id")
+    d = documents(spark, sf_dir, "doc_id", deal=True)
     phrases = F.array(*[F.lit(p) for p in PHRASES])
     at = lambda i: F.element_at(phrases, ((F.col("doc_id") * 7 + i * (1 + F.col("doc_id") % 3)) % len(PHRASES)).cast("int") + 1)
     text = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), 2 + F.col("doc_id") % 80), at), "")
