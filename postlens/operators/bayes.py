@@ -9,6 +9,8 @@ the tasks as a prefix table.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import model_text
+from .evaluation import canonical_rows, ordered_digest
 
 CLASSES = ("human", "ai", "mixed")
 #: Training defaults.
@@ -241,16 +244,42 @@ def predict_sentences(rows: DataFrame, model: Bayes, id_col: str = "id", margin:
     return folded.select(id_col, labels("_s").alias("sentence_predictions"))
 
 
-def model_id(model: Bayes) -> DataFrame:
-    """One row: a fingerprint of parameters and counts, independent of row order.
+def provenance_rows(rows: DataFrame) -> DataFrame:
+    """(id, group_id, label, language, text_sha256) of training rows; the digest is of the text as the model reads it."""
+    return rows.select("id", "group_id", F.col("gold_label").alias("label"), "language", F.sha2(model_text("text"), 256).alias("text_sha256"))
 
-    Token digests are folded over 256 buckets before they are joined.
-    """
-    row = F.sha2(F.concat_ws("\t", "token", *CLASSES), 256)
-    folded = model.counts.groupBy(F.pmod(F.xxhash64("token"), F.lit(256)).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), ""), 256).alias("d"))
-    classes = model.classes.select(F.lit(-1).cast("long").alias("b"), F.concat_ws(":", "label", "documents").alias("d"))
-    whole = folded.unionByName(classes).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "|").alias("all"))
-    return whole.select(F.sha2(F.concat(F.lit(f"{model.low},{model.high},{model.alpha};"), "all"), 256).alias("model_id"))
+
+def corpus_digest(rows: DataFrame) -> DataFrame:
+    """One row: training_corpus_sha256 of the provenance rows as a canonical JSON list, in order of id."""
+    return ordered_digest(canonical_rows(provenance_rows(rows)), "training_corpus_sha256", ",", "[", "]")
+
+
+def fingerprint(core: dict) -> str:
+    """sha256 of canonical JSON: keys sorted, compact."""
+    return hashlib.sha256(json.dumps(core, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def artifact(model: Bayes, rows: DataFrame) -> dict:
+    """The model as one JSON object with its model_id; at most max_features tokens."""
+    counts = model.counts.toPandas()
+    core = {
+        "schema_version": "1.0", "method": "char_ngram_multinomial_nb_v1", "ngram_min": model.low, "ngram_max": model.high, "alpha": model.alpha,
+        "class_document_counts": {r["label"]: r["documents"] for r in model.classes.collect()},
+        "class_token_counts": {c: {t: int(n) for t, n in zip(counts["token"], counts[c]) if n} for c in CLASSES},
+        "languages": sorted(r[0] for r in rows.select("language").distinct().collect()), "training_corpus_sha256": corpus_digest(rows).first()[0],
+    }
+    return core | {"model_id": fingerprint(core)}
+
+
+def is_untouched(model: dict) -> bool:
+    """Whether an artifact has the schema and method, and the model_id of what it holds."""
+    core = {k: v for k, v in model.items() if k != "model_id"}
+    return model.get("schema_version") == "1.0" and model.get("method") == "char_ngram_multinomial_nb_v1" and model.get("model_id") == fingerprint(core)
+
+
+def model_id(model: Bayes, rows: DataFrame) -> DataFrame:
+    """One row: the artifact's model_id."""
+    return rows.sparkSession.createDataFrame([(artifact(model, rows)["model_id"],)], "model_id string")
 
 
 #: The checks that a release assessment must hold, no more and no less.

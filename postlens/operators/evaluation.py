@@ -1,12 +1,14 @@
 """Benchmark evaluation: manifest checks, leakage, joined metrics, slices, mixed sentences and release gates.
 
-All of it is relational. Metrics of all slices come from one GROUPING SETS pass over one join.
+All of it is relational. Metrics of all slices come from one grouping over one join.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,10 +117,27 @@ def assisted(rows: DataFrame) -> DataFrame:
 
 def slices(rows: DataFrame) -> DataFrame:
     """(slice, value) and the binary view's metrics for each value of each slice field, in one pass."""
-    fields = list(SLICES.values())
-    cells = rows.select(*fields, "gold_label", "predicted_label", F.explode(F.array(*[F.struct(F.lit(name).alias("slice"), F.col(f).alias("value")) for name, f in SLICES.items()])).alias("_s"))
-    flat = cells.select("_s.slice", "_s.value", "gold_label", "predicted_label")
-    return _with_metrics(flat.groupBy("slice", "value").agg(*_assisted())).withColumn("abstention_rate", ratio(F.col("abstentions"), F.col("sample_count")))
+    return _with_metrics(_by_slice(rows).groupBy("slice", "value").agg(*_assisted())).withColumn("abstention_rate", ratio(F.col("abstentions"), F.col("sample_count")))
+
+
+def _by_slice(rows: DataFrame) -> DataFrame:
+    """rows once for each slice field, as (slice, value)."""
+    return rows.select("gold_label", "predicted_label", F.explode(F.array(*[F.struct(F.lit(name).alias("slice"), F.col(f).alias("value")) for name, f in SLICES.items()])).alias("_s")).select("_s.slice", "_s.value", "gold_label", "predicted_label")
+
+
+def slice_confusion(rows: DataFrame) -> DataFrame:
+    """(slice, value, gold_label, predicted_label, n), all 12 cells of each value."""
+    counted = _by_slice(rows).groupBy("slice", "value").agg(*[F.count_if((F.col("gold_label") == g) & (F.col("predicted_label") == p)).alias(f"{g}:{p}") for g in GOLD for p in PREDICTED])
+    cells = F.array(*[F.struct(F.lit(g).alias("gold_label"), F.lit(p).alias("predicted_label"), F.col(f"{g}:{p}").alias("n")) for g in GOLD for p in PREDICTED])
+    return counted.select("slice", "value", F.explode(cells).alias("c")).select("slice", "value", "c.*")
+
+
+def slice_per_class(rows: DataFrame) -> DataFrame:
+    """(slice, value, label) with one-against-the-rest metrics, from the slices' confusion cells."""
+    gold, predicted, n, label = F.col("gold_label"), F.col("predicted_label"), F.col("n"), F.col("label")
+    spread = slice_confusion(rows).withColumn("label", F.explode(F.array(*[F.lit(g) for g in GOLD])))
+    total = lambda when, name: F.sum(F.when(when, n).otherwise(0)).alias(name)
+    return _with_metrics(spread.groupBy("slice", "value", "label").agg(total((gold == label) & (predicted == label), "tp"), total((gold != label) & (predicted == label), "fp"), total((gold == label) & (predicted != label), "fn"), total((gold != label) & (predicted != label), "tn")))
 
 
 def mixed_sentences(rows: DataFrame) -> DataFrame:
@@ -153,19 +172,34 @@ def release_status(gates: DataFrame) -> DataFrame:
     return gates.agg(F.when(F.bool_and("passed"), "pass").otherwise("fail").alias("status"), F.bool_or((F.col("gate") == "locked_blind_only") & F.col("passed")).alias("release_eligible"))
 
 
+def canonical_rows(rows: DataFrame) -> DataFrame:
+    """(id, json): each row's canonical JSON: keys sorted, compact, fields that are null left out."""
+    return rows.select("id", F.to_json(F.struct(*sorted(rows.columns))).alias("json"))
+
+
 def row_digests(manifest: DataFrame) -> DataFrame:
-    """(id, sha256) of each row's canonical JSON (keys sorted, compact)."""
-    fields = sorted(c for c in manifest.columns)
-    return manifest.select("id", F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256).alias("sha256"))
+    """(id, sha256) of each row's canonical JSON."""
+    return canonical_rows(manifest).select("id", F.sha2("json", 256).alias("sha256"))
 
 
-def manifest_digest(manifest: DataFrame) -> DataFrame:
-    """One row: a digest of the row digests, order by id.
+def ordered_digest(lines: DataFrame, name: str, separator: str, start: str = "", end: str = "") -> DataFrame:
+    """One row: sha256 of the JSON of lines (id, json) in order of id, joined. The digest of a sequence is one task's work; it sorts with spilling and holds one batch."""
+
+    def run(batches):
+        digest, first = hashlib.sha256(start.encode()), True
+        for batch in batches:
+            for line in batch.column("json").to_pylist():
+                digest.update((line if first else separator + line).encode())
+                first = False
+        digest.update(end.encode())
+        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()])], names=[name])
 
-    Digests are first folded over 4096 buckets of ids, so that no task joins all rows' text.
-    """
-    bucketed = row_digests(manifest).groupBy(F.pmod(F.xxhash64("id"), F.lit(4096)).alias("b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "sha256"))), lambda x: x["sha256"]), "\n"), 256).alias("part"))
-    return bucketed.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "part"))), lambda x: x["part"]), "\n"), 256).alias("manifest_sha256"))
+    return lines.repartition(1).sortWithinPartitions("id", "json").mapInArrow(run, f"{name} string")
+
+
+def manifest_digest(manifest: DataFrame) -> DataFrame:
+    """One row: manifest_sha256 of the canonical rows, one a line, in order of id."""
+    return ordered_digest(canonical_rows(manifest), "manifest_sha256", "\n")
 
 
 def split_counts(manifest: DataFrame) -> DataFrame:

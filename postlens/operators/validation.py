@@ -134,8 +134,11 @@ def ground(excerpts: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def banned_keys(records: DataFrame, json_col: str = "json") -> DataFrame:
-    """(case_id, key, rule) of prohibited keys at any depth of the JSON text."""
-    keys = records.select("case_id", F.explode(F.array_distinct(F.regexp_extract_all(json_col, F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), F.lit(1)))).alias("key")).withColumn("_k", F.lower("key"))
+    """(case_id, key, rule) of prohibited keys at any depth. The JSON is written anew first, so that no escape hides a key."""
+    plain = F.to_json(F.try_parse_json(json_col))
+    strings = F.regexp_extract_all(plain, F.lit(r'"(?:[^"\\]|\\.)*"\s*:?'), F.lit(0))  # every string, keys with their colon
+    named = F.transform(F.filter(strings, lambda x: x.endswith(":")), lambda x: F.regexp_extract(x, r'^"(.*)"\s*:$', 1))
+    keys = records.select("case_id", F.explode(F.array_distinct(named)).alias("key")).withColumn("_k", F.lower("key"))
     part = F.lit(False)
     for p in BANNED_PARTS:
         part = part | F.contains("_k", F.lit(p))
@@ -144,10 +147,36 @@ def banned_keys(records: DataFrame, json_col: str = "json") -> DataFrame:
     return keys.where(F.col("_k").isin(*BANNED_KEYS) | part).select("case_id", "key", F.lit("banned_key").alias("rule"))
 
 
+# The keys of each level of a record.
+TOP_KEYS = ("method", "audience_assumptions", "reader_views", "cross_reader_patterns", "uncertainties")
+VIEW_KEYS = ("persona", "likely_reaction", "aversion_risk", "friction_points", "positive_signals", "uncertainty")
+FRICTION_KEYS = ("dimension", "excerpt", "reason")
+CONCLUSION_KEYS = ("statement", "excerpt", "evidence", "reason", "personas")
+EVIDENCE_KEYS = ("kind", "locator", "detail")
+
+
 def unknown_keys(records: DataFrame, json_col: str = "json") -> DataFrame:
-    """(case_id, key, rule) of unknown top-level keys."""
-    known = [part.split(" ")[0] for part in ("method", "audience_assumptions", "reader_views", "cross_reader_patterns", "uncertainties")]
-    return records.select("case_id", F.explode(F.array_except(F.json_object_keys(json_col), F.array(*[F.lit(k) for k in known]))).alias("key")).withColumn("rule", F.lit("unknown_key"))
+    """(case_id, key, rule): the unknown keys of each level, with the path of the object that has them."""
+    objects = lambda c: F.coalesce(F.from_json(c, "array<map<string, string>>"), F.array().cast("array<map<string, string>>"))
+    strange = lambda m, known: F.array_except(F.coalesce(F.map_keys(m), F.array().cast("array<string>")), F.array(*[F.lit(k) for k in known]))
+    at = lambda path, m, known: F.transform(strange(m, known), lambda k: F.concat(path, F.lit("."), k))
+    place = lambda path, name, i: F.concat(path, F.lit(f"{name}["), i.cast("string"), F.lit("]"))
+
+    def conclusions(path: Column, name: str, items: Column) -> Column:
+        def of(m: Column, i: Column) -> Column:
+            here = place(path, name, i)
+            return F.concat(at(here, m, CONCLUSION_KEYS), at(F.concat(here, F.lit(".evidence")), F.from_json(m["evidence"], "map<string, string>"), EVIDENCE_KEYS))
+
+        return F.flatten(F.transform(items, of))
+
+    def view(m: Column, i: Column) -> Column:
+        here = place(F.lit(""), "reader_views", i)
+        friction = F.flatten(F.transform(objects(m["friction_points"]), lambda f, j: at(place(here, ".friction_points", j), f, FRICTION_KEYS)))
+        return F.concat(at(here, m, VIEW_KEYS), friction, conclusions(here, ".positive_signals", objects(m["positive_signals"])))
+
+    top = F.from_json(json_col, "map<string, string>")
+    every = F.concat(strange(top, TOP_KEYS), F.flatten(F.transform(objects(top["reader_views"]), view)), conclusions(F.lit(""), "cross_reader_patterns", objects(top["cross_reader_patterns"])))
+    return records.select("case_id", F.explode(every).alias("key")).withColumn("rule", F.lit("unknown_key"))
 
 
 def prohibited_text(texts: DataFrame) -> DataFrame:
@@ -192,12 +221,29 @@ def reception_violations(records: DataFrame, cases: DataFrame, json_col: str = "
         .unionByName(friction.select("case_id", F.concat("path", F.lit(".reason")).alias("path"), F.col("reason").alias("text")))
         .unionByName(concluded.select("case_id", F.concat("path", F.lit(".statement")).alias("path"), F.col("statement").alias("text")))
         .unionByName(concluded.select("case_id", F.concat("path", F.lit(".reason")).alias("path"), F.col("reason").alias("text")))
+        .unionByName(concluded.where("excerpt is null").select("case_id", F.concat("path", F.lit(".evidence.detail")).alias("path"), F.col("evidence.detail").alias("text")))
     )
     keys = banned_keys(records, json_col).unionByName(unknown_keys(records, json_col)).select("case_id", F.col("key").alias("path"), "rule")
     return (
         keys.unionByName(top).unionByName(when(friction, _no(c("dimension").isin(*DIMENSIONS)), "dimension")).unionByName(when(friction, blank(c("excerpt")) | (F.length("excerpt") > 200), "excerpt_length"))
         .unionByName(when(friction, blank(c("reason")) | (F.length("reason") > 1000), "reason_length")).unionByName(when(concluded, blank(c("statement")), "blank_statement")).unionByName(when(concluded, blank(c("reason")), "blank_reason"))
         .unionByName(when(concluded, F.length("excerpt") > 200, "excerpt_length")).unionByName(when(concluded, c("excerpt").isNull() & c("evidence").isNull(), "no_evidence")).unionByName(ungrounded).unionByName(lost).unionByName(prohibited_text(texts))
+        .unionByName(when(concluded, c("excerpt").isNull() & c("evidence").isNotNull() & blank(c("evidence.kind")), "blank_kind")).unionByName(when(positive, c("personas").isNotNull(), "personas_not_allowed"))
+    )
+
+
+def evidence_index(records: DataFrame, cases: DataFrame, json_col: str = "json") -> DataFrame:
+    """(case_id, path, statement, reason, kind, locator, excerpt, detail, personas) of each conclusion: what it rests on, details cut to 500 characters."""
+    r = parsed_reception(records, json_col)
+    view = r.select("case_id", F.posexplode("reader_views").alias("k", "v"))
+    positive = view.select("case_id", "k", F.posexplode("v.positive_signals").alias("j", "f")).select("case_id", F.concat(F.lit("reader_views["), F.col("k").cast("string"), F.lit("].positive_signals["), F.col("j").cast("string"), F.lit("]")).alias("path"), "f.*")
+    crossed = r.select("case_id", F.posexplode("cross_reader_patterns").alias("j", "f")).select("case_id", F.concat(F.lit("cross_reader_patterns["), F.col("j").cast("string"), F.lit("]")).alias("path"), "f.*")
+    both = positive.unionByName(crossed)
+    quoted = ground(both.where("excerpt is not null").select("case_id", "path", F.trim("excerpt").alias("excerpt")), evidence_items(cases)).select("case_id", "path", F.col("locator").alias("found"))
+    quotes = F.col("excerpt").isNotNull()
+    return both.join(quoted, ["case_id", "path"], "left").select(
+        "case_id", "path", F.trim("statement").alias("statement"), F.trim("reason").alias("reason"), F.when(quotes, "excerpt").otherwise(F.col("evidence.kind")).alias("kind"),
+        F.when(quotes, F.col("found")).otherwise(F.col("evidence.locator")).alias("locator"), F.trim("excerpt").alias("excerpt"), F.when(~quotes, F.left("evidence.detail", F.lit(500))).alias("detail"), "personas",
     )
 
 

@@ -92,6 +92,21 @@ def slice_metrics(spark, sf_dir):
     return rounded(E.slices(rated(spark, sf_dir))).withColumn("abstention_rate", F.round("abstention_rate", 6))
 
 
+_FLAT = ", flat AS (" + " UNION ALL ".join(f"SELECT '{name}' AS slice, {field} AS value, gold_label, predicted_label FROM rated" for name, field in E.SLICES.items()) + ")"
+
+
+@query(_FLAT + """ SELECT slice, value, g AS gold_label, p AS predicted_label, count(*) FILTER (gold_label = g AND predicted_label = p) AS n
+FROM flat, (SELECT unnest(['human', 'ai', 'mixed']) AS g), (SELECT unnest(['human', 'ai', 'mixed', 'abstain']) AS p) GROUP BY ALL""")
+def slice_confusion(spark, sf_dir):
+    return E.slice_confusion(rated(spark, sf_dir))
+
+
+@query(_FLAT + """, x AS (SELECT slice, value, label, count(*) FILTER (gold_label = label AND predicted_label = label) AS tp, count(*) FILTER (gold_label <> label AND predicted_label = label) AS fp, count(*) FILTER (gold_label = label AND predicted_label <> label) AS fn, count(*) FILTER (gold_label <> label AND predicted_label <> label) AS tn
+FROM flat, (SELECT unnest(['human', 'ai', 'mixed']) AS label) GROUP BY slice, value, label) """ + _metrics("x", "slice, value, label"))
+def slice_class_metrics(spark, sf_dir):
+    return rounded(E.slice_per_class(rated(spark, sf_dir)))
+
+
 _MIXED = """, d AS (SELECT count(*) AS mixed_document_count, count(sentence_predictions) AS evaluated_document_count FROM rated WHERE gold_label = 'mixed'),
 z AS (SELECT unnest(sentence_labels) AS g, unnest(sentence_predictions) AS p FROM rated WHERE gold_label = 'mixed' AND sentence_predictions IS NOT NULL),
 x AS (SELECT d.*, count(*) AS sentence_count, count(*) FILTER (p = 'abstain') AS sentence_abstentions, count(*) FILTER (g = 'ai' AND p = 'ai') AS tp, count(*) FILTER (g = 'human' AND p = 'ai') AS fp, count(*) FILTER (g = 'ai' AND p <> 'ai') AS fn, count(*) FILTER (g = 'human' AND p <> 'ai') AS tn FROM d, z GROUP BY ALL) """
@@ -115,12 +130,22 @@ def release_gates(spark, sf_dir):
     return E.release_gates(rated(spark, sf_dir).where("split = 'blind'"), "blind").withColumn("value", F.round("value", 6))
 
 
+SQL["release_status"] = f"SELECT CASE WHEN bool_and(passed) THEN 'pass' ELSE 'fail' END AS status, bool_or(gate = 'locked_blind_only' AND passed) AS release_eligible FROM ({SQL['release_gates']})"
+
+
 @query()
 def release_status(spark, sf_dir):
     return E.release_status(E.release_gates(rated(spark, sf_dir).where("split = 'blind'"), "blind"))
 
 
-@query()
+def _field(name: str) -> str:
+    return f"""coalesce('"{name}":' || CAST(to_json({name}) AS VARCHAR), '')"""
+
+
+_CANONICAL = "'{' || " + " || ',' || ".join(_field(c) for c in ("editorial_state", "genre", "gold_label", "group_id", "id", "language", "length_bucket", "locked_blind", "model_family", "platform")) + """ || CASE WHEN sentence_labels IS NULL THEN '' ELSE ',"sentence_labels":' || CAST(to_json(sentence_labels) AS VARCHAR) END || ',' || """ + _field("split") + " || '}'"
+
+
+@query(f" SELECT sha256(string_agg({_CANONICAL}, chr(10) ORDER BY id)) AS manifest_sha256 FROM manifest")
 def manifest_digest(spark, sf_dir):
     return E.manifest_digest(manifest(spark, sf_dir))
 

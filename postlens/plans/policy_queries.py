@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bayes, detector, origin, provenance, report, validation
 from ..streaming import score as streaming
-from .text_queries import SQUEEZE, quoted
+from .text_queries import SQUEEZE, STREAM_SQL, quoted
 from .views import MANIFEST_SQL, documents, manifest, table, zh_corpus
 
 QUERIES, SQL = {}, {}
@@ -84,9 +84,17 @@ def nb_predict(spark, sf_dir):
     return got.select("id", *[F.round(c, 4).alias(c) for c in bayes.CLASSES], "predicted_label")
 
 
-@query()
+_J = lambda x: f"CAST(to_json({x}) AS VARCHAR)"
+_TOKENS = lambda c: f"""(SELECT coalesce(string_agg({_J('token')} || ':' || n, ',' ORDER BY token), '') FROM cnt JOIN voc USING (token) WHERE label = '{c}')"""
+
+
+@query(f"""WITH {_NB}, tr AS (SELECT m.*, sha256({_MODEL_TEXT}) AS ts FROM manifest m JOIN ({_DOCUMENTS}) USING (id) WHERE split = 'calibration'),
+pv AS (SELECT '[' || string_agg('{{"group_id":' || {_J('group_id')} || ',"id":' || {_J('id')} || ',"label":' || {_J('gold_label')} || ',"language":' || {_J('language')} || ',"text_sha256":"' || ts || '"}}', ',' ORDER BY id) || ']' AS j FROM tr),
+dc AS (SELECT string_agg({_J('gold_label')} || ':' || n, ',' ORDER BY gold_label) AS j FROM (SELECT gold_label, count(*) AS n FROM tr GROUP BY gold_label)), lg AS (SELECT string_agg({_J('language')}, ',' ORDER BY language) AS j FROM (SELECT DISTINCT language FROM tr))
+SELECT sha256('{{"alpha":1.0,"class_document_counts":{{' || dc.j || '}},"class_token_counts":{{"ai":{{' || {_TOKENS('ai')} || '}},"human":{{' || {_TOKENS('human')} || '}},"mixed":{{' || {_TOKENS('mixed')} || '}}}},"languages":[' || lg.j || '],"method":"char_ngram_multinomial_nb_v1","ngram_max":5,"ngram_min":3,"schema_version":"1.0","training_corpus_sha256":"' || sha256(pv.j) || '"}}') AS model_id FROM dc, lg, pv""")
 def nb_model_id(spark, sf_dir):
-    return bayes.model_id(bayes.train(training_rows(spark, sf_dir)))
+    rows = training_rows(spark, sf_dir)
+    return bayes.model_id(bayes.train(rows), rows)
 
 
 @query(f"""WITH {MANIFEST_SQL}, x AS (SELECT m.*, CASE WHEN d.doc_id % 50 <> 7 THEN d.text END AS text FROM manifest m JOIN documents d ON m.id = CAST(d.doc_id AS VARCHAR))
@@ -136,13 +144,13 @@ def policy_inputs(spark, sf_dir):
     d = documents(spark, sf_dir, "doc_id", "n_chars", "text")
     k = F.col("doc_id")
     cases = d.select(k.alias("case_id"), (k % 13 != 0).alias("has_text"), (F.col("n_chars") >= 1000).alias("text_sufficient"), F.when(k % 2 == 0, F.array(F.lit("img1"), F.lit("img2"))).otherwise(F.array(F.lit("img1"))).alias("image_ids"))
-    s = table(spark, sf_dir, "events").select((F.col("user_id") % F.lit(d.count())).alias("case_id"), F.col("event_id").alias("e"))
+    s = table(spark, sf_dir, "events").select(F.col("user_id").alias("case_id"), F.col("event_id").alias("e"))
     e, none = F.col("e"), F.lit(None).cast("string")
     signals = s.select(
         "case_id", F.when(e % 3 == 0, "other").otherwise("hive").alias("provider"), F.when(e % 4 == 0, "text").otherwise("image").alias("modality"), F.when(e % 4 == 0, "text").otherwise("img1").alias("scope"),
-        F.when(e % 3 != 0, (e * 37 % 101) / 100).alias("ai_generated_score"), F.when(e % 3 != 0, (e * 53 % 101) / 100).alias("not_ai_generated_score"),
-        F.when(e % 3 == 0, F.when(e % 2 == 0, "positive").otherwise("negative")).otherwise(none).alias("declared_direction"), F.when(e % 3 == 0, F.when(e % 5 == 0, "strong").otherwise("medium")).otherwise(none).alias("declared_strength"),
-    ).where("e % 40 = 1 or e % 40 = 24")
+        F.when(e % 3 != 0, (e * 37 % 1009) / 1100).alias("ai_generated_score"), F.when(e % 3 != 0, (e * 53 % 1009) / 1100).alias("not_ai_generated_score"),
+        F.when(e % 3 == 0, F.when(e % 2 == 0, "positive").otherwise("negative")).otherwise(none).alias("declared_direction"), F.when(e % 3 == 0, F.when(e % 100 == 0, "strong").otherwise("medium")).otherwise(none).alias("declared_strength"),
+    )
     proof = d.where("doc_id % 9 < 3").select(k.alias("case_id"), F.lit("img1").alias("scope"), (k % 9 == 0).alias("valid"), (k % 2 == 0).alias("ai_generated"), (k % 3 == 0).alias("generative_involvement"), F.when(k % 9 == 0, "verified").when(k % 9 == 1, "invalid").otherwise("absent").alias("status"))
     return cases, observations(spark, sf_dir), signals, proof
 
@@ -150,9 +158,9 @@ def policy_inputs(spark, sf_dir):
 _POLICY = f"""WITH obs AS (SELECT doc_id AS case_id, [{_EXPECTED}][doc_id % {len(OBSERVATIONS)} + 1] AS ok, CASE WHEN doc_id % 5 = 0 THEN 'text' WHEN doc_id % 7 = 0 THEN 'elsewhere' WHEN doc_id % 3 = 0 THEN 'img1' ELSE 'post' END AS scope FROM documents),
 cs AS (SELECT doc_id AS case_id, doc_id % 13 <> 0 AS has_text, n_chars >= 1000 AS enough, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS images FROM documents),
 dis AS (SELECT case_id, bool_or(ok AND (scope IN ('post', 'img1') OR scope = 'text' AND has_text)) AS d, bool_or(ok AND (scope = 'elsewhere' OR scope = 'text' AND NOT has_text)) AS unk FROM obs JOIN cs USING (case_id) GROUP BY case_id),
-ev AS (SELECT user_id % (SELECT count(*) FROM documents) AS case_id, event_id AS e FROM events WHERE event_id % 40 IN (1, 24)),
-sg AS (SELECT case_id, CASE WHEN e % 4 = 0 THEN 'text' ELSE 'img1' END AS scope, CASE WHEN e % 3 = 0 THEN CASE WHEN e % 2 = 0 THEN 'p' ELSE 'n' END || CASE WHEN e % 5 = 0 THEN 's' ELSE 'm' END
-   WHEN e * 37 % 101 >= 90 THEN 'ps' WHEN e * 53 % 101 >= 90 THEN 'ns' WHEN e * 37 % 101 >= 50 THEN 'pm' WHEN e * 53 % 101 >= 50 THEN 'nm' END AS k FROM ev),
+ev AS (SELECT user_id AS case_id, event_id AS e FROM events),
+sg AS (SELECT case_id, CASE WHEN e % 4 = 0 THEN 'text' ELSE 'img1' END AS scope, CASE WHEN e % 3 = 0 THEN CASE WHEN e % 2 = 0 THEN 'p' ELSE 'n' END || CASE WHEN e % 100 = 0 THEN 's' ELSE 'm' END
+   WHEN e * 37 % 1009 >= 990 THEN 'ps' WHEN e * 53 % 1009 >= 990 THEN 'ns' WHEN e * 37 % 1009 >= 550 THEN 'pm' WHEN e * 53 % 1009 >= 550 THEN 'nm' END AS k FROM ev),
 sj AS (SELECT case_id, scope, CASE WHEN scope = 'text' AND NOT enough THEN replace(k, 's', 'm') ELSE k END AS k FROM sg JOIN cs USING (case_id)),
 sc AS (SELECT case_id, scope, bool_or(k = 'ps') AS ps, bool_or(k = 'ns') AS ns FROM sj GROUP BY case_id, scope),
 sv AS (SELECT case_id, bool_or(ps AND ns) AS clash, bool_or(ps) AS ps, bool_or(ns) AS ns FROM sc GROUP BY case_id),
@@ -283,7 +291,10 @@ def case_violations(spark, sf_dir):
     return validation.case_violations(cases(spark, sf_dir)).select("case_id", "path", "rule")
 
 
-@query()
+_FIRST = " UNION ALL ".join(f"SELECT CAST(doc_id AS VARCHAR) AS case_id, {k} AS k, '{p}' AS path, '{r}' AS rule FROM documents WHERE {w}" for k, (w, p, r) in enumerate(_RULES))
+
+
+@query(f"SELECT case_id, arg_min(path, k) AS path, arg_min(rule, k) AS rule, count(*) AS violations FROM ({_FIRST}) GROUP BY case_id")
 def first_case_violation(spark, sf_dir):
     return validation.first_violation(validation.case_violations(cases(spark, sf_dir)))
 
@@ -293,35 +304,49 @@ def case_sources(spark, sf_dir):
     return validation.source_list(cases(spark, sf_dir)).select("case_id", F.array_join("sources", ",").alias("sources"))
 
 
-@query("""WITH q AS (SELECT CAST(doc_id AS VARCHAR) AS case_id, doc_id, left(text, 300) AS t, CASE doc_id % 4 WHEN 0 THEN replace(substring(text, 5, 12), 'e', 'E') WHEN 1 THEN 'ON A WALL' WHEN 2 THEN 'picture of ' || doc_id ELSE 'nowhere to be found' END AS excerpt FROM documents)
+@query("""WITH q AS (SELECT CAST(doc_id AS VARCHAR) AS case_id, doc_id, text AS t, CASE doc_id % 4 WHEN 0 THEN replace(substring(text, 1 + doc_id * 7919 % greatest(length(text) - 11, 1), 12), 'e', 'E') WHEN 1 THEN 'ON A WALL' WHEN 2 THEN 'picture of ' || doc_id ELSE 'nowhere to be found' END AS excerpt FROM documents)
 SELECT case_id, excerpt, CASE WHEN doc_id % 37 <> 0 AND contains(replace(lower(t), 'ß', 'ss'), replace(lower(excerpt), 'ß', 'ss')) THEN 'content.text' WHEN doc_id % 2 = 0 AND contains('a picture of ' || doc_id, lower(excerpt)) THEN 'content.images[img1].alt_text' WHEN contains('seen on a wall', lower(excerpt)) THEN 'observations[0].value' END AS locator FROM q""")
 def reception_grounding(spark, sf_dir):
     k = F.col("doc_id")
     d = documents(spark, sf_dir, "doc_id", "text")
-    excerpt = F.when(k % 4 == 0, F.replace(F.substring("text", 5, 12), F.lit("e"), F.lit("E"))).when(k % 4 == 1, "ON A WALL").when(k % 4 == 2, F.concat(F.lit("picture of "), k.cast("string"))).otherwise("nowhere to be found")
+    excerpt = F.when(k % 4 == 0, F.replace(F.substring("text", (k * 7919 % F.greatest(F.length("text") - 11, F.lit(1)) + 1).cast("int"), F.lit(12)), F.lit("e"), F.lit("E"))).when(k % 4 == 1, "ON A WALL").when(k % 4 == 2, F.concat(F.lit("picture of "), k.cast("string"))).otherwise("nowhere to be found")
     quotes = d.select(k.cast("string").alias("case_id"), F.lit("friction").alias("path"), excerpt.alias("excerpt"))
     return validation.ground(quotes, validation.evidence_items(cases(spark, sf_dir))).select("case_id", "excerpt", "locator")
 
 
-def record(**change) -> str:
+def record(friction: dict | None = None, signal: dict | None = None, evidence: dict | None = None, **change) -> str:
+    """A valid record as JSON; friction, signal and evidence change the skeptic's entries, change the top level."""
     view = lambda p: {"persona": p, "likely_reaction": "Reads on.", "aversion_risk": "low", "friction_points": [{"dimension": "specificity", "excerpt": "on a wall", "reason": "Little is said about it."}], "positive_signals": [{"statement": "It is short.", "evidence": {"kind": "observation", "locator": "observations[0].value"}, "reason": "Quick to read."}], "uncertainty": "Small sample."}
-    base = {"method": validation.METHOD, "audience_assumptions": ["General readers."], "reader_views": [view(p) for p in ("neutral", "supporter", "skeptic")], "cross_reader_patterns": [{"statement": "All notice the wall.", "excerpt": "wall", "reason": "It stands out.", "personas": ["neutral", "skeptic"]}], "uncertainties": ["One post only."]}
+    views = [view(p) for p in ("neutral", "supporter", "skeptic")]
+    views[2]["friction_points"][0] |= friction or {}
+    views[2]["positive_signals"][0] |= signal or {}
+    views[2]["positive_signals"][0]["evidence"] |= evidence or {}
+    base = {"method": validation.METHOD, "audience_assumptions": ["General readers."], "reader_views": views, "cross_reader_patterns": [{"statement": "All notice the wall.", "excerpt": "wall", "reason": "It stands out.", "personas": ["neutral", "skeptic"]}], "uncertainties": ["One post only."]}
     return json.dumps(base | change)
 
 
-RECORDS = (
-    record(), record(method="other"), record(rewrite="no"), record(reader_views=[]), record(audience_assumptions=["The author is certainly rich."]), record(uncertainties=["You should add an anecdote."]),
-    record(cross_reader_patterns=[{"statement": "x", "excerpt": "not in the case", "reason": "y", "personas": ["neutral"]}]), record(audience_assumptions=["This post helps to bypass the AI detector."]),
+_SIGNAL = "reader_views[2].positive_signals[0]"
+#: (record, the paths and rules that it breaks)
+JUDGED = (
+    (record(), ()), (record(method="other"), (("method", "method"),)), (record(rewrite="no"), (("rewrite", "banned_key"), ("rewrite", "unknown_key"))),
+    (record(reader_views=[]), (("reader_views", "three_views"), ("reader_views.persona", "personas"))), (record(audience_assumptions=["The author is certainly rich."]), (("audience_assumptions[0]", "author_attribute"),)),
+    (record(uncertainties=["You should add an anecdote."]), (("uncertainties[0]", "rewrite_advice"),)),
+    (record(cross_reader_patterns=[{"statement": "x", "excerpt": "not in the case", "reason": "y", "personas": ["neutral"]}]), (("cross_reader_patterns.personas", "personas"), ("cross_reader_patterns[0]", "not_grounded"))),
+    (record(audience_assumptions=["This post helps to bypass the AI detector."]), (("audience_assumptions[0]", "evasion_advice"),)),
+    (record(friction={"note": "x"}), (("reader_views[2].friction_points[0].note", "unknown_key"),)), (record(evidence={"page": "3"}), ((f"{_SIGNAL}.evidence.page", "unknown_key"),)), (record(evidence={"kind": " "}), ((_SIGNAL, "blank_kind"),)),
+    (record(evidence={"locator": "content.video"}), ((_SIGNAL, "unknown_locator"),)), (record(signal={"personas": ["neutral", "skeptic"]}), ((_SIGNAL, "personas_not_allowed"),)), (record(friction={"dimension": "charm"}), (("reader_views[2].friction_points[0]", "dimension"),)),
+    (record(friction={"excerpt": "x" * 201}), (("reader_views[2].friction_points[0]", "excerpt_length"), ("reader_views[2].friction_points[0]", "not_grounded"))), (record().replace('"method"', '"\\u0072ewrite": 1, "method"'), (("rewrite", "banned_key"), ("rewrite", "unknown_key"))),
 )
+RECORDS = tuple(r for r, _ in JUDGED)
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT CAST(doc_id AS VARCHAR) AS case_id, {quoted(path)} AS path, {quoted(rule)} AS rule FROM documents WHERE doc_id % {len(JUDGED)} = {k}" for k, (_, broken) in enumerate(JUDGED) for path, rule in broken))
 def reception_violations(spark, sf_dir):
     r = _dealt(spark, sf_dir, RECORDS, "json").select(F.col("doc_id").cast("string").alias("case_id"), "json")
     return validation.reception_violations(r, cases(spark, sf_dir))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS case_id, CASE WHEN doc_id % 8 = 3 THEN '' ELSE 'supporter,neutral,skeptic' END AS personas FROM documents")
+@query("SELECT CAST(doc_id AS VARCHAR) AS case_id, CASE WHEN doc_id % 16 = 3 THEN '' ELSE 'supporter,neutral,skeptic' END AS personas FROM documents")
 def reception_view_order(spark, sf_dir):
     r = _dealt(spark, sf_dir, RECORDS, "json").select(F.col("doc_id").cast("string").alias("case_id"), "json")
     return validation.ordered_views(r).select("case_id", F.array_join(F.transform("reader_views", lambda v: v["persona"]), ",").alias("personas"))
@@ -349,13 +374,18 @@ def report_markdown(spark, sf_dir):
     return report.to_markdown(report.nested(full_findings(spark, sf_dir)))
 
 
-@query()
+@query(f"""SELECT doc_id, sha256('{{"assets": [{{"asset_id": "img' || doc_id || '", "media_type": "image/png", "sha256": "' || sha256(source) || '", "size_bytes": ' || n_chars || '}}, {{"asset_id": "b", "media_type": null, "sha256": null, "size_bytes": null}}], "language": ' || CAST(to_json(lang) AS VARCHAR) || ', "text": ' || CAST(to_json(text) AS VARCHAR) || '}}') AS sha256 FROM documents""")
 def content_fingerprint(spark, sf_dir):
-    d = documents(spark, sf_dir, "doc_id", "text", "lang")
-    return d.select("doc_id", report.content_fingerprint(F.col("text"), F.col("lang"), F.array().cast("array<string>")).alias("sha256"))
+    d = documents(spark, sf_dir, "doc_id", "text", "lang", "source", "n_chars")
+    none = F.lit(None).cast("string")
+    assets = F.array(
+        F.struct(F.concat(F.lit("img"), F.col("doc_id").cast("string")).alias("asset_id"), F.lit("image/png").alias("media_type"), F.sha2("source", 256).alias("sha256"), F.col("n_chars").alias("size_bytes")),
+        F.struct(F.lit("b").alias("asset_id"), none.alias("media_type"), none.alias("sha256"), F.lit(None).cast("long").alias("size_bytes")),
+    )
+    return d.select("doc_id", report.content_fingerprint(F.col("text"), F.col("lang"), assets).alias("sha256"))
 
 
-@query()
+@query(STREAM_SQL)
 def stream_scores(spark, sf_dir):
     """The stream's projection, applied to the table."""
     return streaming.score(zh_corpus(spark, sf_dir)).select("doc_id", "language", "han", "coverage", "style_patterns", "style_occurrences", "style_assessment")

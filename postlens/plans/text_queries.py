@@ -145,6 +145,11 @@ def style_assessment(spark, sf_dir):
     return style.scan(zh_corpus(spark, sf_dir)).select("doc_id", F.col("style_patterns").alias("pattern_count"), F.col("style_occurrences").alias("occurrence_count"), F.col("style_assessment").alias("assessment"))
 
 
+STREAM_SQL = f"""WITH {ZH_SQL}, {_STYLE}, v AS (SELECT doc_id, language, {KEEP('text')} AS k, CAST({counted(KEEP('text'), HAN)} AS BIGINT) AS han FROM zh)
+SELECT doc_id, language, han, CASE WHEN k <> '' AND language <> 'zh' THEN 'unsupported' WHEN han >= 500 THEN 'full' WHEN han >= CASE WHEN language = 'zh' THEN 200 ELSE 400 END THEN 'limited' ELSE 'insufficient' END AS coverage,
+  pattern_count AS style_patterns, occurrence_count AS style_occurrences, assessment AS style_assessment FROM v JOIN a USING (doc_id)"""
+
+
 @query(f"""
 WITH {ZH_SQL}, {_Z}
 SELECT doc_id, regexp_matches(s, '(^|[^0-9A-Za-z_一-鿿])(19|20)[0-9][0-9]([^0-9A-Za-z_一-鿿]|$)|公元\\s*[0-9][0-9][0-9][0-9]?\\s*年') AS dates, len(list_distinct(regexp_extract_all(s, {quoted(P.VOICE)}))) >= 2 AS voice,
@@ -191,6 +196,19 @@ def doc_decision(spark, sf_dir):
     return got.select("doc_id", "coverage", "points", F.size("families").cast("long").alias("families"), F.round("share", 6).alias("share"), "classification")
 
 
+@query(f"""
+WITH {ZH_SQL}, {_SENTENCE_ROWS}, {_STATS}, {_POINTS}, sh AS (SELECT doc_id, avg(CASE WHEN points >= 4 THEN 1.0 ELSE 0.0 END) AS share FROM p GROUP BY doc_id), lx AS (SELECT doc_id, {REPEATED} AS repeated FROM (SELECT doc_id, {UNITS(KEEP('text'))} AS u FROM zh)),
+en AS (SELECT doc_id, CASE WHEN count(*) < 2 THEN 0.0 ELSE (log2(sum(n)) - sum(n * log2(n)) / sum(n)) / log2(count(*)) END AS entropy FROM c GROUP BY doc_id)
+SELECT zh.doc_id, [round(CAST(v AS DOUBLE), 6) FOR v IN [coalesce(sentence_count, 0), coalesce(mean_length, 0), coalesce(median_length, 0), coalesce(length_cv, 0), coalesce(surprisal_mean, 0), coalesce(surprisal_cv, 0), coalesce(reused / sentence_count, 0), coalesce(share, 0), repeated, coalesce(entropy, 0)]] AS features
+FROM zh LEFT JOIN m USING (doc_id) LEFT JOIN o USING (doc_id) LEFT JOIN sh USING (doc_id) LEFT JOIN lx USING (doc_id) LEFT JOIN en USING (doc_id) WHERE language = 'zh'
+""")
+def feature_vector(spark, sf_dir):
+    """The 11 features but for the zlib ratio, which SQL has no function for."""
+    got = detector.analyze(zh_corpus(spark, sf_dir), compress=False).where("language = 'zh'")
+    at = detector.FEATURES.index("compression")
+    return got.select("doc_id", F.concat(F.slice(detector.feature_vector(), 1, at), F.slice(detector.feature_vector(), at + 2, len(detector.FEATURES))).alias("features"))
+
+
 @query()
 def doc_decision_full(spark, sf_dir):
     got = detector.analyze(zh_corpus(spark, sf_dir))
@@ -198,10 +216,10 @@ def doc_decision_full(spark, sf_dir):
 
 
 @query("""
-WITH t AS (SELECT doc_id, 'req ' || doc_id || ' Authorization: Bearer ' || md5(source) || ', x-api-key=' || source || '; api_key : ' || lang || ' ' || left(text, 900) AS s FROM documents)
+WITH t AS (SELECT doc_id, 'req ' || doc_id || ' Authorization: Bearer ' || md5(source) || ', x-api-key=' || source || '; api_key : ' || lang || ' ' || text AS s FROM documents)
 SELECT doc_id, left(regexp_replace(regexp_replace(regexp_replace(replace(s, 'src7', '[REDACTED]'), '(?i)(authorization\\s*[:=]\\s*(?:token|bearer)?\\s*)[^\\s,;]+', '\\1[REDACTED]', 'g'), '(?i)(x-api-key\\s*[:=]\\s*)[^\\s,;]+', '\\1[REDACTED]', 'g'), '(?i)(api[_-]?key\\s*[:=]\\s*)[^\\s,;]+', '\\1[REDACTED]', 'g'), 1000) AS redacted FROM t
 """)
 def redact_text(spark, sf_dir):
     d = documents(spark, sf_dir, "doc_id", "text", "source", "lang")
-    message = F.concat(F.lit("req "), F.col("doc_id").cast("string"), F.lit(" Authorization: Bearer "), F.md5("source"), F.lit(", x-api-key="), "source", F.lit("; api_key : "), "lang", F.lit(" "), F.left("text", F.lit(900)))
+    message = F.concat(F.lit("req "), F.col("doc_id").cast("string"), F.lit(" Authorization: Bearer "), F.md5("source"), F.lit(", x-api-key="), "source", F.lit("; api_key : "), "lang", F.lit(" "), "text")
     return d.select("doc_id", redact(message, ("src7",)).alias("redacted"))

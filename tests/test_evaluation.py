@@ -1,3 +1,8 @@
+import hashlib
+import json
+import random
+from collections import Counter
+
 from postlens.operators import bayes, evaluation as E
 
 MANIFEST = "id string, gold_label string, language string, platform string, genre string, length_bucket string, model_family string, editorial_state string, group_id string, split string, locked_blind boolean, sentence_labels array<string>"
@@ -53,7 +58,12 @@ def test_bayes(spark):
     model = bayes.train(rows, max_features=200)
     got = {r.id: r.predicted_label for r in bayes.predict(spark.createDataFrame([("1", "the cat purred"), ("2", "crucial synergies"), ("3", " "), ("4", "ß∂ƒ")], "id string, text string"), model).collect()}
     assert got["1"] == "human" and got["2"] == "ai" and got["3"] == "abstain" and got["4"] == "abstain"
-    assert bayes.model_id(model).first() == bayes.model_id(bayes.train(rows, max_features=200)).first()
+    made = bayes.artifact(model, rows)
+    assert bayes.is_untouched(made) and not bayes.is_untouched(made | {"alpha": 2.0}) and bayes.model_id(bayes.train(rows, max_features=200), rows).first()[0] == made["model_id"]
+    kept = sorted(({"id": r.id, "label": r.gold_label, "group_id": r.group_id, "language": r.language, "text_sha256": hashlib.sha256(r.text.encode()).hexdigest()} for r in rows.collect()), key=lambda r: r["id"])
+    assert made["training_corpus_sha256"] == hashlib.sha256(json.dumps(kept, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    twice = spark.createDataFrame([("1", "the cat purred"), ("1", "crucial synergies")], "id string, text string")
+    assert sorted(r.predicted_label for r in bayes.predict(twice, model).collect()) == ["ai", "human"]
     s = bayes.predict_sentences(spark.createDataFrame([("d", ["the cat sat", "0123 4567"])], "id string, sentences array<string>"), model).first()
     assert s.sentence_predictions == ["human", "abstain"]
 
@@ -64,3 +74,22 @@ def test_admission(spark):
     forged = ("en", ["en"], "1.0", "blind", True, "a" * 64, 5, True, "pass", "m", "m", {"fpr": True}, dict.fromkeys(bayes.LANGUAGE_CHECKS, True))
     assert bayes.admission_violations(spark.createDataFrame([good], schema)).count() == 0
     assert [r.rule for r in bayes.admission_violations(spark.createDataFrame([forged], schema)).collect()] == ["overall_checks"]
+
+
+def test_grams_and_prefixes_against_slices(spark):
+    r = random.Random(3)
+    texts = ["".join(r.choice("abß天𝄞 ") for _ in range(r.randint(0, 30))) for _ in range(60)]
+    grams = lambda t: [t[i : i + n] for n in (3, 4, 5) for i in range(len(t) - n + 1)]
+    got = Counter()
+    for _, joined, off in bayes.chunks(texts):
+        for token, n in bayes.counted_grams(joined, off, 3, 5):
+            got[token] += n
+    assert got == Counter(g for t in texts for g in grams(t))
+    tokens = sorted(got)[::3]
+    import numpy as np
+
+    weights = np.random.default_rng(1).random((len(tokens), 3))
+    table = bayes.Prefixes(tokens, weights)
+    _, joined, off = next(bayes.chunks(texts))
+    at = {t: w for t, w in zip(tokens, weights)}
+    assert np.allclose(table.sums(joined, off), [sum((at[g] for g in grams(t) if g in at), np.zeros(3)) for t in texts])
