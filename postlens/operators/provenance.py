@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Source types by category.
 GENERATED = ("trainedalgorithmicmedia",)
@@ -13,8 +18,12 @@ ACTIONS = r"^c2paactions(v[0-9]+)?$"
 METADATA = ("c2pametadata", "stdsiptcphotometadata")
 #: Classes of a response that name no source.
 NO_SOURCE = ("ai_generated", "not_ai_generated", "deepfake", "none", "inconclusive", "inconclusive_video")
+ASSET_ID = r"\A[A-Za-z0-9][A-Za-z0-9._-]{0,127}\z"
 MAX_BYTES = 20 * 1024 * 1024
 
+# Spelled out, as DDL can't be read where executors import this module.
+_STATUSES = T.ArrayType(T.StructType([T.StructField("code", T.StringType()), T.StructField("explanation", T.StringType())]))
+_SCORES = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("score", T.DoubleType())]))
 _ACTION = "struct<digitalSourceType: string, digital_source_type: string>"
 STORE = f"active_manifest string, manifests map<string, struct<claim_generator: string, assertions: array<struct<label: string, data: struct<actions: array<{_ACTION}>, digitalSourceType: string, digital_source_type: string>>>>>"
 
@@ -28,13 +37,51 @@ def source_category(token: Column) -> Column:
     return F.when(token.isin(*GENERATED), "generated").when(token.isin(*GENERATIVE_EDIT), "generative_edit").when(token.isin(*NON_GENERATIVE), "non_generative_algorithmic").otherwise("unknown")
 
 
-def statuses(json: Column) -> Column:
-    """Number of non-empty entries of any validation_status list, at any depth, by their code fields."""
-    return F.size(F.filter(F.regexp_extract_all(json, F.lit(r'"validation_status"\s*:\s*\[([^\]]*)\]'), F.lit(1)), lambda s: F.trim(s) != ""))
+def objects(value, skip: str | None = None) -> Iterator[dict]:
+    """Every object in a JSON value, parents first; lists under the key `skip` are not entered. A stack, so depth is no limit."""
+    stack = [value]
+    while stack:
+        v = stack.pop()
+        if isinstance(v, dict):
+            yield v
+            stack.extend(reversed([x for k, x in v.items() if not (k == skip and isinstance(x, list))]))
+        elif isinstance(v, list):
+            stack.extend(reversed(v))
+
+
+def parsed(text: str | None):
+    """A JSON value, or None: null, not JSON, or nested too deeply to read."""
+    try:
+        return json.loads(text) if text else None
+    except (ValueError, RecursionError):
+        return None
+
+
+@F.pandas_udf(_STATUSES)
+def statuses(store: pd.Series) -> pd.Series:
+    """The entries of all validation_status lists, at any depth; explanations cut to 300. No built-in looks at any depth."""
+    entry = lambda x: {"code": str(x.get("code") or ""), "explanation": str(x.get("explanation") or "")[:300]}
+    lists = lambda text: [o["validation_status"] for o in objects(parsed(text), "validation_status") if isinstance(o.get("validation_status"), list)]
+    return store.map(lambda text: [entry(x) for found in lists(text) for x in found if isinstance(x, dict)])
+
+
+@F.pandas_udf(_SCORES)
+def class_scores(response: pd.Series) -> pd.Series:
+    """Classes with a number as score (booleans are none), at any depth: lower-cased names as first met, each with its highest score, 0 at least."""
+
+    def of(text):
+        best: dict[str, float] = {}
+        for o in objects(parsed(text)):
+            name, score = o.get("class"), o.get("score")
+            if isinstance(name, str) and isinstance(score, (int, float)) and not isinstance(score, bool):
+                best[name.casefold()] = max(best.get(name.casefold(), 0.0), float(score))
+        return [{"name": k, "score": v} for k, v in best.items()]
+
+    return response.map(of)
 
 
 def manifest_results(stores: DataFrame, json_col: str = "store") -> DataFrame:
-    """stores with status (absent, invalid, verified), valid, ai_generated, generative_involvement, categories.
+    """stores with status (absent, invalid, verified), validation_status (code, explanation), valid, ai_generated, generative_involvement, categories.
 
     Only assertions of the active manifest with trusted labels count: actions and two metadata labels, never ingredients.
     """
@@ -48,16 +95,16 @@ def manifest_results(stores: DataFrame, json_col: str = "store") -> DataFrame:
 
     found = F.flatten(F.transform(F.coalesce(F.col("_m.assertions"), F.array()), values))
     tokens = F.filter(F.transform(F.array_compact(found), source_token), lambda t: t != "")
-    out = parsed.withColumns({"categories": F.coalesce(F.array_sort(F.array_distinct(F.transform(tokens, source_category))), F.array().cast("array<string>")), "_n": statuses(F.col(json_col))})
-    present, clean = F.col("_m").isNotNull(), F.col("_n") == 0
+    out = parsed.withColumns({"categories": F.coalesce(F.array_sort(F.array_distinct(F.transform(tokens, source_category))), F.array().cast("array<string>")), "validation_status": statuses(json_col)})
+    present, clean = F.col("_m").isNotNull(), F.size("validation_status") == 0
     return out.withColumns({
         "status": F.when(~present, "absent").when(clean, "verified").otherwise("invalid"), "valid": present & clean,
         "ai_generated": present & clean & F.array_contains("categories", "generated"), "generative_involvement": present & clean & (F.array_contains("categories", "generated") | F.array_contains("categories", "generative_edit")),
         "claim_generator": F.left(F.nullif(F.col("_m.claim_generator"), F.lit("")), F.lit(300)),
-    }).drop("_s", "_m", "_n")
+    }).drop("_s", "_m")
 
 
-RESPONSE = "status array<struct<response: struct<input: struct<model_version: string>, output: array<struct<classes: array<struct<class: string, score: double>>>>>>>"
+RESPONSE = "status array<struct<response: struct<input: struct<model_version: string>>>>"
 
 
 def provider_results(responses: DataFrame, id_col: str = "id", json_col: str = "response") -> DataFrame:
@@ -65,14 +112,12 @@ def provider_results(responses: DataFrame, id_col: str = "id", json_col: str = "
 
     error is null, or the first rule that the response breaks: json, model_version, classes, generation_classes, score_range.
     """
-    # numbers only: a boolean score is none
-    parsed = responses.select(id_col, F.col(json_col).alias("_j"), F.from_json(F.regexp_replace(json_col, r'"score"\s*:\s*(true|false)', '"score":null'), RESPONSE).alias("_r"))
-    flat = F.flatten(F.transform(F.flatten(F.transform("_r.status", lambda s: F.coalesce(s["response"]["output"], F.array()))), lambda o: F.coalesce(o["classes"], F.array())))
-    named = F.transform(F.filter(flat, lambda c: c["class"].isNotNull() & c["score"].isNotNull()), lambda c: F.struct(F.lower(c["class"]).alias("name"), c["score"].alias("score")))
-    rows = parsed.withColumns({"_c": F.coalesce(named, F.array().cast("array<struct<name: string, score: double>>")), "model_version": F.col("_r.status")[0]["response"]["input"]["model_version"]})
+    read = responses.select(id_col, F.col(json_col).alias("_j"), F.from_json(json_col, RESPONSE).alias("_r"))
+    rows = read.withColumns({"_c": class_scores("_j"), "model_version": F.col("_r.status")[0]["response"]["input"]["model_version"]})
     best = lambda name: F.array_max(F.transform(F.filter("_c", lambda c: c["name"] == name), lambda c: c["score"]))
     sources = F.filter("_c", lambda c: ~c["name"].isin(*NO_SOURCE))
-    top = F.array_max(F.transform(sources, lambda c: F.struct(c["score"].alias("score"), c["name"].alias("name"))))
+    highest = F.array_max(F.transform(sources, lambda c: c["score"]))
+    top = F.get(F.filter(sources, lambda c: c["score"] == highest), F.lit(0))  # ties: the first met
     out = rows.withColumns({"ai_generated_score": best("ai_generated"), "not_ai_generated_score": best("not_ai_generated"), "deepfake_score": best("deepfake"), "_top": top})
     outside = lambda c: F.coalesce(~F.col(c).between(0, 1), F.lit(False))
     error = (
@@ -100,12 +145,24 @@ def asset_summaries(media: DataFrame, content_col: str = "content", id_col: str
     """(asset_id, media_type, size_bytes, sha256, error); never a path. A missing id is made from the digest."""
     digest, size, kind = F.sha2(F.col(content_col), 256), F.octet_length(content_col).cast("long"), media_type(F.col(content_col))
     given = F.col(id_col)
-    error = F.when(size == 0, "empty").when(size > max_bytes, "too_large").when(kind.isNull(), "signature").when(given.isNotNull() & ~F.rlike(given, F.lit(r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$")), "asset_id")
+    error = F.when(size == 0, "empty").when(size > max_bytes, "too_large").when(kind.isNull(), "signature").when(given.isNotNull() & ~F.rlike(given, F.lit(ASSET_ID)), "asset_id")
     return media.select(F.coalesce(given, F.concat(F.lit("asset-"), F.left(digest, F.lit(16)))).alias("asset_id"), kind.alias("media_type"), size.alias("size_bytes"), digest.alias("sha256"), error.alias("error"))
 
 
+def valid_asset_id(c: Column) -> Column:
+    return F.coalesce(F.rlike(c, F.lit(ASSET_ID)), F.lit(False))
+
+
 def selection_violations(selected: DataFrame, known: DataFrame) -> DataFrame:
-    """(case_id, asset_id, rule) of selected assets that are unknown or chosen twice."""
+    """(case_id, asset_id, rule) of selected assets whose id is invalid, unknown, or chosen twice."""
+    invalid = selected.where(~valid_asset_id(F.col("asset_id"))).select("case_id", "asset_id", F.lit("invalid_asset_id").alias("rule"))
+    selected = selected.where(valid_asset_id(F.col("asset_id")))
     unknown = selected.join(known, ["case_id", "asset_id"], "left_anti").select("case_id", "asset_id", F.lit("unknown_asset").alias("rule"))
     twice = selected.groupBy("case_id", "asset_id").agg(F.count("*").alias("n")).where("n > 1").select("case_id", "asset_id", F.lit("duplicate_asset").alias("rule"))
-    return unknown.unionByName(twice)
+    return invalid.unionByName(unknown).unionByName(twice)
+
+
+def selected_assets(selected: DataFrame, known: DataFrame) -> DataFrame:
+    """The summaries (known: case_id, asset_id, ...) of the selected assets (case_id, place, asset_id), with their place, of cases whose selection breaks no rule."""
+    faulty = selection_violations(selected, known).select("case_id").distinct()
+    return selected.join(faulty, "case_id", "left_anti").join(known, ["case_id", "asset_id"])

@@ -51,6 +51,8 @@ RECEPTION_SCHEMA = (
     f"cross_reader_patterns array<struct<{_CONCLUSION}>>, uncertainties array<string>"
 )
 
+RECEPTION_FIELDS = ("method", "audience_assumptions", "reader_views", "cross_reader_patterns", "uncertainties")
+
 
 def blank(c: Column) -> Column:
     return c.isNull() | (squeeze(c) == "")

@@ -11,7 +11,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from ..operators import bayes, detector, origin, provenance, report, validation
+from ..operators import bayes, detector, origin, provenance, report, style, validation
 from ..streaming import score as streaming
 from .text_queries import SQUEEZE, STREAM_SQL, quoted
 from .views import MANIFEST_SQL, documents, manifest, table, zh_corpus
@@ -141,9 +141,9 @@ def disclosure_check(spark, sf_dir):
 
 
 def policy_inputs(spark, sf_dir):
-    d = documents(spark, sf_dir, "doc_id", "n_chars", "text")
+    d = documents(spark, sf_dir, "doc_id", "n_chars", "text", "lang")
     k = F.col("doc_id")
-    cases = d.select(k.alias("case_id"), (k % 13 != 0).alias("has_text"), (F.col("n_chars") >= 1000).alias("text_sufficient"), F.when(k % 2 == 0, F.array(F.lit("img1"), F.lit("img2"))).otherwise(F.array(F.lit("img1"))).alias("image_ids"))
+    cases = d.select(k.alias("case_id"), F.col("lang").alias("language"), (k % 13 != 0).alias("has_text"), (F.col("n_chars") >= 1000).alias("text_sufficient"), F.when(k % 2 == 0, F.array(F.lit("img1"), F.lit("img2"))).otherwise(F.array(F.lit("img1"))).alias("image_ids"))
     s = table(spark, sf_dir, "events").select(F.col("user_id").alias("case_id"), F.col("event_id").alias("e"))
     e, none = F.col("e"), F.lit(None).cast("string")
     signals = s.select(
@@ -175,6 +175,30 @@ def origin_verdict(spark, sf_dir):
     return origin.verdicts(*policy_inputs(spark, sf_dir)).select("case_id", "verdict", "confidence", "unknown_scopes", "images_skipped")
 
 
+@query(f"""{_POLICY}, pm AS (SELECT case_id, bool_or(k = 'pm') AND NOT coalesce(bool_or(k = 'ps'), false) AS below FROM sj GROUP BY case_id)
+SELECT case_id, '{",".join(origin.LIMITS)}' || CASE WHEN has_text AND NOT enough THEN ',text_below_threshold' ELSE '' END || CASE WHEN has_text AND coalesce(lang, '') <> 'zh' THEN ',text_patterns_know_zh_only' ELSE '' END
+|| CASE WHEN coalesce(below, false) THEN ',positive_below_strong' ELSE '' END || CASE WHEN images - CASE WHEN case_id % 9 < 3 THEN 1 ELSE 0 END > 0 THEN ',images_unchecked' ELSE '' END AS limitations
+FROM cs JOIN (SELECT doc_id AS case_id, lang FROM documents) USING (case_id) LEFT JOIN pm USING (case_id)""")
+def origin_limitations(spark, sf_dir):
+    return origin.verdicts(*policy_inputs(spark, sf_dir)).select("case_id", F.array_join("limitations", ",").alias("limitations"))
+
+
+@query(f"""{_POLICY} SELECT case_id, type, strength, scope, count(*) AS n FROM (
+SELECT case_id, 'explicit_disclosure' AS type, 'verified' AS strength, scope FROM obs JOIN cs USING (case_id) WHERE ok AND (scope IN ('post', 'img1') OR scope = 'text' AND has_text)
+UNION ALL SELECT case_id, 'invalid_disclosure_scope', 'warning', 'unknown' FROM obs JOIN cs USING (case_id) WHERE ok AND (scope = 'elsewhere' OR scope = 'text' AND NOT has_text)
+UNION ALL SELECT case_id, 'provenance', CASE WHEN proven THEN 'verified' ELSE 'warning' END, 'img1' FROM pf WHERE proven OR case_id % 9 = 1
+UNION ALL SELECT case_id, 'provider_signal', CASE right(k, 1) WHEN 's' THEN 'strong' WHEN 'm' THEN 'medium' ELSE 'weak' END, scope FROM sj) GROUP BY ALL""")
+def origin_evidence(spark, sf_dir):
+    return origin.evidence(*policy_inputs(spark, sf_dir)).groupBy("case_id", "type", "strength", "scope").agg(F.count("*").alias("n"))
+
+
+@query(f"""{_POLICY}, im AS (SELECT case_id, unnest(CASE WHEN images = 2 THEN ['img1', 'img2'] ELSE ['img1'] END) AS id FROM cs), sn AS (SELECT case_id, scope AS id, count(*) AS n FROM sg GROUP BY ALL)
+SELECT case_id, id, CASE WHEN id = 'img1' THEN CASE case_id % 9 WHEN 0 THEN 'verified' WHEN 1 THEN 'invalid' WHEN 2 THEN 'absent' END END AS provenance_status, CAST(coalesce(n, 0) AS BIGINT) AS signals FROM im LEFT JOIN sn USING (case_id, id)""")
+def asset_findings(spark, sf_dir):
+    cases, _, signals, proof = policy_inputs(spark, sf_dir)
+    return origin.asset_findings(cases.select("case_id", F.explode("image_ids").alias("id")), proof, signals).select("case_id", "id", "provenance_status", "signals")
+
+
 _CLASSES = ("strong_pattern_match", "localized_pattern_match", "insufficient_evidence", "unsupported_language", "unresolved")
 _ASSESSMENTS = ("strong_ai_style_patterns", "some_ai_style_patterns", "few_ai_style_patterns", "not_applicable")
 
@@ -182,7 +206,7 @@ _ASSESSMENTS = ("strong_ai_style_patterns", "some_ai_style_patterns", "few_ai_st
 def findings(spark, sf_dir):
     pick = lambda values, by: F.element_at(F.array(*[F.lit(v) for v in values]), (by % len(values) + 1).cast("int"))
     v = origin.verdicts(*policy_inputs(spark, sf_dir))
-    return v.withColumns({"classification": pick(_CLASSES, F.col("case_id")), "assessment": pick(_ASSESSMENTS, F.floor(F.col("case_id") / 5))})
+    return v.withColumns({"classification": pick(_CLASSES, F.col("case_id")), "assessment": pick(_ASSESSMENTS, F.floor(F.col("case_id") / 5)), "points": F.col("case_id") % 12, "families": F.array_repeat(F.lit("f"), (F.col("case_id") % 4).cast("int")), "style_confounds": F.when(F.col("case_id") % 6 == 0, F.array(F.lit("hashtags")))})
 
 
 @query(f"""{_POLICY}, f AS (SELECT case_id, verdict, {list(_CLASSES)}[case_id % 5 + 1] AS c, {list(_ASSESSMENTS)}[(case_id // 5) % 4 + 1] AS a FROM vd)
@@ -192,6 +216,16 @@ def practical_label(spark, sf_dir):
     return origin.practical(findings(spark, sf_dir)).select("case_id", "label")
 
 
+@query(f"""{_POLICY}, f AS (SELECT case_id, verdict, {list(_CLASSES)}[case_id % 5 + 1] AS c, {list(_ASSESSMENTS)}[(case_id // 5) % 4 + 1] AS a FROM vd),
+vs AS (SELECT case_id, string_agg(DISTINCT scope, ', ' ORDER BY scope) AS scopes FROM (SELECT case_id, scope FROM obs JOIN cs USING (case_id) WHERE ok AND (scope IN ('post', 'img1') OR scope = 'text' AND has_text) UNION ALL SELECT case_id, 'img1' FROM pf WHERE proven) GROUP BY case_id)
+SELECT case_id, CASE WHEN verdict = 'verified_ai_provenance' THEN 'verified_for: ' || scopes WHEN verdict = 'conflicting_evidence' THEN 'strong_evidence_conflicts' WHEN verdict = 'strong_ai_indicators' THEN 'strong_signal_is_no_provenance'
+WHEN c = 'strong_pattern_match' THEN 'dense_patterns_in_families: ' || case_id % 4 || '|indicator_points: ' || case_id % 12 WHEN c = 'localized_pattern_match' THEN 'localized_patterns_uncalibrated' WHEN c IN ('insufficient_evidence', 'unsupported_language') THEN 'text_or_language_not_covered'
+WHEN a IN ('strong_ai_style_patterns', 'some_ai_style_patterns') THEN 'style_alone: ' || a WHEN verdict = 'no_reliable_ai_evidence' THEN 'strong_negative_signal' ELSE 'no_evidence_available' END AS basis,
+concat_ws('|', CASE WHEN verdict <> 'verified_ai_provenance' THEN 'no_verified_provenance' END, CASE WHEN case_id % 6 = 0 THEN 'hashtags' END) AS counterweights FROM f LEFT JOIN vs USING (case_id)""")
+def practical_basis(spark, sf_dir):
+    return origin.practical(findings(spark, sf_dir)).select("case_id", F.array_join("basis", "|").alias("basis"), F.array_join("counterweights", "|").alias("counterweights"))
+
+
 @query("""WITH x AS (SELECT doc_id AS case_id, doc_id % 3 AS selected, doc_id % 4 AS images, doc_id % 2 AS completed, doc_id % 5 <> 0 AS auth, doc_id % 7 = 0 AS nokey FROM documents)
 SELECT case_id, CASE WHEN selected = 0 AND images > 0 THEN 'not_run_no_assets_selected' WHEN selected = 0 THEN 'not_applicable' WHEN completed = selected THEN 'completed' WHEN NOT auth THEN 'not_run_no_consent' WHEN nokey THEN 'not_run_missing_key' WHEN completed > 0 THEN 'partial' ELSE 'failed' END AS status FROM x""")
 def provider_coverage(spark, sf_dir):
@@ -213,7 +247,7 @@ _TRAINED = "http://cv.iptc.org/newscodes/digitalsourcetype/trainedAlgorithmicMed
 STORES = (
     (_store([{"action": "c2pa.created", "digitalSourceType": _TRAINED}]), "verified", True, True), (_store([{"digitalSourceType": "x#compositeWithTrainedAlgorithmicMedia"}], "c2pa.actions.v2"), "verified", False, True),
     (_store([{"digital_source_type": "algorithmicallyEnhanced"}]), "verified", False, False), (_store([{"digitalSourceType": _TRAINED}], "c2pa.ingredient.v3"), "verified", False, False),
-    (_store([{"digitalSourceType": _TRAINED}], status=[{"code": "claim.mismatch"}]), "invalid", False, False), (_store([], active="m9"), "absent", False, False), (_store(label="c2pa.metadata", data={"digitalSourceType": _TRAINED}), "verified", True, True), ("{}", "absent", False, False),
+    (_store([{"digitalSourceType": _TRAINED}], status=[{"code": "claim.mismatch"}]), "invalid", False, False), (_store([], active="m9"), "absent", False, False), (_store([{"digitalSourceType": _TRAINED, "more": {"validation_status": [{"code": "x", "explanation": "a ] b"}]}}]), "invalid", False, False), (_store([{"digitalSourceType": _TRAINED}], status=["text"]), "verified", True, True), (_store(label="c2pa.metadata", data={"digitalSourceType": _TRAINED}), "verified", True, True), ("{}", "absent", False, False),
 )
 
 
@@ -232,7 +266,7 @@ def c2pa_classify(spark, sf_dir):
 
 
 def _response(classes, version="v3") -> str:
-    return json.dumps({"status": [{"response": {"input": {"model_version": version} if version else {}, "output": [{"classes": [{"class": c, "score": s} for c, s in classes]}]}}]})
+    return json.dumps({"status": [{"response": {"input": {"model_version": version} if version else {}, "output": [{"classes": [{"class": c, "score": s} for c, s in classes]}] if classes else []}}]})
 
 
 #: (response, error, ai_generated_score, source_class)
@@ -240,6 +274,8 @@ RESPONSES = (
     (_response([("ai_generated", 0.95), ("not_ai_generated", 0.05), ("midjourney", 0.7), ("dalle", 0.2)]), None, 0.95, "midjourney"), (_response([("ai_generated", 0.3), ("AI_Generated", 0.4), ("none", 0.9)]), None, 0.4, None),
     (_response([("ai_generated", 0.5)], None), "model_version", 0.5, None), (_response([]), "classes", None, None), (_response([("dog", 0.4)]), "generation_classes", None, "dog"), (_response([("ai_generated", 1.5)]), "score_range", 1.5, None),
     (_response([("ai_generated", True), ("not_ai_generated", 0.8)]), None, None, None), ("not json", "json", None, None),
+    (_response([]).replace('"output": []', '"other": {"deep": [[{"class": "AI_generated", "score": 0.6}, {"class": "sora", "score": 0.3, "more": {"class": "flux", "score": 0.3}}]]}'), None, 0.6, "sora"),
+    (_response([("ai_generated", -0.5)]), None, 0.0, None),
 )
 
 
@@ -257,6 +293,25 @@ def media_sniff(spark, sf_dir):
     return provenance.asset_summaries(m).select(F.col("asset_id").cast("long").alias("doc_id"), "media_type", "size_bytes")
 
 
+def selections(spark, sf_dir):
+    """(selected, known) assets of a case for each document; some selections break a rule."""
+    d = documents(spark, sf_dir, "doc_id").withColumnRenamed("doc_id", "case_id")
+    known = d.select("case_id", F.explode(F.array(F.lit("img1"), F.lit("img2"))).alias("asset_id"), F.lit("image/png").alias("media_type"))
+    k = F.col("case_id")
+    chosen = F.array_compact(F.array(F.lit("img2"), F.when(k % 2 == 0, "img1"), F.when(k % 3 == 0, "img2"), F.when(k % 5 == 0, "img9"), F.when(k % 7 == 0, "bad id!")))
+    return d.select("case_id", F.posexplode(chosen).alias("place", "asset_id")), known
+
+
+@query("""SELECT doc_id AS case_id, 'img2' AS asset_id, 'duplicate_asset' AS rule FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'img9', 'unknown_asset' FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, 'bad id!', 'invalid_asset_id' FROM documents WHERE doc_id % 7 = 0""")
+def selection_violations(spark, sf_dir):
+    return provenance.selection_violations(*selections(spark, sf_dir))
+
+
+@query("""SELECT doc_id AS case_id, unnest(CASE WHEN doc_id % 2 = 0 THEN [0, 1] ELSE [0] END) AS place, unnest(CASE WHEN doc_id % 2 = 0 THEN ['img2', 'img1'] ELSE ['img2'] END) AS asset_id, 'image/png' AS media_type FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0 AND doc_id % 7 <> 0""")
+def selected_assets(spark, sf_dir):
+    return provenance.selected_assets(*selections(spark, sf_dir)).select("case_id", "place", "asset_id", "media_type")
+
+
 @query("SELECT event_id, CASE WHEN event_id % 600 IN (401, 403) THEN 'authentication' WHEN event_id % 600 = 429 THEN 'rate_limited' WHEN event_id % 600 >= 500 THEN 'service_unavailable' ELSE 'request_rejected' END AS category FROM events")
 def http_category(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", provenance.http_category(F.col("event_id") % 600).alias("category"))
@@ -357,10 +412,19 @@ def reception_view_order(spark, sf_dir):
 
 def full_findings(spark, sf_dir):
     zh = zh_corpus(spark, sf_dir)
-    text = detector.analyze(zh)
-    top = report.top_sentences(detector.sentence_findings(zh.where("language = 'zh'")))
-    v = origin.verdicts(*policy_inputs(spark, sf_dir)).withColumnRenamed("case_id", "doc_id")
-    joined = text.join(top, "doc_id", "left").join(v, "doc_id")
+    case_list, seen, signals, proof = policy_inputs(spark, sf_dir)
+    joined = detector.analyze(zh).join(origin.verdicts(case_list, seen, signals, proof).withColumnRenamed("case_id", "doc_id"), "doc_id")
+    listed = lambda df, key, name, *fields: df.groupBy(F.col(key).alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+    told = _dealt(spark, sf_dir, RECORDS[:1], "json").select(F.col("doc_id").alias("case_id"), "json")
+    extras = [
+        report.top_evidence(origin.evidence(case_list, seen, signals, proof)).withColumnRenamed("case_id", "doc_id"),
+        listed(origin.asset_findings(case_list.select("case_id", F.explode("image_ids").alias("id")), proof, signals), "case_id", "assets", "id", "provenance_status", "signals"),
+        listed(style.excerpts(zh), "doc_id", "style_excerpts", "pattern_id", "excerpts"),
+        validation.parsed_reception(told).select(F.col("case_id").alias("doc_id"), F.struct(*validation.RECEPTION_FIELDS).alias("reception")),
+        validation.source_list(cases(spark, sf_dir)).select(F.col("case_id").cast("long").alias("doc_id"), "sources"),
+    ]
+    for extra in extras:
+        joined = joined.join(extra, "doc_id", "left")
     return origin.practical(joined.withColumn("assessment", F.col("style_assessment")))
 
 

@@ -15,23 +15,29 @@ def cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def strict_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, faults): parsed objects of non-blank lines, and the lines that are no JSON object, with their file."""
+    """(rows, faults): parsed objects of non-blank lines, and the lines that are no JSON object, with their file.
+
+    A file without a non-blank line is a fault without a line. Faults carry the line itself, not its number,
+    which splits of a file don't know.
+    """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file")).where(F.trim("value") != "")
     whole = F.rlike("value", F.lit(r"^\s*\{")) & F.try_parse_json("value").isNotNull()
     rows = lines.where(whole).select(F.from_json("value", schema).alias("r")).select("r.*")
-    return rows, lines.where(~whole).select("file", F.col("value").alias("line"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_name").alias("file"))
+    empty = files.join(lines.select("file").distinct(), "file", "left_anti").select("file", F.lit(None).cast("string").alias("line"))
+    return rows, lines.where(~whole).select("file", F.col("value").alias("line")).unionByName(empty)
 
 
 def lenient_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of the lines that parse."""
-    return spark.read.schema(schema).json(path, mode="DROPMALFORMED")
+    """Rows of all non-blank lines, whatever their fields; a line that is no JSON object stops the query, so none is lost unseen."""
+    return spark.read.schema(schema).json(path, mode="FAILFAST")
 
 
 def media(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(content) of image files up to max_bytes (pushed to the listing) and one marker row without content for each larger; paths are dropped."""
+    """(file_name, content, size_bytes) of image files up to max_bytes (pushed to the listing), and one row without content for each larger; directories are dropped."""
     files = spark.read.format("binaryFile").load(path)
-    fits = files.where(F.col("length") <= max_bytes).select("content", F.col("length").alias("size_bytes"))
-    large = files.where(F.col("length") > max_bytes).select(F.lit(None).cast("binary").alias("content"), F.col("length").alias("size_bytes"))
+    fits = files.where(F.col("length") <= max_bytes).select(F.col("_metadata.file_name").alias("file_name"), "content", F.col("length").alias("size_bytes"))
+    large = files.where(F.col("length") > max_bytes).select(F.col("_metadata.file_name").alias("file_name"), F.lit(None).cast("binary").alias("content"), F.col("length").alias("size_bytes"))
     return fits.unionByName(large)
 
 

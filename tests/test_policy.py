@@ -1,8 +1,9 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from postlens.operators import origin, provenance, validation
+from postlens.operators import origin, provenance, report, validation
 from postlens.plans import policy_queries as Q
 from postlens.sources import io
 from postlens.streaming import score
@@ -39,6 +40,8 @@ def test_media(spark, tmp_path):
     (tmp_path / "c.bin").write_bytes(b"\xff\xd8\xff" + b"x" * 100)
     got = provenance.asset_summaries(io.media(spark, str(tmp_path), 50).withColumn("asset_id", F.lit(None).cast("string"))).collect()
     assert sorted(str(r.media_type) for r in got) == ["None", "None", "image/png"] and "path" not in got[0].asDict()
+    named = provenance.asset_summaries(io.media(spark, str(tmp_path), 50), id_col="file_name").collect()
+    assert {r.asset_id: r.error for r in named} == {"a.png": None, "b.txt": "signature", "c.bin": "signature"}
 
 
 def test_cases_and_records(spark):
@@ -57,11 +60,44 @@ def test_cases_and_records(spark):
     assert [v["persona"] for v in validation.ordered_views(rec(Q.record())).first().reader_views] == ["supporter", "neutral", "skeptic"]
 
 
+def test_values_at_any_depth(spark):
+    deep = {"a": [{"validation_status": [{"code": "c1", "explanation": "e ] " + "x" * 400}, "text", {"validation_status": [{"code": "hidden"}]}]}], "validation_status": {"validation_status": [{"code": None}]}}
+    d = spark.createDataFrame([(0, json.dumps(deep)), (1, None), (2, "no json"), (3, "")], "i long, j string")
+    got = {r.i: r.s for r in d.select("i", provenance.statuses("j").alias("s")).collect()}
+    assert [(x.code, len(x.explanation)) for x in got[0]] == [("c1", 300), ("", 0), ("", 0)] and got[1] == got[2] == got[3] == []
+    flat = [{"class": "A", "score": 0.2}, {"class": "B", "score": True}, {"x": [{"class": "a", "score": 0.7}, {"class": "C", "score": -1}]}]
+    got = spark.createDataFrame([(json.dumps(flat),)], "j string").select(provenance.class_scores("j").alias("s")).first().s
+    assert [(x.name, x.score) for x in got] == [("a", 0.7), ("c", 0.0)]
+
+
+def test_report_sections(spark, tmp_path):
+    spark.createDataFrame([(k, "Some text of it.", "en", "s", 16) for k in range(40)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 3), (900, 3)], "event_id long, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    found = Q.full_findings(spark, str(tmp_path)).cache()
+    assert found.count() == 40
+    text = {r.doc_id: r.markdown for r in report.to_markdown(report.nested(found)).collect()}
+    whole = {r.doc_id: json.loads(r.json) for r in report.to_json(report.nested(found)).collect()}
+    for k, t in text.items():
+        heads = [line for line in t.split("\n") if line.startswith("#")]
+        assert heads == ["# Content evidence report", "## Assessment", "## Origin", "## Text", "## Style", "## Readers", "### supporter", "### neutral", "### skeptic", "## Coverage and limits", "## Sources"], k
+        style = whole[k]["style_pattern_assessment"]
+        assert len(style["matches"]) == style["patterns"] and all(1 <= len(m["excerpts"]) <= 2 for m in style["matches"])
+        sentences = whole[k]["local_text_assessment"]["sentences"]
+        assert len(sentences) <= 6 and all(s["points"] >= 4 and len(s["cues"]) <= 4 for s in sentences) and [s["points"] for s in sentences] == sorted((s["points"] for s in sentences), reverse=True)
+    assert len(whole[3]["origin_assessment"]["evidence"]) == 2 and "detectors_err_both_ways" in text[5]
+    bare = found.drop("evidence", "assets", "style_excerpts", "reception", "sources")
+    assert "## Readers" not in report.to_markdown(report.nested(bare)).first().markdown
+
+
 def test_jsonl_and_stream(spark, tmp_path):
     f = tmp_path / "rows.jsonl"
     f.write_text('{"id": "a"}\n\n[1]\nnope\n')
     rows, faults = io.strict_jsonl(spark, str(f), "id string")
     assert [r.id for r in rows.collect()] == ["a"] and faults.count() == 2
+    (tmp_path / "none.jsonl").write_text("\n \n")
+    assert [(r.file, r.line) for r in io.strict_jsonl(spark, str(tmp_path / "none.jsonl"), "id string")[1].collect()] == [("none.jsonl", None)]
+    with pytest.raises(Exception, match="(?i)malformed"):
+        io.lenient_jsonl(spark, str(f), "id string").collect()
     spark.createDataFrame([(1, "天气很好。", "zh")], "doc_id bigint, text string, language string").write.parquet(str(tmp_path / "in"))
     score.start(score.read_documents(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).first().style_assessment == "few_ai_style_patterns"
