@@ -411,31 +411,38 @@ def reception_view_order(spark, sf_dir):
 
 
 def full_findings(spark, sf_dir):
-    zh = zh_corpus(spark, sf_dir)
+    """Text findings, verdict and label of each document."""
+    v = origin.verdicts(*policy_inputs(spark, sf_dir)).withColumnRenamed("case_id", "doc_id")
+    joined = detector.analyze(zh_corpus(spark, sf_dir)).join(v, "doc_id")
+    return origin.practical(joined.withColumn("assessment", F.col("style_assessment")))
+
+
+def report_inputs(spark, sf_dir):
+    """full_findings() with the evidence, assets, excerpts, record and sources of each case."""
     case_list, seen, signals, proof = policy_inputs(spark, sf_dir)
-    joined = detector.analyze(zh).join(origin.verdicts(case_list, seen, signals, proof).withColumnRenamed("case_id", "doc_id"), "doc_id")
     listed = lambda df, key, name, *fields: df.groupBy(F.col(key).alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
     told = _dealt(spark, sf_dir, RECORDS[:1], "json").select(F.col("doc_id").alias("case_id"), "json")
     extras = [
         report.top_evidence(origin.evidence(case_list, seen, signals, proof)).withColumnRenamed("case_id", "doc_id"),
         listed(origin.asset_findings(case_list.select("case_id", F.explode("image_ids").alias("id")), proof, signals), "case_id", "assets", "id", "provenance_status", "signals"),
-        listed(style.excerpts(zh), "doc_id", "style_excerpts", "pattern_id", "excerpts"),
+        listed(style.excerpts(zh_corpus(spark, sf_dir)), "doc_id", "style_excerpts", "pattern_id", "excerpts"),
         validation.parsed_reception(told).select(F.col("case_id").alias("doc_id"), F.struct(*validation.RECEPTION_FIELDS).alias("reception")),
         validation.source_list(cases(spark, sf_dir)).select(F.col("case_id").cast("long").alias("doc_id"), "sources"),
     ]
+    found = full_findings(spark, sf_dir)
     for extra in extras:
-        joined = joined.join(extra, "doc_id", "left")
-    return origin.practical(joined.withColumn("assessment", F.col("style_assessment")))
+        found = found.join(extra, "doc_id", "left")
+    return found
 
 
 @query()
 def report_json(spark, sf_dir):
-    return report.to_json(report.nested(full_findings(spark, sf_dir)))
+    return report.to_json(report.nested(report_inputs(spark, sf_dir)))
 
 
 @query()
 def report_markdown(spark, sf_dir):
-    return report.to_markdown(report.nested(full_findings(spark, sf_dir)))
+    return report.to_markdown(report.nested(report_inputs(spark, sf_dir)))
 
 
 @query(f"""SELECT doc_id, sha256('{{"assets": [{{"asset_id": "img' || doc_id || '", "media_type": "image/png", "sha256": "' || sha256(source) || '", "size_bytes": ' || n_chars || '}}, {{"asset_id": "b", "media_type": null, "sha256": null, "size_bytes": null}}], "language": ' || CAST(to_json(lang) AS VARCHAR) || ', "text": ' || CAST(to_json(text) AS VARCHAR) || '}}') AS sha256 FROM documents""")

@@ -73,7 +73,7 @@ def test_values_at_any_depth(spark):
 def test_report_sections(spark, tmp_path):
     spark.createDataFrame([(k, "Some text of it.", "en", "s", 16) for k in range(40)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, 3), (900, 3)], "event_id long, user_id long").write.parquet(str(tmp_path / "events.parquet"))
-    found = Q.full_findings(spark, str(tmp_path)).cache()
+    found = Q.report_inputs(spark, str(tmp_path)).cache()
     assert found.count() == 40
     text = {r.doc_id: r.markdown for r in report.to_markdown(report.nested(found)).collect()}
     whole = {r.doc_id: json.loads(r.json) for r in report.to_json(report.nested(found)).collect()}
