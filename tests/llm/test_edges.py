@@ -200,7 +200,7 @@ def test_blocks_of_items_agree_with_one(spark):
 # --- 4: the score against counts, divergence tests and a walk, all done anew
 
 
-def slow_pst(train, texts, least=2):
+def slow_pst(train, texts, least=2, tail_least=4):
     stream = lambda t: b"\n" * pst.DEPTH + b" ".join([*(t or "").encode().lower().split(), b"\n"])
     count = [defaultdict(Counter) for _ in range(pst.DEPTH + 1)]
     for s in map(stream, train):
@@ -221,26 +221,62 @@ def slow_pst(train, texts, least=2):
         total = sum(c.values())
         return (c[s] + 1) / (total + 256) if not ctx else (c[s] + len(c) * p(ctx[1:], s)) / (total + len(c))
 
+    def longest(s, i):
+        return max(k for k in range(pst.DEPTH + 1) if s[i - k : i] in tree)
+
+    def places(t):  # context that begins with a word, next symbol, the head's probability
+        for w in (t or "").encode().lower().split():
+            w += b" "
+            for j in range(pst.DEPTH, min(len(w), pst.DEEP)):
+                k = longest(w, j)
+                yield w[:j], w[j], p(w[j - k : j], w[j])
+
+    follow, head_p = defaultdict(Counter), {}
+    for t in train:
+        for ctx, s, q in places(t):
+            follow[ctx][s] += 1
+            head_p[ctx, s] = q
+    tail = {}
+    for ctx, c in follow.items():
+        total = sum(c.values())
+        gain = sum(n * math.log(n / total / head_p[ctx, s]) for s, n in c.items())
+        if total >= tail_least and gain > len(c) * math.log(total) / 2:
+            tail[ctx] = c, total, len(c)
     out = []
-    for s in map(stream, texts):
-        total = 0.0
+    for t in texts:
+        s, total = stream(t), 0.0
         for i in range(pst.DEPTH, len(s)):
-            k = max(k for k in range(pst.DEPTH + 1) if s[i - k : i] in tree)
+            k = longest(s, i)
             total += math.log10(p(s[i - k : i], s[i]))
+        for ctx, s, q in places(t):
+            if ctx in tail:
+                c, n, kinds = tail[ctx]
+                total += math.log10((c[s] + kinds * q) / (n + kinds) / q)
         out.append(total)
-    return out
+    return out, len(tail)
 
 
-def test_lm_scores_by_a_slow_suffix_walk(spark):
+@pytest.mark.parametrize("head, hot, block", [(pst.HEAD, pst.HOT, 1 << 16), (0, 0, 2), (10, 6, 5)])
+def test_lm_scores_by_a_slow_suffix_walk(spark, monkeypatch, head, hot, block):
     texts = sentences(4, 30, 20) + ["", None, "Élan vital éé", "zzz qqq", "the same the same the same"]
+    texts += ["tokenizer tokenizers tokenized tokenization", "tokenizer tokenization " * 4, "tokenizzz tokeni tokenization", "Élanvital Élanvitale élanvitales " * 2, "long" * 20]
+    texts += [" ".join(f"{a}{b}nation{b}{a}{a}" for b in "ijk") + f" {a}inationz" for a in "abcdefgh"] * 6
     d = make(spark, list(enumerate(texts)))
-    model, words = pst.fit(d.where("doc_id % 3 <> 1"), max_states=1 << 20)
-    got = {r.doc_id: r.score for r in pst.score(d, model, words).collect()}
-    want = slow_pst([t for i, t in enumerate(texts) if i % 3 != 1], texts)
+    monkeypatch.setattr(pst, "BLOCK", block)
+    model, training = pst.fit(d.where("doc_id % 3 <> 1"), max_states=1 << 20, head=head, hot=hot)
+    got = {r.doc_id: r.score for r in pst.score(d, model, training).collect()}
+    want, tail = slow_pst([t for i, t in enumerate(texts) if i % 3 != 1], texts)
+    assert training.tail.count() == tail > 10 and (model.hot is None) == (hot == 0)
     for i, w in enumerate(want):
         assert abs(got[i] - w) < 1e-4 * max(1, abs(w)), texts[i]
 
 
+def test_lm_tail_is_not_bounded_by_the_head(spark):
+    words = [f"w{i:04x}stem{i:04x}" for i in range(300)]
+    model, training = pst.fit(make(spark, [(i, " ".join([w] * 5)) for i, w in enumerate(words)]), max_states=16)
+    assert model.retained <= 16 * pst.DEPTH + 1 and training.tail.count() >= 300
+
+
 def test_equal_texts_are_no_hot_key(spark):
     d = make(spark, [(i, "the very same text") for i in range(400)] + [(i, None) for i in range(400, 800)])
     model, words = pst.fit(d, head=0)
