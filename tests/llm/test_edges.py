@@ -256,17 +256,18 @@ def slow_pst(train, texts, least=2, tail_least=4):
     return out, len(tail)
 
 
-@pytest.mark.parametrize("head, hot, block", [(pst.HEAD, pst.HOT, 1 << 16), (0, 0, 2), (10, 6, 5)])
-def test_lm_scores_by_a_slow_suffix_walk(spark, monkeypatch, head, hot, block):
+@pytest.mark.parametrize("head, size", [(pst.HEAD, 1 << 16), (0, 2), (10, 40)])
+def test_lm_scores_by_a_slow_suffix_walk(spark, monkeypatch, head, size):
     texts = sentences(4, 30, 20) + ["", None, "Élan vital éé", "zzz qqq", "the same the same the same"]
     texts += ["tokenizer tokenizers tokenized tokenization", "tokenizer tokenization " * 4, "tokenizzz tokeni tokenization", "Élanvital Élanvitale élanvitales " * 2, "long" * 20]
     texts += [" ".join(f"{a}{b}nation{b}{a}{a}" for b in "ijk") + f" {a}inationz" for a in "abcdefgh"] * 6
     d = make(spark, list(enumerate(texts)))
-    monkeypatch.setattr(pst, "BLOCK", block)
-    model, training = pst.fit(d.where("doc_id % 3 <> 1"), max_states=1 << 20, head=head, hot=hot)
+    monkeypatch.setattr(pst, "BLOCK", size)
+    monkeypatch.setattr(pst, "RANGE", size)
+    model, training = pst.fit(d.where("doc_id % 3 <> 1"), max_states=1 << 20, head=head)
     got = {r.doc_id: r.score for r in pst.score(d, model, training).collect()}
     want, tail = slow_pst([t for i, t in enumerate(texts) if i % 3 != 1], texts)
-    assert training.tail.count() == tail > 10 and (model.hot is None) == (hot == 0)
+    assert training.tail.count() == tail > 10
     for i, w in enumerate(want):
         assert abs(got[i] - w) < 1e-4 * max(1, abs(w)), texts[i]
 
