@@ -185,3 +185,33 @@ WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVW
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
 FROM d WINDOW same AS (PARTITION BY t)
 """
+
+
+@query
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import centroids
+
+    return centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=16, rounds=3, dims=64, scale=64, seed=1)
+
+
+def _assigned(k: int) -> str:
+    """Step k of the clustering in SQL: the nearest centroid of each vector, and the centroids after it."""
+    return f"""
+near{k} AS (
+  SELECT r, cluster, distance FROM (SELECT r, cluster, CAST(sum((v - c) * (v - c)) AS BIGINT) AS distance FROM part JOIN cent{k} USING (pos) GROUP BY r, cluster)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, cluster) = 1
+), mean{k} AS (SELECT cluster, pos, sum(v) AS s, count(*) AS n FROM part JOIN near{k} USING (r) GROUP BY cluster, pos),
+cent{k + 1} AS (SELECT cluster, pos, CAST(CASE WHEN n IS NULL THEN c ELSE (s - ((s % n) + n) % n) // n END AS BIGINT) AS c FROM cent{k} LEFT JOIN mean{k} USING (cluster, pos))"""
+
+
+SQL["op11_centroids"] = f"""
+WITH vec AS (
+  SELECT row_number() OVER () AS r, vec_id, embedding AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64
+), part AS (SELECT r, pos, CAST(floor(64 * CAST(e[pos] AS DOUBLE)) AS BIGINT) AS v FROM (SELECT r, e, unnest(range(1, 65)) AS pos FROM vec)),
+first AS (SELECT r, row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR))) - 1 AS cluster FROM vec QUALIFY cluster < 16),
+cent0 AS (SELECT cluster, pos, v AS c FROM first JOIN part USING (r)),{",".join(_assigned(k) for k in range(4))},
+sha AS (SELECT cluster, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY pos)) AS centroid_sha256 FROM cent3 GROUP BY cluster)
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM near3 JOIN vec USING (r) JOIN sha USING (cluster)
+"""
