@@ -215,3 +215,12 @@ sha AS (SELECT cluster, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY pos))
 SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
 FROM near3 JOIN vec USING (r) JOIN sha USING (cluster)
 """
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import periodic
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = periodic.find(docs, least=24, exponent=3, rearrange=F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    return got.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", F.sha2("runs", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
