@@ -263,13 +263,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     numbers; texts whose number ends in 0 are made periodic first, see rearranged().
     """
     small_batches(docs.sparkSession)
-    number = F.coalesce(rearrange.cast("long"), F.lit(-1)) if rearrange is not None else F.lit(-1).cast("long")
+    given = rearrange is not None
+    number = F.coalesce(rearrange.cast("long"), F.lit(-1)) if given else F.lit(-1).cast("long")
     out = T.StructType([T.StructField(id_col, docs.select(F.col(f"`{id_col}`")).schema[0].dataType), *FIELDS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
-                columns = of_texts(piece.column("text"), piece.column("h").to_numpy() if rearrange is not None else None, least, exponent)
+                columns = of_texts(piece.column("text"), piece.column("h").to_numpy() if given else None, least, exponent)
                 yield pa.RecordBatch.from_arrays([piece.column("id"), *columns], names=out.names)
 
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), number.alias("h")).mapInArrow(run, out)
