@@ -16,10 +16,11 @@ renumbered when executors are lost.
 
 A round counts (group, digit) pairs with a partial count in each task, so a
 group of a third of all rows arrives as one row a task, and keeps only the pairs
-of several rows. Joined back, they are broadcast while Spark's own size limit
-allows, and else sorted and merged, where adaptive execution can split the rows
-of a large group, as both sides come from written tables. Open rows carry only
-the bytes that no round has looked at. The SHA-256 of the text is for the output.
+of several rows. They are joined back by sorting and merging, where adaptive
+execution can deal out the rows of a large group, as its other side is a written
+table. Open rows carry only the bytes that no round has looked at, so a text is
+shuffled once, and again only as far as it agrees with another. The SHA-256 of
+the text is for the output.
 
 Defined results: a null text is an empty one; a null id is smaller than any
 other; of rows equal in text and id one is kept. Every row gets a result row;
@@ -52,31 +53,26 @@ def digit(data, width: int) -> tuple:
     return F.substring(data, F.lit(1), F.lit(width)), F.substring(data, F.lit(width + 1), F.greatest(F.octet_length(data) - width, F.lit(0)))
 
 
-def prepared(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...], width: int) -> DataFrame:
-    """(rid, id, sha, carried, gid, block, rest): all rows in one group, with their first digit; written, so that rid is fixed."""
-    data = docs.select(
-        F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").cast("long").alias("id"), normalised(text_col).alias("data"),
-        F.struct(F.lit(True).alias("there"), *[F.col(f"`{c}`") for c in carry]).alias("carried"),
-    )
-    block, rest = digit(F.col("data"), width)
-    return written(data.select("rid", "id", F.sha2("data", 256).alias("sha"), "carried", F.lit(0).cast("long").alias("gid"), block.alias("block"), rest.alias("rest")))
-
+def split(rows: DataFrame, width: int, first: bool) -> tuple[DataFrame, DataFrame]:
+    """(open, closed) after splitting the groups of rows by their digits of `width` bytes; open rows have their next digit.
 
-def split(rows: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """(open, closed) after splitting the groups of rows by their digits of `width` bytes; open rows have their next digit."""
+    The first round reads the rows twice and only its result has fixed row
+    numbers, so there ended rows stay open: in the next one their digit is empty.
+    """
     spark = rows.sparkSession
-    shared = rows.groupBy("gid", "block").agg(F.count("*").alias("n"), F.max(F.struct("id", "rid")).alias("top")).where("n > 1")
-    groups = written(shared.withColumn("next", F.monotonically_increasing_id()))
+    top = F.max(F.struct("id", (F.lit(None).cast("long") if first else F.col("rid")).alias("rid")))
+    groups = written(rows.groupBy("gid", "block").agg(F.count("*").alias("n"), top.alias("top")).where("n > 1").withColumn("next", F.monotonically_increasing_id()))
     block, rest = digit(F.col("rest"), width * GROWTH)
     alone = F.col("n").isNull()
     # Closed rows are done with their bytes, open ones without a result: each keeps only its own columns.
-    still = ~alone & (F.octet_length("block") == width)
-    out = rows.join(groups, ["gid", "block"], "left").select(
+    still = ~alone & (F.lit(first) | (F.octet_length("block") == width))
+    # One plan at every size: sorted and merged, so that adaptive execution can deal out the rows of a large group.
+    out = rows.join(groups.hint("merge"), ["gid", "block"], "left").select(
         "rid", "id", "sha", "carried", F.when(still, F.col("next")).alias("gid"), F.when(still, block).alias("block"), F.when(still, rest).alias("rest"),
         F.when(alone, F.col("id")).otherwise(F.col("top.id")).alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), (alone | (F.col("top.rid") == F.col("rid"))).alias("kept"), still.cast("int").alias("open"),
     )
     path = f"{shared_folder(spark)}/radix-{uuid.uuid4()}"
-    out.write.partitionBy("open").parquet(path)
+    out.write.partitionBy("open").parquet(path, compression="zstd")
     done = spark.read.schema(out.schema).parquet(path)  # the schema is given, as an empty table leaves no file
     return done.where("open = 1").select("rid", "id", "sha", "carried", "gid", "block", "rest"), done.where("open = 0").select(*_CLOSED)
 
@@ -88,16 +84,20 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     out = {id_col.lower(), "keep_id", "group_size", "kept", "text_sha256"}
     carry = tuple(c for c in carry if c.lower() not in out)
+    data = docs.select(
+        F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").cast("long").alias("id"), normalised(text_col).alias("data"),
+        (F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("boolean")).alias("carried"),
+    )
+    block, rest = digit(F.col("data"), first)
+    # all rows are one group, with their first digit
+    rows = data.select("rid", "id", F.unhex(F.sha2("data", 256)).alias("sha"), "carried", F.lit(0).cast("long").alias("gid"), block.alias("block"), rest.alias("rest"))
     width, closed = first, []
-    rows = prepared(docs, id_col, text_col, carry, width)
-    while True:
-        rows, done = split(rows, width)
+    while not closed or not rows.isEmpty():
+        rows, done = split(rows, width, first=not closed)
         closed.append(done)
         width *= GROWTH
-        if rows.isEmpty():
-            break
     every = reduce(DataFrame.unionByName, closed)
-    return every.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"), *[F.col(f"carried.`{c}`").alias(c) for c in carry])
+    return every.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"), *[F.col(f"carried.`{c}`").alias(c) for c in carry])
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
