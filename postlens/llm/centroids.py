@@ -21,7 +21,7 @@ distance wins, of equal ones the lowest number.
 Defined results: a vector that is null, has not exactly `dims` components, or has
 one that is null, infinite or not a number is left out. Integers end at
 plus and minus LIMIT, which keeps squared distances within 64 bits; a larger component
-counts as that. A null id seeds no centroid unless others are too few; among
+counts as that. Sums of distances beyond 64 bits are told as MOST. A null id seeds no centroid unless others are too few; among
 equal hashes the lesser vector seeds. With fewer vectors than centroids each is
 one centroid; an empty table gives an empty result. Repeated rows count each.
 """
@@ -41,6 +41,8 @@ from .common import small_batches, written
 
 #: Largest integer of a component: squared distances of 64 components stay under 2^62.
 LIMIT = 1 << 27
+#: Largest sum of distances that is told.
+MOST = (1 << 63) - 1
 #: (vector, centroid) pairs that are recomputed with integers at once.
 PAIRS = 1 << 15
 _AFTER_HEX = "g"
@@ -175,7 +177,7 @@ def cluster(embeddings: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     """(id, cluster, distance, cluster_inertia, inertia, centroid_sha256) of each vector that is kept."""
     c = fit(embeddings, id_col, vec_col, k, rounds, dims, scale, seed)
     rows = written(assign(embeddings, c, id_col, vec_col, scale))
-    inertia = {r.cluster: r.s for r in rows.groupBy("cluster").agg(F.sum("distance").alias("s")).collect()}  # k rows at most
-    found = [(j, inertia[j], sum(inertia.values()), digest(x)) for j, x in enumerate(c) if j in inertia]
+    inertia = {r.cluster: int(r.s) for r in rows.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(20,0)")).alias("s")).collect()}  # k rows at most
+    found = [(j, min(inertia[j], MOST), min(sum(inertia.values()), MOST), digest(x)) for j, x in enumerate(c) if j in inertia]
     per = embeddings.sparkSession.createDataFrame(found, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
     return rows.join(F.broadcast(per), "cluster").select(F.col(f"`{id_col}`"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
