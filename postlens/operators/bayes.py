@@ -27,6 +27,8 @@ from .evaluation import canonical_rows, ordered_digest
 CLASSES = ("human", "ai", "mixed")
 #: Training defaults.
 NGRAM_MIN, NGRAM_MAX, ALPHA, MAX_FEATURES, MARGIN = 3, 5, 1.0, 50_000, 0.15
+#: Fixed value: the longest n-gram that training accepts.
+NGRAM_LIMIT = 8
 #: Code points that a task turns into numpy arrays at once; one longer text is taken alone.
 CHUNK = 1 << 20
 
@@ -45,8 +47,8 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def counted_grams(text: str, off: np.ndarray, low: int, high: int) -> Iterator[tuple[str, int]]:
-    """The distinct n-grams of all texts, each with how often it occurs; none crosses from text to text."""
+def placed_grams(text: str, off: np.ndarray, low: int, high: int) -> Iterator[tuple[str, int, int]]:
+    """The distinct n-grams of all texts, each with how often it occurs and where first; none crosses from text to text."""
     alphabet, code = np.unique(code_points(text), return_inverse=True)
     size = len(alphabet)
     row_end = np.repeat(off[1:], np.diff(off))
@@ -63,7 +65,12 @@ def counted_grams(text: str, off: np.ndarray, low: int, high: int) -> Iterator[t
             inside = np.flatnonzero(np.arange(len(value)) + n <= row_end[: len(value)])
             _, first, count = np.unique(value[inside], return_index=True, return_counts=True)
             for i, k in zip(inside[first].tolist(), count.tolist()):
-                yield text[i : i + n], k
+                yield text[i : i + n], k, i
+
+
+def counted_grams(text: str, off: np.ndarray, low: int, high: int) -> Iterator[tuple[str, int]]:
+    """The distinct n-grams of all texts, each with how often it occurs."""
+    return ((token, k) for token, k, _ in placed_grams(text, off, low, high))
 
 
 def training_violations(rows: DataFrame) -> DataFrame:
@@ -79,24 +86,47 @@ def training_violations(rows: DataFrame) -> DataFrame:
     return broken.unionByName(twice).unionByName(absent)
 
 
-def token_counts(rows: DataFrame, low: int = NGRAM_MIN, high: int = NGRAM_MAX) -> DataFrame:
-    """(label, token, n)."""
+def token_counts(rows: DataFrame, low: int = NGRAM_MIN, high: int = NGRAM_MAX, order_col: str | None = None) -> DataFrame:
+    """(label, token, n), and with order_col (a number for each row) `place`: (row, size, offset) where the token is met first when rows are read in that order.
+
+    Places are minima, so any partitioning gives the same; within a row n-grams are met size by size.
+    """
 
     def run(batches):
         for batch in batches:
             label, text = batch.column("label").to_pylist(), batch.column("text").to_pylist()
+            order = batch.column("row").to_pylist() if order_col else range(len(text))
             for one in sorted(set(label), key=str):
-                for _, joined, off in chunks([t or "" for t, x in zip(text, label) if x == one]):
-                    got = list(counted_grams(joined, off, low, high))
-                    yield pa.RecordBatch.from_arrays([pa.array([one] * len(got), pa.string()), pa.array([t for t, _ in got], pa.string()), pa.array([k for _, k in got], pa.int64())], names=["label", "token", "n"])
+                mine = sorted((r, t or "") for r, t, x in zip(order, text, label) if x == one)
+                for start, joined, off in chunks([t for _, t in mine]):
+                    got = list(placed_grams(joined, off, low, high))
+                    columns = [pa.array([one] * len(got), pa.string()), pa.array([t for t, *_ in got], pa.string()), pa.array([k for _, k, _ in got], pa.int64())]
+                    if order_col:
+                        at = np.array([i for *_, i in got], np.int64)
+                        of = np.searchsorted(off, at, side="right") - 1
+                        row = np.array([r for r, _ in mine], np.int64)
+                        columns += [pa.array(row[start + of]), pa.array(at - off[of])]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    counted = rows.select(F.col("gold_label").alias("label"), model_text("text").alias("text")).mapInArrow(run, "label string, token string, n long")
-    return counted.groupBy("label", "token").agg(F.sum("n").alias("n"))
+    names = ["label", "token", "n"] + (["row", "at"] if order_col else [])
+    read = [F.col("gold_label").alias("label"), model_text("text").alias("text"), *([F.col(f"`{order_col}`").cast("long").alias("row")] if order_col else [])]
+    counted = rows.select(*read).mapInArrow(run, ", ".join(f"{x} {'string' if x in ('label', 'token') else 'long'}" for x in names))
+    first = [F.min(F.struct(F.col("row"), F.length("token").alias("size"), F.col("at"))).alias("place")] if order_col else []
+    return counted.groupBy("label", "token").agg(F.sum("n").alias("n"), *first)
+
+
+def _most(tokens: DataFrame, max_features: int) -> DataFrame:
+    """The rows of largest total; of equal ones those that were met first where that is known, else by token."""
+    return tokens.orderBy(F.desc("total"), *(["place"] if "place" in tokens.columns else []), "token").limit(max_features)
+
+
+def _first_place(counts: DataFrame) -> list[Column]:
+    return [F.min("place").alias("place")] if "place" in counts.columns else []
 
 
 def vocabulary(counts: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
-    """(token, total) of the most frequent tokens; ties by token, ascending."""
-    return counts.groupBy("token").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "token").limit(max_features)
+    """(token, total) of the most frequent tokens; ties by token, ascending, or by first place where counts have it."""
+    return _most(counts.groupBy("token").agg(F.sum("n").alias("total"), *_first_place(counts)), max_features).select("token", "total")
 
 
 @dataclass
@@ -108,14 +138,22 @@ class Bayes:
     alpha: float
 
 
-def train(rows: DataFrame, low: int = NGRAM_MIN, high: int = NGRAM_MAX, max_features: int = MAX_FEATURES, alpha: float = ALPHA) -> Bayes:
-    """rows: id, gold_label, text (and what training_violations checks)."""
-    if not 1 <= low <= high:
-        raise ValueError("n-gram bounds")
+def train(rows: DataFrame, low: int = NGRAM_MIN, high: int = NGRAM_MAX, max_features: int = MAX_FEATURES, alpha: float = ALPHA, order_col: str | None = None) -> Bayes:
+    """rows: id, gold_label, text, split, group_id, language; ValueError for settings out of bounds, and with the rule and id of a row that training_violations finds.
+
+    order_col: a number for each row. With it, tokens of equal counts at the limit of max_features enter in the
+    order in which they are met when rows are read by that number; without it, by token.
+    """
+    if not 1 <= low <= high <= NGRAM_LIMIT:
+        raise ValueError(f"n-gram bounds must satisfy 1 <= low <= high <= {NGRAM_LIMIT}")
     if max_features < 100 or alpha <= 0:
         raise ValueError("max_features must be 100 or more, alpha positive")
+    wrong = training_violations(rows).orderBy("rule", "id").limit(1).collect()
+    if wrong:
+        raise ValueError(f"training refuses a row: {wrong[0]['rule']} ({wrong[0]['id']})")
     n = lambda c: F.coalesce(F.sum(F.when(F.col("label") == c, F.col("n"))), F.lit(0))
-    wide = token_counts(rows, low, high).groupBy("token").agg(*[n(c).alias(c) for c in CLASSES], F.sum("n").alias("total")).orderBy(F.desc("total"), "token").limit(max_features)
+    counts = token_counts(rows, low, high, order_col)
+    wide = _most(counts.groupBy("token").agg(*[n(c).alias(c) for c in CLASSES], F.sum("n").alias("total"), *_first_place(counts)), max_features)
     spark = rows.sparkSession
     # at most max_features rows: counted once, then a small table
     kept = spark.createDataFrame(wide.select("token", *CLASSES).collect(), "token string, human long, ai long, mixed long")
@@ -126,6 +164,8 @@ def train(rows: DataFrame, low: int = NGRAM_MIN, high: int = NGRAM_MAX, max_feat
 def parameters(model: Bayes) -> dict[str, tuple[float, float]]:
     """(log prior, log denominator) of each class; a few numbers on the driver."""
     documents = {r["label"]: r["documents"] for r in model.classes.collect()}
+    if set(documents) != set(CLASSES):
+        raise ValueError(f"the model's classes must be {', '.join(CLASSES)}, not {', '.join(sorted(map(str, documents)))}")
     sums = model.counts.agg(F.count("*").alias("v"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CLASSES]).first()
     total = sum(documents.values())
     return {c: (math.log(documents[c] / total), math.log(sums[c] + model.alpha * max(sums["v"], 1))) for c in CLASSES}

@@ -1,18 +1,20 @@
 """Benchmark evaluation: manifest checks, leakage, joined metrics, slices, mixed sentences and release gates.
 
-All of it is relational. Metrics of all slices come from one grouping over one join.
+All of it is relational. Slices, sentences and gates come from one cube of the joined
+rows (the slice fields by both labels, counted in the tasks before its one
+exchange); what is grouped further are its few cells.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ratio
+from ..functions.typed import canonical
 
 GOLD = ("human", "ai", "mixed")
 PREDICTED = ("human", "ai", "mixed", "abstain")
@@ -105,64 +107,109 @@ def per_class(rows: DataFrame) -> DataFrame:
     return _with_metrics(spread.groupBy("label").agg(*_quadrants(F.col("gold_label") == label, F.col("predicted_label") == label)))
 
 
+_LABELS = "array<string>"
+#: What a cell has beside n: rows that are no locked blind ones, mixed rows with sentence predictions, and their sentences.
+_COUNTS = ("unlocked", "evaluated", "sentence_count", "sentence_abstentions", "s_tp", "s_fp", "s_fn", "s_tn")
+
+
+def cells(rows: DataFrame) -> DataFrame:
+    """The cube: (slice fields, gold_label, predicted_label) with n and _COUNTS. Columns that rows lack count as null."""
+    have = lambda name, kind="string": (F.col(name) if name in rows.columns else F.lit(None).cast(kind)).alias(name)
+    read = rows.select(*[have(f) for f in SLICES.values()], "gold_label", "predicted_label", have("split"), have("locked_blind", "boolean"), have("sentence_labels", _LABELS), have("sentence_predictions", _LABELS))
+    told = (F.col("gold_label") == "mixed") & F.col("sentence_predictions").isNotNull()
+    pairs = F.when(told, F.arrays_zip(F.col("sentence_labels").alias("gold"), F.col("sentence_predictions").alias("predicted")))
+    many = lambda found: F.coalesce(F.size(found), F.lit(0))
+    those = lambda gold, predicted: many(F.when(F.col("pairs").isNotNull(), F.filter("pairs", lambda x: (x["gold"] == "ai" if gold else x["gold"] != "ai") & (x["predicted"] == "ai" if predicted else x["predicted"] != "ai"))))
+    sized = read.withColumn("pairs", pairs).withColumns({
+        "unlocked": (~F.coalesce((F.col("split") == "blind") & F.col("locked_blind"), F.lit(False))).cast("int"), "evaluated": F.coalesce(told, F.lit(False)).cast("int"),
+        "sentence_count": F.when(F.col("pairs").isNotNull(), F.size("pairs")).otherwise(0), "sentence_abstentions": F.when(F.col("pairs").isNotNull(), F.size(F.filter("pairs", lambda x: x["predicted"] == "abstain"))).otherwise(0),
+        "s_tp": those(True, True), "s_fp": those(False, True), "s_fn": those(True, False), "s_tn": those(False, False),
+    })
+    return sized.groupBy(*SLICES.values(), "gold_label", "predicted_label").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in _COUNTS])
+
+
+def _sum(when: Column, name: str) -> Column:
+    """How many rows of cells hold a condition."""
+    return F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0)).alias(name)
+
+
 def _assisted() -> list[Column]:
     gold, predicted = F.col("gold_label").isin("ai", "mixed"), F.col("predicted_label").isin("ai", "mixed")
-    return [F.count("*").alias("sample_count"), *_quadrants(gold, predicted), F.count_if(F.col("predicted_label") == "abstain").alias("abstentions"), F.count_if(~gold).alias("n_human"), F.count_if(gold).alias("n_assisted")]
+    four = [_sum(gold & predicted, "tp"), _sum(~gold & predicted, "fp"), _sum(gold & ~predicted, "fn"), _sum(~gold & ~predicted, "tn")]
+    return [F.coalesce(F.sum("n"), F.lit(0)).alias("sample_count"), *four, _sum(F.col("predicted_label") == "abstain", "abstentions"), _sum(~gold, "n_human"), _sum(gold, "n_assisted")]
+
+
+def _sentences() -> list[Column]:
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    return [_sum(F.col("gold_label") == "mixed", "mixed_document_count"), total("evaluated", "evaluated_document_count"), total("sentence_count", "sentence_count"), total("sentence_abstentions", "sentence_abstentions"), *[total(f"s_{x}", f"s_{x}") for x in ("tp", "fp", "fn", "tn")]]
 
 
 def assisted(rows: DataFrame) -> DataFrame:
     """The binary view: ai and mixed are positive, abstaining predicts negative."""
-    return _with_metrics(rows.agg(*_assisted())).withColumn("abstention_rate", ratio(F.col("abstentions"), F.col("sample_count")))
+    return _with_metrics(cells(rows).agg(*_assisted())).withColumn("abstention_rate", ratio(F.col("abstentions"), F.col("sample_count")))
 
 
-def slices(rows: DataFrame) -> DataFrame:
-    """(slice, value) and the binary view's metrics for each value of each slice field, in one pass."""
-    return _with_metrics(_by_slice(rows).groupBy("slice", "value").agg(*_assisted())).withColumn("abstention_rate", ratio(F.col("abstentions"), F.col("sample_count")))
+def _by_slice(cube: DataFrame, aggregates: list[Column]) -> DataFrame:
+    """(slice, value) and aggregates of the cells of each value of each slice field: grouping sets over the cube."""
+    fields = list(SLICES.values())
+    grouped = cube.groupingSets([[F.col(f)] for f in fields], *[F.col(f) for f in fields]).agg(*aggregates, *[F.grouping(f).alias(f"_{f}") for f in fields])
+    of = lambda then: F.coalesce(*[F.when(F.col(f"_{f}") == 0, then(name, f)) for name, f in SLICES.items()])
+    return grouped.withColumns({"slice": of(lambda name, f: F.lit(name)), "value": of(lambda name, f: F.col(f))}).drop(*fields, *[f"_{f}" for f in fields])
 
 
-def _by_slice(rows: DataFrame) -> DataFrame:
-    """rows once for each slice field, as (slice, value)."""
-    return rows.select("gold_label", "predicted_label", F.explode(F.array(*[F.struct(F.lit(name).alias("slice"), F.col(f).alias("value")) for name, f in SLICES.items()])).alias("_s")).select("_s.slice", "_s.value", "gold_label", "predicted_label")
+def slices(rows: DataFrame) -> DataFrame:
+    """(slice, value) and the binary view's metrics for each value of each slice field."""
+    return _with_metrics(_by_slice(cells(rows), _assisted())).withColumn("abstention_rate", ratio(F.col("abstentions"), F.col("sample_count")))
 
 
 def slice_confusion(rows: DataFrame) -> DataFrame:
     """(slice, value, gold_label, predicted_label, n), all 12 cells of each value."""
-    counted = _by_slice(rows).groupBy("slice", "value").agg(*[F.count_if((F.col("gold_label") == g) & (F.col("predicted_label") == p)).alias(f"{g}:{p}") for g in GOLD for p in PREDICTED])
-    cells = F.array(*[F.struct(F.lit(g).alias("gold_label"), F.lit(p).alias("predicted_label"), F.col(f"{g}:{p}").alias("n")) for g in GOLD for p in PREDICTED])
-    return counted.select("slice", "value", F.explode(cells).alias("c")).select("slice", "value", "c.*")
+    counted = _by_slice(cells(rows), [_sum((F.col("gold_label") == g) & (F.col("predicted_label") == p), f"{g}:{p}") for g in GOLD for p in PREDICTED])
+    each = F.array(*[F.struct(F.lit(g).alias("gold_label"), F.lit(p).alias("predicted_label"), F.col(f"{g}:{p}").alias("n")) for g in GOLD for p in PREDICTED])
+    return counted.select("slice", "value", F.explode(each).alias("c")).select("slice", "value", "c.*")
 
 
 def slice_per_class(rows: DataFrame) -> DataFrame:
-    """(slice, value, label) with one-against-the-rest metrics, from the slices' confusion cells."""
-    gold, predicted, n, label = F.col("gold_label"), F.col("predicted_label"), F.col("n"), F.col("label")
-    spread = slice_confusion(rows).withColumn("label", F.explode(F.array(*[F.lit(g) for g in GOLD])))
-    total = lambda when, name: F.sum(F.when(when, n).otherwise(0)).alias(name)
-    return _with_metrics(spread.groupBy("slice", "value", "label").agg(total((gold == label) & (predicted == label), "tp"), total((gold != label) & (predicted == label), "fp"), total((gold == label) & (predicted != label), "fn"), total((gold != label) & (predicted != label), "tn")))
+    """(slice, value, label) with one-against-the-rest metrics."""
+    gold, predicted = F.col("gold_label"), F.col("predicted_label")
+    four = {"tp": lambda x: (gold == x) & (predicted == x), "fp": lambda x: (gold != x) & (predicted == x), "fn": lambda x: (gold == x) & (predicted != x), "tn": lambda x: (gold != x) & (predicted != x)}
+    counted = _by_slice(cells(rows), [_sum(when(x), f"{x}:{name}") for x in GOLD for name, when in four.items()])
+    each = F.array(*[F.struct(F.lit(x).alias("label"), *[F.col(f"{x}:{name}").alias(name) for name in four]) for x in GOLD])
+    return _with_metrics(counted.select("slice", "value", F.explode(each).alias("c")).select("slice", "value", "c.*"))
+
+
+def _with_sentence_metrics(df: DataFrame) -> DataFrame:
+    got = _with_metrics(df.withColumns({x: F.col(f"s_{x}") for x in ("tp", "fp", "fn", "tn")}))
+    return got.withColumns({"document_coverage": ratio(F.col("evaluated_document_count"), F.col("mixed_document_count")), "sentence_abstention_rate": ratio(F.col("sentence_abstentions"), F.col("sentence_count"))}).drop("s_tp", "s_fp", "s_fn", "s_tn")
 
 
 def mixed_sentences(rows: DataFrame) -> DataFrame:
     """One row: sentence metrics of mixed documents; without predictions a document only lowers coverage."""
-    mixed = rows.where(F.col("gold_label") == "mixed")
-    docs = mixed.agg(F.count("*").alias("mixed_document_count"), F.count("sentence_predictions").alias("evaluated_document_count"))
-    pairs = mixed.where(F.col("sentence_predictions").isNotNull()).select(F.explode(F.arrays_zip(F.col("sentence_labels").alias("gold"), F.col("sentence_predictions").alias("predicted"))).alias("s"))
-    counts = pairs.agg(F.count("*").alias("sentence_count"), F.count_if(F.col("s.predicted") == "abstain").alias("sentence_abstentions"), *_quadrants(F.col("s.gold") == "ai", F.col("s.predicted") == "ai"))
-    both = docs.crossJoin(counts)  # one row each
-    return _with_metrics(both).withColumns({"document_coverage": ratio(F.col("evaluated_document_count"), F.col("mixed_document_count")), "sentence_abstention_rate": ratio(F.col("sentence_abstentions"), F.col("sentence_count"))})
+    return _with_sentence_metrics(cells(rows).agg(*_sentences()))
 
 
 def release_gates(rows: DataFrame, split: str, gates: dict[str, float] | None = None) -> DataFrame:
-    """(scope, gate, value, operator, threshold, passed); scope is overall or a language. A null value fails."""
+    """(scope, gate, value, operator, threshold, passed); scope is overall or a language. A null value fails. One cube and one grouping of it."""
     g = {**GATES, **(gates or {})}
-    locked = rows.agg((F.lit(split == "blind") & (F.count("*") > 0) & F.coalesce(F.bool_and((F.col("split") == "blind") & F.col("locked_blind")), F.lit(False))).cast("double").alias("locked"))
+    spark = rows.sparkSession
+    cube = cells(rows)
+    # A cell of no rows, so that the overall gates are there (and fail) when nothing was evaluated.
+    nothing = spark.range(1).select(*[F.lit(0).cast(f.dataType).alias(f.name) if f.name in ("n", *_COUNTS) else F.lit(None).cast(f.dataType).alias(f.name) for f in cube.schema.fields])
+    told = cube.unionByName(nothing).groupingSets([[], [F.col("language")]], F.col("language")).agg(*_assisted(), *_sentences(), F.coalesce(F.sum("unlocked"), F.lit(0)).alias("unlocked"), F.grouping("language").alias("all_of_it"))
+    b = binary(*[F.col(x) for x in ("tp", "fp", "fn", "tn")])
+    s = binary(*[F.col(f"s_{x}") for x in ("tp", "fp", "fn", "tn")])
     cell = lambda name, value, op, limit: F.struct(F.lit(name).alias("gate"), value.cast("double").alias("value"), F.lit(op).alias("operator"), F.lit(float(limit)).alias("threshold"))
-    flat = lambda df, scope, cells: df.select(scope.alias("scope"), F.explode(F.array(*cells)).alias("c")).select("scope", "c.*")
-    parts = [
-        flat(locked, F.lit("overall"), [cell("locked_blind_only", F.col("locked"), ">=", 1)]),
-        flat(assisted(rows), F.lit("overall"), [cell("ai_assisted_fpr", F.col("fpr"), "<=", g["max_ai_assisted_fpr"]), cell("ai_assisted_precision", F.col("precision"), ">=", g["min_ai_assisted_precision"]), cell("ai_assisted_recall", F.col("recall"), ">=", g["min_ai_assisted_recall"]), cell("abstention_rate", F.col("abstention_rate"), "<=", g["max_abstention_rate"])]),
-        flat(mixed_sentences(rows), F.lit("overall"), [cell("mixed_sentence_f1", F.col("f1"), ">=", g["min_mixed_sentence_f1"]), cell("mixed_sentence_coverage", F.col("document_coverage"), ">=", g["min_mixed_sentence_coverage"])]),
-        flat(slices(rows).where(F.col("slice") == "language"), F.col("value"), [cell("human_sample_count", F.col("n_human"), ">=", g["min_human_per_language"]), cell("ai_assisted_sample_count", F.col("n_assisted"), ">=", g["min_ai_assisted_per_language"]), cell("fpr", F.col("fpr"), "<=", g["max_ai_assisted_fpr"]), cell("recall", F.col("recall"), ">=", g["min_ai_assisted_recall"])]),
-    ]
-    every = reduce(DataFrame.unionByName, parts)
+    overall = F.array(
+        cell("locked_blind_only", (F.lit(split == "blind") & (F.col("sample_count") > 0) & (F.col("unlocked") == 0)).cast("int"), ">=", 1), cell("ai_assisted_fpr", b["fpr"], "<=", g["max_ai_assisted_fpr"]), cell("ai_assisted_precision", b["precision"], ">=", g["min_ai_assisted_precision"]),
+        cell("ai_assisted_recall", b["recall"], ">=", g["min_ai_assisted_recall"]), cell("abstention_rate", ratio(F.col("abstentions"), F.col("sample_count")), "<=", g["max_abstention_rate"]),
+        cell("mixed_sentence_f1", s["f1"], ">=", g["min_mixed_sentence_f1"]), cell("mixed_sentence_coverage", ratio(F.col("evaluated_document_count"), F.col("mixed_document_count")), ">=", g["min_mixed_sentence_coverage"]),
+    )
+    each = F.array(
+        cell("human_sample_count", F.col("n_human"), ">=", g["min_human_per_language"]), cell("ai_assisted_sample_count", F.col("n_assisted"), ">=", g["min_ai_assisted_per_language"]),
+        cell("fpr", b["fpr"], "<=", g["max_ai_assisted_fpr"]), cell("recall", b["recall"], ">=", g["min_ai_assisted_recall"]),
+    )
+    whole = F.col("all_of_it") == 1
+    every = told.where(whole | (F.col("sample_count") > 0)).select(F.when(whole, "overall").otherwise(F.col("language")).alias("scope"), F.explode(F.when(whole, overall).otherwise(each)).alias("c")).select("scope", "c.*")
     held = F.when(F.col("operator") == "<=", F.col("value") <= F.col("threshold")).otherwise(F.col("value") >= F.col("threshold"))
     return every.withColumn("passed", F.coalesce(held, F.lit(False)))
 
@@ -172,14 +219,14 @@ def release_status(gates: DataFrame) -> DataFrame:
     return gates.agg(F.when(F.bool_and("passed"), "pass").otherwise("fail").alias("status"), F.bool_or((F.col("gate") == "locked_blind_only") & F.col("passed")).alias("release_eligible"))
 
 
-def canonical_rows(rows: DataFrame) -> DataFrame:
-    """(id, json): each row's canonical JSON: keys sorted, compact, fields that are null left out."""
-    return rows.select("id", F.to_json(F.struct(*sorted(rows.columns))).alias("json"))
+def canonical_rows(rows: DataFrame, json_col: str | None = None) -> DataFrame:
+    """(id, json): each row's canonical JSON. With json_col it is that of the JSON text as it came, explicit nulls kept; else that of the columns, null ones left out."""
+    return rows.select("id", canonical(F.col(json_col) if json_col else F.to_json(F.struct(*rows.columns))).alias("json"))
 
 
-def row_digests(manifest: DataFrame) -> DataFrame:
+def row_digests(manifest: DataFrame, json_col: str | None = None) -> DataFrame:
     """(id, sha256) of each row's canonical JSON."""
-    return canonical_rows(manifest).select("id", F.sha2("json", 256).alias("sha256"))
+    return canonical_rows(manifest, json_col).select("id", F.sha2("json", 256).alias("sha256"))
 
 
 def ordered_digest(lines: DataFrame, name: str, separator: str, start: str = "", end: str = "") -> DataFrame:
@@ -197,9 +244,9 @@ def ordered_digest(lines: DataFrame, name: str, separator: str, start: str = "",
     return lines.repartition(1).sortWithinPartitions("id", "json").mapInArrow(run, f"{name} string")
 
 
-def manifest_digest(manifest: DataFrame) -> DataFrame:
+def manifest_digest(manifest: DataFrame, json_col: str | None = None) -> DataFrame:
     """One row: manifest_sha256 of the canonical rows, one a line, in order of id."""
-    return ordered_digest(canonical_rows(manifest), "manifest_sha256", "\n")
+    return ordered_digest(canonical_rows(manifest, json_col), "manifest_sha256", "\n")
 
 
 def split_counts(manifest: DataFrame) -> DataFrame:

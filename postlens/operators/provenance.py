@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.typed import members, parsed
+
 # Source types by category.
 GENERATED = ("trainedalgorithmicmedia",)
 GENERATIVE_EDIT = ("compositewithtrainedalgorithmicmedia", "compositedwithtrainedalgorithmicmedia")
@@ -49,14 +50,6 @@ def objects(value, skip: str | None = None) -> Iterator[dict]:
             stack.extend(reversed(v))
 
 
-def parsed(text: str | None):
-    """A JSON value, or None: null, not JSON, or nested too deeply to read."""
-    try:
-        return json.loads(text) if text else None
-    except (ValueError, RecursionError):
-        return None
-
-
 @F.pandas_udf(_STATUSES)
 def statuses(store: pd.Series) -> pd.Series:
     """The entries of all validation_status lists, at any depth; explanations cut to 300. No built-in looks at any depth."""
@@ -124,7 +117,7 @@ def provider_results(responses: DataFrame, id_col: str = "id", json_col: str = "
         F.when(F.col("_r").isNull() | F.try_parse_json("_j").isNull(), "json").when(F.col("model_version").isNull() | (F.col("model_version") == "unknown"), "model_version").when(F.size("_c") == 0, "classes")
         .when(F.col("ai_generated_score").isNull() & F.col("not_ai_generated_score").isNull(), "generation_classes").when(outside("ai_generated_score") | outside("not_ai_generated_score"), "score_range")
     )
-    present = F.coalesce(F.rlike("_j", F.lit(r'(?i)"[^"]*c2pa[^"]*"\s*:\s*(?!null|""|\[\s*\]|\{\s*\})')), F.lit(False))
+    present = F.exists(members("_j"), lambda m: F.contains(F.lower(m["key"]), F.lit("c2pa")) & ~m["empty"])
     return out.select(id_col, error.alias("error"), "model_version", "ai_generated_score", "not_ai_generated_score", "deepfake_score", F.col("_top.name").alias("source_class"), F.col("_top.score").alias("source_score"), present.alias("c2pa_metadata_present"))
 
 
@@ -153,6 +146,20 @@ def valid_asset_id(c: Column) -> Column:
     return F.coalesce(F.rlike(c, F.lit(ASSET_ID)), F.lit(False))
 
 
+#: Media types of a summary.
+MEDIA_TYPES = ("image/jpeg", "image/png", "image/gif", "image/webp")
+
+
+def summary_violations(known: DataFrame) -> DataFrame:
+    """(case_id, asset_id, rule) of asset summaries (case_id, asset_id, media_type, size_bytes, sha256) that a selection must not be made from; an id that a case has twice too."""
+    held = {
+        "invalid_asset_id": valid_asset_id(F.col("asset_id")), "media_type": F.col("media_type").isin(*MEDIA_TYPES), "size_bytes": F.col("size_bytes") >= 0, "sha256": F.rlike("sha256", F.lit(r"\A[0-9a-f]{64}\z")),
+    }
+    broken = known.select("case_id", "asset_id", F.explode(F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in held.items()]))).alias("rule"))
+    twice = known.where("asset_id is not null").groupBy("case_id", "asset_id").agg(F.count("*").alias("n")).where("n > 1").select("case_id", "asset_id", F.lit("repeated_asset").alias("rule"))
+    return broken.unionByName(twice)
+
+
 def selection_violations(selected: DataFrame, known: DataFrame) -> DataFrame:
     """(case_id, asset_id, rule) of selected assets whose id is invalid, unknown, or chosen twice."""
     invalid = selected.where(~valid_asset_id(F.col("asset_id"))).select("case_id", "asset_id", F.lit("invalid_asset_id").alias("rule"))
@@ -163,6 +170,6 @@ def selection_violations(selected: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def selected_assets(selected: DataFrame, known: DataFrame) -> DataFrame:
-    """The summaries (known: case_id, asset_id, ...) of the selected assets (case_id, place, asset_id), with their place, of cases whose selection breaks no rule."""
-    faulty = selection_violations(selected, known).select("case_id").distinct()
-    return selected.join(faulty, "case_id", "left_anti").join(known, ["case_id", "asset_id"])
+    """The summaries (known: case_id, asset_id, media_type, size_bytes, sha256) of the selected assets (case_id, place, asset_id), with their place, of cases whose selection and summaries break no rule."""
+    faulty = selection_violations(selected, known).select("case_id").unionByName(summary_violations(known).select("case_id")).distinct()
+    return selected.join(faulty, "case_id", "left_anti").join(known.select("case_id", "asset_id", "media_type", "size_bytes", "sha256"), ["case_id", "asset_id"])

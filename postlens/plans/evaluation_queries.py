@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
-from .views import MANIFEST_SQL, manifest, predictions, rated
+from .views import MANIFEST_SQL, documents, manifest, predictions, rated
 
 QUERIES, SQL = {}, {}
 
@@ -150,6 +150,15 @@ def manifest_digest(spark, sf_dir):
     return E.manifest_digest(manifest(spark, sf_dir))
 
 
+@query(""", j AS (SELECT CAST(doc_id AS VARCHAR) AS id, replace(CAST(to_json(chr(1) || chr(31) || '"/' || text) AS VARCHAR), '\\u001F', '\\u001f') AS t, doc_id AS k FROM documents)
+SELECT id, sha256('{"a":{"b":null,"c":[1,1.5,100.0,-0.0,{"x":"é","y":true}],"d":{}},"id":"' || id || '","text":' || t || ',"z":' || k || '}') AS sha256 FROM j""")
+def canonical_json(spark, sf_dir):
+    """Digests of nested rows as they came: keys in any order at every depth, explicit nulls, numbers and escapes in other forms."""
+    text = F.to_json(F.struct(F.concat(F.lit("\x01\x1f\"/"), F.col("text")).alias("text")))
+    rows = documents(spark, sf_dir, "doc_id", "text").select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit('{"z" : '), F.col("doc_id").cast("string"), F.lit(', "a":{"d":{ },"c":[1, 1.50,1e2,-0.0, {"y":true,"x":"\\u00E9"}],"b":null},"id":"'), F.col("doc_id").cast("string"), F.lit('",'), F.substring(text, F.lit(2), F.length(text) - 1)).alias("json"))
+    return E.row_digests(rows, "json")
+
+
 @query("SELECT split, count(*) AS records, count(DISTINCT group_id) AS groups FROM manifest GROUP BY split")
 def split_counts(spark, sf_dir):
     return E.split_counts(manifest(spark, sf_dir))

@@ -39,18 +39,19 @@ def _grams_sql(name: str, source: str) -> str:
     """CTEs: texts (id, text) of source, and name (id, token) with their n-grams."""
     each = " UNION ALL ".join(f"SELECT id, t{n} AS token FROM {name}_led WHERE t{n} IS NOT NULL" for n in (3, 4, 5))
     return f"""{name}_ch AS (SELECT id, string_split({_MODEL_TEXT}, '') AS c FROM ({source})), {name}_cx AS (SELECT id, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM {name}_ch),
-{name}_led AS (SELECT id, {_LEAD(3)} AS t3, {_LEAD(4)} AS t4, {_LEAD(5)} AS t5 FROM {name}_cx WINDOW w AS (PARTITION BY id ORDER BY i)), {name} AS ({each})"""
+{name}_led AS (SELECT id, i, {_LEAD(3)} AS t3, {_LEAD(4)} AS t4, {_LEAD(5)} AS t5 FROM {name}_cx WINDOW w AS (PARTITION BY id ORDER BY i)), {name} AS ({each})"""
 
 
 _DOCUMENTS = "SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents"
 _NB = f"""{MANIFEST_SQL}, {_grams_sql('gr', _DOCUMENTS)},
-cnt AS (SELECT gold_label AS label, token, count(*) AS n FROM gr JOIN manifest USING (id) WHERE split = 'calibration' GROUP BY ALL),
+trn AS (SELECT m.*, text FROM manifest m JOIN ({_DOCUMENTS}) USING (id) WHERE split = 'calibration' AND trim(text) <> '' AND trim(language) <> '' AND trim(group_id) <> ''),
+cnt AS (SELECT gold_label AS label, token, count(*) AS n FROM gr JOIN trn USING (id) GROUP BY ALL),
 voc AS (SELECT token, CAST(sum(n) AS BIGINT) AS total FROM cnt GROUP BY token ORDER BY total DESC, token LIMIT 50000)"""
 
 
 def training_rows(spark, sf_dir):
     text = documents(spark, sf_dir, F.col("doc_id").cast("string").alias("id"), "text")
-    return manifest(spark, sf_dir).where("split = 'calibration'").join(text, "id")
+    return manifest(spark, sf_dir).where("split = 'calibration'").join(text, "id").where("trim(text) <> '' AND trim(language) <> '' AND trim(group_id) <> ''")
 
 
 @query(f"WITH {_NB} SELECT label, token, n FROM cnt")
@@ -63,10 +64,20 @@ def nb_vocab_topk(spark, sf_dir):
     return bayes.vocabulary(bayes.token_counts(training_rows(spark, sf_dir)))
 
 
+_FIRST_PLACES = " UNION ALL ".join(f"SELECT id, t{n} AS token, {n} AS size, i FROM gr_led WHERE t{n} IS NOT NULL" for n in (3, 4, 5))
+
+
+@query(f"""WITH {_NB}, place AS (SELECT token, min(struct_pack(r := CAST(id AS BIGINT), s := size, i := i)) AS spot FROM ({_FIRST_PLACES}) JOIN trn USING (id) GROUP BY token)
+SELECT token, CAST(sum(n) AS BIGINT) AS total FROM cnt JOIN place USING (token) GROUP BY token, spot ORDER BY total DESC, spot LIMIT 2000""")
+def nb_vocab_first_seen(spark, sf_dir):
+    """The vocabulary when tokens of equal counts enter as they are met in rows by id."""
+    return bayes.vocabulary(bayes.token_counts(training_rows(spark, sf_dir).withColumn("row", F.col("id").cast("long")), order_col="row"), 2000)
+
+
 def _predict_sql(grams: str) -> str:
     """CTEs up to wd (id, human, ai, mixed, r): the classes' probabilities of each id with text in the n-grams named, and r, the three in descending order."""
     return f"""kept AS (SELECT cnt.* FROM cnt JOIN voc USING (token)), lab AS (SELECT unnest(['human', 'ai', 'mixed']) AS label),
-den AS (SELECT label, sum(n) + (SELECT count(*) FROM voc) AS d FROM kept GROUP BY label), pri AS (SELECT gold_label AS label, ln(count(*) / (SELECT count(*) FROM manifest WHERE split = 'calibration')) AS p FROM manifest WHERE split = 'calibration' GROUP BY gold_label),
+den AS (SELECT label, sum(n) + (SELECT count(*) FROM voc) AS d FROM kept GROUP BY label), pri AS (SELECT gold_label AS label, ln(count(*) / (SELECT count(*) FROM trn)) AS p FROM trn GROUP BY gold_label),
 w AS (SELECT token, label, ln((coalesce(kept.n, 0) + 1) / d) AS lw FROM voc CROSS JOIN lab JOIN den USING (label) LEFT JOIN kept USING (token, label)),
 df AS (SELECT id, token, count(*) AS f FROM {grams} GROUP BY ALL), sc AS (SELECT id, label, sum(f * lw) AS s FROM df JOIN w USING (token) GROUP BY ALL),
 al AS (SELECT id, label, p + coalesce(s, 0) AS s FROM (SELECT DISTINCT id FROM {grams}_ch WHERE len(c) > 0 AND c <> ['']) CROSS JOIN lab JOIN pri USING (label) LEFT JOIN sc USING (id, label)),
@@ -88,7 +99,7 @@ _J = lambda x: f"CAST(to_json({x}) AS VARCHAR)"
 _TOKENS = lambda c: f"""(SELECT coalesce(string_agg({_J('token')} || ':' || n, ',' ORDER BY token), '') FROM cnt JOIN voc USING (token) WHERE label = '{c}')"""
 
 
-@query(f"""WITH {_NB}, tr AS (SELECT m.*, sha256({_MODEL_TEXT}) AS ts FROM manifest m JOIN ({_DOCUMENTS}) USING (id) WHERE split = 'calibration'),
+@query(f"""WITH {_NB}, tr AS (SELECT *, sha256({_MODEL_TEXT}) AS ts FROM trn),
 pv AS (SELECT '[' || string_agg('{{"group_id":' || {_J('group_id')} || ',"id":' || {_J('id')} || ',"label":' || {_J('gold_label')} || ',"language":' || {_J('language')} || ',"text_sha256":"' || ts || '"}}', ',' ORDER BY id) || ']' AS j FROM tr),
 dc AS (SELECT string_agg({_J('gold_label')} || ':' || n, ',' ORDER BY gold_label) AS j FROM (SELECT gold_label, count(*) AS n FROM tr GROUP BY gold_label)), lg AS (SELECT string_agg({_J('language')}, ',' ORDER BY language) AS j FROM (SELECT DISTINCT language FROM tr))
 SELECT sha256('{{"alpha":1.0,"class_document_counts":{{' || dc.j || '}},"class_token_counts":{{"ai":{{' || {_TOKENS('ai')} || '}},"human":{{' || {_TOKENS('human')} || '}},"mixed":{{' || {_TOKENS('mixed')} || '}}}},"languages":[' || lg.j || '],"method":"char_ngram_multinomial_nb_v1","ngram_max":5,"ngram_min":3,"schema_version":"1.0","training_corpus_sha256":"' || sha256(pv.j) || '"}}') AS model_id FROM dc, lg, pv""")
@@ -284,6 +295,18 @@ def provider_normalise(spark, sf_dir):
     return provenance.provider_results(_dealt(spark, sf_dir, [r[0] for r in RESPONSES], "response").withColumnRenamed("doc_id", "id")).select("id", "error", "ai_generated_score", "source_class")
 
 
+#: (response, whether a key at any depth names the provenance standard and has a value)
+TOLD = (
+    ('{"c2pa": {"v": 1}}', True), ('{"c2pa": null}', False), ('{"c2pa" : ""}', False), ('{"c2pa":   {}}', False), ('{"a": [[{"X-C2PA-State": 0}]]}', True), ('{"\\u0063\\u0032pa": false}', True), ('{"note": "the \\"c2pa\\": yes"}', False),
+    ('{"c2pa": [], "more": {"c2pa_b": [1]}}', True), ('{"c2pa": [ ], "more": [{"c2pa_b": null}]}', False), ("no json c2pa: 1", False), ("[]", False), (None, False), ('{"c2pa": {"c2pa": ""}}', True), ('{"nothing": ["c2pa"]}', False),
+)
+
+
+@query(f"SELECT doc_id AS id, {_sql_list([t[1] for t in TOLD])}[doc_id % {len(TOLD)} + 1] AS c2pa_metadata_present FROM documents")
+def c2pa_metadata(spark, sf_dir):
+    return provenance.provider_results(_dealt(spark, sf_dir, [t[0] for t in TOLD], "response").withColumnRenamed("doc_id", "id")).select("id", "c2pa_metadata_present")
+
+
 HEADS = (("FFD8FFE000104A46494600", "image/jpeg"), ("89504E470D0A1A0A0000000D", "image/png"), ("474946383961", "image/gif"), ("524946460000000057454250", "image/webp"), ("524946460000000057415645", None), ("68656C6C6F", None))
 
 
@@ -294,10 +317,14 @@ def media_sniff(spark, sf_dir):
 
 
 def selections(spark, sf_dir):
-    """(selected, known) assets of a case for each document; some selections break a rule."""
+    """(selected, known) assets of a case for each document; some selections and some summaries break a rule."""
     d = documents(spark, sf_dir, "doc_id").withColumnRenamed("doc_id", "case_id")
-    known = d.select("case_id", F.explode(F.array(F.lit("img1"), F.lit("img2"))).alias("asset_id"), F.lit("image/png").alias("media_type"))
     k = F.col("case_id")
+    digest = F.sha2(k.cast("string"), 256)
+    asset = lambda name, kind, size, sha: F.struct(F.lit(name).alias("asset_id"), kind.alias("media_type"), size.cast("long").alias("size_bytes"), sha.alias("sha256"))
+    first = asset("img1", F.when(k % 11 == 0, "image/svg+xml").otherwise("image/png"), F.when(k % 13 == 0, -1).otherwise(k), F.when(k % 17 == 0, F.upper(digest)).otherwise(digest))
+    second = lambda: asset("img2", F.lit("image/png"), k, digest)
+    known = d.select("case_id", F.explode(F.array_compact(F.array(first, second(), F.when(k % 19 == 0, second())))).alias("a")).select("case_id", "a.*")
     chosen = F.array_compact(F.array(F.lit("img2"), F.when(k % 2 == 0, "img1"), F.when(k % 3 == 0, "img2"), F.when(k % 5 == 0, "img9"), F.when(k % 7 == 0, "bad id!")))
     return d.select("case_id", F.posexplode(chosen).alias("place", "asset_id")), known
 
@@ -307,9 +334,16 @@ def selection_violations(spark, sf_dir):
     return provenance.selection_violations(*selections(spark, sf_dir))
 
 
-@query("""SELECT doc_id AS case_id, unnest(CASE WHEN doc_id % 2 = 0 THEN [0, 1] ELSE [0] END) AS place, unnest(CASE WHEN doc_id % 2 = 0 THEN ['img2', 'img1'] ELSE ['img2'] END) AS asset_id, 'image/png' AS media_type FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0 AND doc_id % 7 <> 0""")
+@query("""SELECT doc_id AS case_id, 'img1' AS asset_id, 'media_type' AS rule FROM documents WHERE doc_id % 11 = 0 UNION ALL SELECT doc_id, 'img1', 'size_bytes' FROM documents WHERE doc_id % 13 = 0
+UNION ALL SELECT doc_id, 'img1', 'sha256' FROM documents WHERE doc_id % 17 = 0 AND regexp_matches(sha256(CAST(doc_id AS VARCHAR)), '[a-f]') UNION ALL SELECT doc_id, 'img2', 'repeated_asset' FROM documents WHERE doc_id % 19 = 0""")
+def summary_violations(spark, sf_dir):
+    return provenance.summary_violations(selections(spark, sf_dir)[1])
+
+
+@query("""SELECT doc_id AS case_id, unnest(CASE WHEN doc_id % 2 = 0 THEN [0, 1] ELSE [0] END) AS place, unnest(CASE WHEN doc_id % 2 = 0 THEN ['img2', 'img1'] ELSE ['img2'] END) AS asset_id, 'image/png' AS media_type, doc_id AS size_bytes, sha256(CAST(doc_id AS VARCHAR)) AS sha256
+FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND doc_id % 17 <> 0 AND doc_id % 19 <> 0""")
 def selected_assets(spark, sf_dir):
-    return provenance.selected_assets(*selections(spark, sf_dir)).select("case_id", "place", "asset_id", "media_type")
+    return provenance.selected_assets(*selections(spark, sf_dir)).select("case_id", "place", "asset_id", "media_type", "size_bytes", "sha256")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 600 IN (401, 403) THEN 'authentication' WHEN event_id % 600 = 429 THEN 'rate_limited' WHEN event_id % 600 >= 500 THEN 'service_unavailable' ELSE 'request_rejected' END AS category FROM events")
@@ -336,8 +370,8 @@ def cases(spark, sf_dir):
 
 _RULES = (
     ("doc_id % 11 = 0", "schema_version", "version"), ("doc_id % 23 = 0", "source.public", "not_public"), ("doc_id % 17 = 0", "source.platform", "enum"), ("doc_id % 13 = 0", "source.url", "url"), ("doc_id % 7 = 0", "source.captured_at", "time"),
-    ("doc_id % 2 = 0 AND doc_id % 41 = 0", "content.images.id", "duplicate"), ("doc_id % 2 = 0 AND doc_id % 19 = 0", "content.images.path", "not_absolute"), ("doc_id % 2 = 1 AND doc_id % 37 = 0", "content", "empty"),
-    ("doc_id % 29 = 0", "observations.type", "enum"), ("doc_id % 31 = 0", "observations.scope", "unknown"),
+    ("doc_id % 2 = 0 AND doc_id % 19 = 0", "content.images[0].path", "not_absolute"), ("doc_id % 2 = 0 AND doc_id % 41 = 0", "content.images[1].id", "duplicate"), ("doc_id % 2 = 0 AND doc_id % 19 = 0", "content.images[1].path", "not_absolute"),
+    ("doc_id % 2 = 1 AND doc_id % 37 = 0", "content", "empty"), ("doc_id % 29 = 0", "observations[0].type", "enum"), ("doc_id % 31 = 0", "observations[0].scope", "unknown"),
 )
 
 
@@ -354,6 +388,33 @@ def first_case_violation(spark, sf_dir):
     return validation.first_violation(validation.case_violations(cases(spark, sf_dir)))
 
 
+def case_json(source: dict | None = None, content: dict | None = None, image: dict | None = None, seen: dict | None = None, **change) -> str:
+    """A valid case as JSON; source, content, image and seen change those objects, change the top level."""
+    body = {"schema_version": "1.0", "source": {"platform": "web", "public": True, "captured_at": "2024-05-01T10:00:00Z"}, "content": {"text": "Seen", "language": "en"}, "declared_purpose": "inform"}
+    body["source"] |= source or {}
+    body["content"] |= {"images": [{"id": "img1", "path": "/a.png"} | (image or {})]} | (content or {})
+    body["observations"] = [{"type": "other", "value": "Seen on a wall"} | (seen or {})]
+    return json.dumps(body | change)
+
+
+#: (case, the paths and rules that it breaks, in order)
+TYPED_CASES = (
+    (case_json(), ()), ("[]", (("case", "object"),)), ("{", (("case", "object"),)), (case_json(schema_version=1.0), (("schema_version", "version"),)), (case_json(source={"public": "true"}), (("source.public", "not_public"),)),
+    (case_json(source={"author": 5}), (("source.author", "string"),)), (case_json(content={"text": 5}), (("content.text", "string"),)), (case_json(content={"images": None}), (("content.images", "list"),)), (case_json(observations=None), (("observations", "list"),)),
+    (case_json(content={"images": ["img1"]}), (("content.images[0]", "object"),)), (case_json(observations={"type": "other"}), (("observations", "list"),)), (case_json(observations=["x"]), (("observations[0]", "object"),)),
+    (case_json(source={"published_at": "May 2024", "url": 7}), (("source.url", "url"), ("source.published_at", "time"))), (case_json(content={"language": "fr"}, declared_purpose="sell"), (("content.language", "enum"), ("declared_purpose", "enum"))),
+    (case_json(seen={"source_url": "ftp://x", "assertion": "claimed", "scope": " "}), (("observations[0].source_url", "url"), ("observations[0].assertion", "enum"), ("observations[0].scope", "blank"))), (case_json(seen={"value": 3, "scope": "img2"}), (("observations[0].value", "blank"), ("observations[0].scope", "unknown"))),
+    (case_json(image={"id": 1, "path": None, "alt_text": []}), (("content.images[0].id", "blank"), ("content.images[0].path", "string"), ("content.images[0].alt_text", "string"))), (case_json(source=None, content={"text": " \u3000", "images": []}), (("content", "empty"),)),
+    (case_json().replace('"source": {', '"source": 1, "was": {'), (("source", "object"),)), (case_json(content={"text": None}, seen={"scope": "text", "assertion": "denied"}), (("observations[0].scope", "unknown"),)),
+)
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id AS case_id, CAST({k} AS INTEGER) AS ord, {quoted(path)} AS path, {quoted(rule)} AS rule FROM documents WHERE doc_id % {len(TYPED_CASES)} = {c}" for c, (_, broken) in enumerate(TYPED_CASES) for k, (path, rule) in enumerate(broken)))
+def case_type_violations(spark, sf_dir):
+    told = _dealt(spark, sf_dir, [c for c, _ in TYPED_CASES], "json").withColumnRenamed("doc_id", "case_id")
+    return validation.case_violations(told, "json")
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS case_id, CASE WHEN doc_id % 13 = 0 THEN 'ftp://x,' ELSE 'https://example.org/p,' END || 'https://example.org/o' AS sources FROM documents")
 def case_sources(spark, sf_dir):
     return validation.source_list(cases(spark, sf_dir)).select("case_id", F.array_join("sources", ",").alias("sources"))
@@ -374,23 +435,37 @@ def record(friction: dict | None = None, signal: dict | None = None, evidence: d
     view = lambda p: {"persona": p, "likely_reaction": "Reads on.", "aversion_risk": "low", "friction_points": [{"dimension": "specificity", "excerpt": "on a wall", "reason": "Little is said about it."}], "positive_signals": [{"statement": "It is short.", "evidence": {"kind": "observation", "locator": "observations[0].value"}, "reason": "Quick to read."}], "uncertainty": "Small sample."}
     views = [view(p) for p in ("neutral", "supporter", "skeptic")]
     views[2]["friction_points"][0] |= friction or {}
-    views[2]["positive_signals"][0] |= signal or {}
     views[2]["positive_signals"][0]["evidence"] |= evidence or {}
+    views[2]["positive_signals"][0] |= signal or {}
     base = {"method": validation.METHOD, "audience_assumptions": ["General readers."], "reader_views": views, "cross_reader_patterns": [{"statement": "All notice the wall.", "excerpt": "wall", "reason": "It stands out.", "personas": ["neutral", "skeptic"]}], "uncertainties": ["One post only."]}
     return json.dumps(base | change)
 
 
-_SIGNAL = "reader_views[2].positive_signals[0]"
+def view_json(**change) -> list:
+    """The reader views of a valid record, the skeptic's changed."""
+    views = json.loads(record())["reader_views"]
+    views[2] |= change
+    return views
+
+
+_VIEW, _FRICTION, _SIGNAL, _CROSS = "reader_views[2]", "reader_views[2].friction_points[0]", "reader_views[2].positive_signals[0]", "cross_reader_patterns[0]"
+_BARE = {"statement": "x", "excerpt": "wall", "reason": "y", "personas": ["neutral", "skeptic"]}
 #: (record, the paths and rules that it breaks)
 JUDGED = (
     (record(), ()), (record(method="other"), (("method", "method"),)), (record(rewrite="no"), (("rewrite", "banned_key"), ("rewrite", "unknown_key"))),
-    (record(reader_views=[]), (("reader_views", "three_views"), ("reader_views.persona", "personas"))), (record(audience_assumptions=["The author is certainly rich."]), (("audience_assumptions[0]", "author_attribute"),)),
+    (record(reader_views=[]), (("reader_views", "three_views"), ("reader_views", "personas"))), (record(audience_assumptions=["The author is certainly rich."]), (("audience_assumptions[0]", "author_attribute"),)),
     (record(uncertainties=["You should add an anecdote."]), (("uncertainties[0]", "rewrite_advice"),)),
-    (record(cross_reader_patterns=[{"statement": "x", "excerpt": "not in the case", "reason": "y", "personas": ["neutral"]}]), (("cross_reader_patterns.personas", "personas"), ("cross_reader_patterns[0]", "not_grounded"))),
+    (record(cross_reader_patterns=[_BARE | {"excerpt": "not in the case", "personas": ["neutral"]}]), ((f"{_CROSS}.personas", "personas"), (f"{_CROSS}.excerpt", "not_grounded"))),
     (record(audience_assumptions=["This post helps to bypass the AI detector."]), (("audience_assumptions[0]", "evasion_advice"),)),
-    (record(friction={"note": "x"}), (("reader_views[2].friction_points[0].note", "unknown_key"),)), (record(evidence={"page": "3"}), ((f"{_SIGNAL}.evidence.page", "unknown_key"),)), (record(evidence={"kind": " "}), ((_SIGNAL, "blank_kind"),)),
-    (record(evidence={"locator": "content.video"}), ((_SIGNAL, "unknown_locator"),)), (record(signal={"personas": ["neutral", "skeptic"]}), ((_SIGNAL, "personas_not_allowed"),)), (record(friction={"dimension": "charm"}), (("reader_views[2].friction_points[0]", "dimension"),)),
-    (record(friction={"excerpt": "x" * 201}), (("reader_views[2].friction_points[0]", "excerpt_length"), ("reader_views[2].friction_points[0]", "not_grounded"))), (record().replace('"method"', '"\\u0072ewrite": 1, "method"'), (("rewrite", "banned_key"), ("rewrite", "unknown_key"))),
+    (record(friction={"note": "x"}), ((f"{_FRICTION}.note", "unknown_key"),)), (record(evidence={"page": "3"}), ((f"{_SIGNAL}.evidence.page", "unknown_key"),)), (record(evidence={"kind": " "}), ((f"{_SIGNAL}.evidence.kind", "blank"),)),
+    (record(evidence={"locator": "content.video"}), ((f"{_SIGNAL}.evidence.locator", "unknown_locator"),)), (record(signal={"personas": ["neutral", "skeptic"]}), ((f"{_SIGNAL}.personas", "personas_not_allowed"),)), (record(friction={"dimension": "charm"}), ((f"{_FRICTION}.dimension", "enum"),)),
+    (record(friction={"excerpt": "x" * 201}), ((f"{_FRICTION}.excerpt", "excerpt_length"), (f"{_FRICTION}.excerpt", "not_grounded"))), (record().replace('"method"', '"\\u0072ewrite": 1, "method"'), (("rewrite", "banned_key"), ("rewrite", "unknown_key"))),
+    (record(cross_reader_patterns=["You should add an anecdote."]), ((_CROSS, "object"), (_CROSS, "rewrite_advice"))), (record(cross_reader_patterns=[_BARE, "bare", _BARE | {"excerpt": "nowhere"}]), (("cross_reader_patterns[1]", "object"), ("cross_reader_patterns[2].excerpt", "not_grounded"))),
+    (record(cross_reader_patterns=None), (("cross_reader_patterns", "list"),)), (record(reader_views=view_json(positive_signals=None)), ((f"{_VIEW}.positive_signals", "list"),)), (record(reader_views=view_json(friction_points={})), ((f"{_VIEW}.friction_points", "list"),)),
+    (record(uncertainties=[5, " "]), (("uncertainties[0]", "string"), ("uncertainties[1]", "blank"))), (record(audience_assumptions="General readers."), (("audience_assumptions", "list"),)), (record(reader_views=view_json(aversion_risk="high")), ((f"{_VIEW}.aversion_risk", "high_needs_two"),)),
+    (record(reader_views=view_json(uncertainty="The writer seems bipolar.", likely_reaction=None)), ((f"{_VIEW}.likely_reaction", "string"), (f"{_VIEW}.uncertainty", "author_attribute"), (f"{_VIEW}.uncertainty", "diagnosis"))), (record(reader_views=view_json(persona="neutral")), (("reader_views", "personas"),)),
+    (record(signal={"evidence": "text", "statement": 1}), ((f"{_SIGNAL}.statement", "string"), (_SIGNAL, "no_evidence"))), (record(friction={"reason": "r" * 1001, "more": {"deep": [{"Suggested_text": 1}]}}), ((f"{_FRICTION}.reason", "reason_length"), (f"{_FRICTION}.more", "unknown_key"), (f"{_FRICTION}.more.deep[0].Suggested_text", "banned_key"))),
+    (record(cross_reader_patterns=[_BARE | {"personas": "neutral"}]), ((f"{_CROSS}.personas", "list"),)), ("[1]", (("record", "object"),)), (record(evidence={"detail": "Rewrite it: lower the detection risk."}), ((f"{_SIGNAL}.evidence.detail", "rewrite_advice"),)),
 )
 RECORDS = tuple(r for r, _ in JUDGED)
 
@@ -401,12 +476,24 @@ def reception_violations(spark, sf_dir):
     return validation.reception_violations(r, cases(spark, sf_dir))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS case_id, CASE WHEN doc_id % 16 = 3 THEN '' ELSE 'supporter,neutral,skeptic' END AS personas FROM documents")
+@query("SELECT CAST(doc_id AS VARCHAR) AS case_id, CASE WHEN doc_id % {n} IN (3, 29) THEN '' WHEN doc_id % {n} = 25 THEN 'supporter,neutral,neutral' ELSE 'supporter,neutral,skeptic' END AS personas FROM documents".replace("{n}", str(len(JUDGED))))
 def reception_view_order(spark, sf_dir):
     r = _dealt(spark, sf_dir, RECORDS, "json").select(F.col("doc_id").cast("string").alias("case_id"), "json")
     return validation.ordered_views(r).select("case_id", F.array_join(F.transform("reader_views", lambda v: v["persona"]), ",").alias("personas"))
 
 
+#: What the conclusions of record() rest on: of each view its observation, of the pattern its excerpt, first found in the text, an image or an observation.
+_RESTS = """WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS case_id, doc_id, doc_id % 37 <> 0 AND contains(replace(lower(text), 'ß', 'ss'), 'wall') AS in_text FROM documents WHERE doc_id % {n} = 0)
+SELECT case_id, 'reader_views[' || i || '].positive_signals[0]' AS path, 'It is short.' AS statement, 'observation' AS kind, 'observations[0].value' AS locator, CAST(NULL AS VARCHAR) AS excerpt, CAST(NULL AS VARCHAR) AS personas FROM (SELECT case_id, unnest([0, 1, 2]) AS i FROM c)
+UNION ALL SELECT case_id, 'cross_reader_patterns[0]', 'All notice the wall.', 'excerpt', CASE WHEN in_text THEN 'content.text' ELSE 'observations[0].value' END, 'wall', 'neutral,skeptic' FROM c"""
+
+
+@query(_RESTS.replace("{n}", str(len(JUDGED))))
+def reception_evidence_index(spark, sf_dir):
+    r = _dealt(spark, sf_dir, RECORDS, "json").select(F.col("doc_id").cast("string").alias("case_id"), "json")
+    return validation.evidence_index(r, cases(spark, sf_dir)).select("case_id", "path", "statement", "kind", "locator", "excerpt", F.array_join("personas", ",").alias("personas"))
+
+
 # --- reports and streaming
 
 
@@ -426,7 +513,7 @@ def report_inputs(spark, sf_dir):
         report.top_evidence(origin.evidence(case_list, seen, signals, proof)).withColumnRenamed("case_id", "doc_id"),
         listed(origin.asset_findings(case_list.select("case_id", F.explode("image_ids").alias("id")), proof, signals), "case_id", "assets", "id", "provenance_status", "signals"),
         listed(style.excerpts(zh_corpus(spark, sf_dir)), "doc_id", "style_excerpts", "pattern_id", "excerpts"),
-        validation.parsed_reception(told).select(F.col("case_id").alias("doc_id"), F.struct(*validation.RECEPTION_FIELDS).alias("reception")),
+        validation.read_records(told).select(F.col("case_id").alias("doc_id"), F.struct(*validation.RECEPTION_FIELDS).alias("reception")),
         validation.source_list(cases(spark, sf_dir)).select(F.col("case_id").cast("long").alias("doc_id"), "sources"),
     ]
     found = full_findings(spark, sf_dir)
