@@ -5,8 +5,8 @@ stay. Beside them, generators propose overlapping candidate spans of the
 kinds of EXTRA; boosted trees judge each candidate by its format (length,
 character classes, entropy, checksums) and its context (key words, assignment
 signs and quotes before it), and a threshold, calibrated on held-out cases for
-a precision, selects. Of overlapping selected spans the surest stays, and none
-overlaps a base span.
+a precision, selects. Of selected spans one that lies in another of its kind goes, of
+others that overlap the surest stays, and none overlaps a base span.
 
 No labelled personal data exists in the tables, so the trees are trained here
 on seeded, generated cases (see training_cases). They are fitted once on the
@@ -16,6 +16,12 @@ One narrow pass; only texts with a digit, an @ or an assignment sign (= or :)
 are looked at, as every kind needs one. A secret's run has no longest length.
 Offsets are code points, ends exclusive.
 
+What is never proposed: secrets of under 16 characters that no key word with an
+assignment sign (or "is") announces, and announced ones of under 6; other names,
+addresses and dates. National ids (of five countries) and phones without a country
+code are proposed in any text, but mostly selected only after a key word, as their
+digits alone look like any other number.
+
 Defined results: null and empty texts have no spans; of equally sure candidates
 the one proposed first stays; repeated rows are each searched. Work is linear in
 the text, but for sorting its candidates.
@@ -87,22 +93,34 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-#: High-recall proposals for each further kind; they overlap freely.
+#: Proposals for each further kind; they overlap freely. Those of _DOTTED and _ASSIGNED come to them.
 _PROPOSE = {
     "secret": re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+={0,2}"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}(?:[\x20]?[A-Za-z0-9]{4}){2,7}(?:[\x20]?[A-Za-z0-9]{1,3})?(?![A-Za-z0-9])"),
-    "national_id": re.compile(r"(?<![0-9-])[0-9]{3}[-\x20][0-9]{2}[-\x20][0-9]{4}(?![0-9-])"),
+    "national_id": re.compile(
+        r"(?<![0-9A-Za-z-])(?:[0-9]{3}[-\x20][0-9]{2}[-\x20][0-9]{4}|[0-9]{8}[-\x20]?[A-Za-z]|[A-Za-z]{2}(?:[\x20]?[0-9]{2}){3}[\x20]?[A-Da-d]"
+        r"|[12](?:[\x20]?[0-9]{2}){2}[\x20]?[0-9][0-9AB](?:[\x20]?[0-9]{3}){2}(?:[\x20]?[0-9]{2})?|[0-9]{2}(?:[\x20]?[0-9]{3}){3})(?![0-9A-Za-z-])"
+    ),
     "local_phone": re.compile(r"(?<![0-9A-Za-z+])\(?0?[0-9]{2,4}\)?[\x20./-][0-9]{3}[\x20./-]?[0-9]{3,5}(?![0-9A-Za-z])"),
 }
+#: Key parts joined by dots, as signed tokens have them.
+_DOTTED = re.compile(r"(?<![A-Za-z0-9_+/.-])[A-Za-z0-9_+/-]{4,}+(?:\.[A-Za-z0-9_+/-]{4,}+)++={0,2}")
+#: A value that a key word announces: any characters but blanks and quotes.
+_ASSIGNED = re.compile(
+    r"(?i)(?:token|secret|passw|passphrase|pwd|api[_ -]?key|auth|bearer|credential|private[_ -]?key|access[_ -]?key|contrase[nñ]a|mot\x20de\x20passe|kennwort)"
+    r"[A-Za-z_]{0,12}[\"'`]?[\x20\t]{0,2}(?:[=:]|\b(?:is|es|est|ist)\b)[\x20\t]{0,2}[\"'`]?([^\s\"'`]{6,}+)"
+)
 #: Words that announce each kind.
 _KEYS = {
-    "secret": re.compile(r"(?i)token|secret|passw|api[_ -]?key|auth|bearer|credential|private[_ -]?key|access[_ -]?key"),
+    "secret": re.compile(r"(?i)token|secret|passw|passphrase|pwd|api[_ -]?key|auth|bearer|credential|private[_ -]?key|access[_ -]?key|contrase[nñ]a|mot de passe|kennwort"),
     "iban": re.compile(r"(?i)iban|account|konto|cuenta|compte|bank"),
-    "national_id": re.compile(r"(?i)ssn|social security|national id|tax id|steuer|dni|insee"),
+    "national_id": re.compile(r"(?i)ssn|social security|national id|national insurance|nino\b|tax id|steuer|dni\b|nif\b|insee|s[eé]curit[eé] sociale|identi(?:ty|dad)"),
     "local_phone": re.compile(r"(?i)phone|tel\b|tel[.:]|call|mobile|fax|cell|telefon|teléfono|téléphone"),
 }
 #: What a secret's run may hold before its first digit.
 _UNDIGITED = re.compile(r"[A-Za-z_+/=-]*+")
+_PASSWORD = re.compile(r"(?i)passw|passphrase|pwd|contrase[nñ]a|mot de passe|kennwort")
+_LOWER_RUN = re.compile(r"[a-zà-ÿ]+")
 _VOWELS = frozenset("aeiouAEIOU")
 _HEX = frozenset("0123456789abcdefABCDEF")
 
@@ -112,6 +130,23 @@ def iban_ok(s: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def national_ok(s: str) -> bool:
+    """Whether a check letter or check number fits."""
+    s = s.replace(" ", "").replace("-", "").upper()
+    if len(s) == 9 and s[:8].isdigit():
+        return s[8] == "TRWAGMYFPDXBNJZSQVHLCKE"[int(s[:8]) % 23]
+    if len(s) == 15:
+        body = s[:13].replace("2A", "19").replace("2B", "18")
+        return body.isdigit() and s[13:].isdigit() and 97 - int(body) % 97 == int(s[13:])
+    if len(s) == 11 and s.isdigit():
+        rest = 10
+        for c in s[:10]:
+            rest = (rest + int(c)) % 10 or 10
+            rest = rest * 2 % 11
+        return (11 - rest) % 10 == int(s[10])
+    return False
+
+
 def features(text: str, start: int, end: int, kind: str) -> list[float]:
     """Format and context of a candidate span."""
     s = text[start:end]
@@ -125,13 +160,15 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
     lower = sum(v for c, v in counts.items() if "a" <= c <= "z")
     turns = sum(("0" <= a <= "9") != ("0" <= b <= "9") for a, b in zip(s, s[1:]))
     tail = before.rstrip(" \"'`")
+    run = max((m.end() - m.start() for m in _LOWER_RUN.finditer(s[:64])), default=0)
     return [
         n, digit / n, upper / n, lower / n, (n - digit - upper - lower) / n,
         -sum(v / n * math.log2(v / n) for v in counts.values()), len(counts) / min(n, 64), turns / n,
         sum(v for c, v in counts.items() if c in _VOWELS) / n, float(all(c in _HEX for c in counts)),
         float(bool(_KEYS[kind].search(before))), float(tail[-1:] in ("=", ":")), float(before[-1:] in ('"', "'", "`")), float(after[:1] in ('"', "'", "`")),
         float(kind == "iban" and iban_ok(s)), float(digit >= 13 and luhn(_digits(s))),
-        float(before[-1:].isalnum()), float(after[:1].isalnum()), float(s[:1] == "0"), float(KINDS.index(kind)),
+        float(before[-1:].isalnum()), float(after[:1].isalnum()), float(s[:1] == "0"),
+        run / min(n, 64), float(bool(_PASSWORD.search(before))), float(n >= 6 and s[:1].isupper() and s[1:].islower()), sum(not c.isalnum() for c in counts), float(kind == "national_id" and national_ok(s)), float(KINDS.index(kind)),
     ]
 
 
@@ -178,10 +215,19 @@ def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
                     continue
             if not places.overlaps(m.start(), m.end()):
                 out.append((m.start(), m.end(), kind))
+    more = [(m.start(), m.end(), "secret") for m in _DOTTED.finditer(text) if m.end() - m.start() >= 20]
+    for m in _ASSIGNED.finditer(text):
+        start, end = m.span(1)
+        bare = start + len(text[start:end].rstrip(".,;:"))  # these end a clause, others may belong to a password
+        more += [(start, e, "secret") for e in {bare, start + len(text[start:bare].rstrip("!?)]}>*"))} if e - start >= 6]
+    known = set(out)
+    for c in sorted(set(more)):
+        if c not in known and not places.overlaps(c[0], c[1]):
+            out.append(c)
     return out
 
 
-def training_cases(seed: int = 7, n: int = 3000) -> tuple[np.ndarray, np.ndarray]:
+def training_cases(seed: int = 7, n: int = 2000) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of candidates in generated snippets, half of them personal data or secrets."""
     r = random.Random(seed)
     letters = "abcdefghijklmnopqrstuvwxyz"
@@ -240,10 +286,44 @@ def training_cases(seed: int = 7, n: int = 3000) -> tuple[np.ndarray, np.ndarray
         lambda: (announced(r.choice(keys)), "".join(spoken().capitalize() for _ in range(r.randint(3, 5))), " "),
         lambda: (announced(r.choice(keys)), "".join(spoken() for _ in range(r.randint(3, 5))), " "),
     ]
+    #: Short values and other formats after a key word.
+    signs = "!#$%&*?@_-+"
+    keywords = ["password", "Password", "passwd", "pwd", "passphrase", "token", "api_key", "secret", "auth", "contraseña", "mot de passe", "Passwort", "Kennwort"]
+    mixed_case = letters + letters.upper()
+
+    def with_digit(alphabet: str, size: int) -> str:
+        s = list(draw(alphabet, size))
+        s[r.randrange(size)] = r.choice(digits)
+        return "".join(s)
+
+    def national() -> str:
+        number, body = r.randrange(10**8), f"{r.choice('12')}{draw(digits, 2)}{r.randint(1, 12):02d}{r.randint(1, 95):02d}{draw(digits, 6)}"
+        ten = draw("123456789", 1) + draw(digits, 9)
+        check = next(c for c in digits if national_ok(ten + c)) if any(national_ok(ten + c) for c in digits) else "0"
+        return r.choice([f"{number:08d}{'TRWAGMYFPDXBNJZSQVHLCKE'[number % 23]}", f"{draw('ABCEGHJKLMNPRSTWXYZ', 2)} {draw(digits, 2)} {draw(digits, 2)} {draw(digits, 2)} {r.choice('ABCD')}", f"{body}{97 - int(body) % 97:02d}", f"{body[0]} {body[1:3]} {body[3:5]} {body[5:7]} {body[7:10]} {body[10:]} {97 - int(body) % 97:02d}", f"{ten[:2]} {ten[2:5]} {ten[5:8]} {ten[8:]}{check}", ten + check])
+
+    ids = ["DNI", "NIF", "NINO", "national insurance", "INSEE", "sécurité sociale", "Steuer-ID", "tax id", "national id", "SSN"]
+    short = [
+        lambda: (announced(r.choice(keywords)), with_digit(mixed_case + digits, r.randint(6, 24)), r.choice([" ", ".", '"'])),
+        lambda: (announced(r.choice(keywords)), with_digit(mixed_case + digits + signs, r.randint(8, 24)), r.choice([" ", " ", '"'])),
+        lambda: (announced(r.choice(keywords)), with_digit(letters + digits, r.randint(6, 15)), r.choice([" ", ".", '"'])),
+        lambda: (announced(r.choice(keywords)), spoken().capitalize() + r.choice(["", "-", "_", "."]) + draw(digits, r.randint(2, 4)) + r.choice(["", r.choice(signs)]), " "),
+        lambda: (announced(r.choice(["token", "api_key", "auth", "bearer"])), ".".join(draw(mixed_case + digits + "_-", r.choice([16, 30, 60])) for _ in range(3)), " "),
+        lambda: (announced(r.choice(ids)), national(), r.choice([" ", "."])),
+    ]
+    plain = [
+        lambda: (announced(r.choice(keywords)), r.choice([str, str.capitalize])(spoken() + r.choice(["", spoken()])), r.choice([" ", ".", ", ", "!", "?"])),
+        lambda: (announced(r.choice(keywords)), word() + r.choice(["-", "_", "/", "."]) + word(), r.choice([" ", ".", ")"])),
+        lambda: (announced(r.choice(keywords)), r.choice(["<", "[", "{", "$"]) + word() + r.choice([">", "]", "}", ""]), " "),
+        lambda: (announced(r.choice(keywords)), f"https://{word()}.org/{word()}", " "),
+        lambda: (announced(r.choice(["token count", "auth time", "secrets", "tokens"])), r.choice([f"{r.randint(2000, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{r.randint(10, 99)},{r.randint(100, 999)}", f"{r.randint(10, 23)}:{r.randint(10, 59)}:{r.randint(10, 59)}"]), " "),
+        lambda: (r.choice(["page ", "in ", "", "item "]), r.choice([draw(digits, 11), draw(digits, 8) + r.choice("ABC"), f"{draw(digits, 2)} {draw(digits, 3)} {draw(digits, 3)} {draw(digits, 3)}"]), " "),
+        lambda: ("", ".".join(word() for _ in range(r.randint(3, 5))) + r.choice(["", digits[r.randrange(10)]]), " "),
+    ]
     x, y = [], []
-    for k in range(2 * n):
+    for k in range(4 * n):
         truth = k % 2
-        before, span, after = r.choice((positive if truth else negative) if k < n else letters_only if truth else words_only)()
+        before, span, after = r.choice((positive if truth else negative) if k < n else (letters_only if truth else words_only) if k < 2 * n else short if truth else plain)()
         lead = " ".join(word() for _ in range(r.randint(0, 6)))
         text = f"{lead} {before}{span}{after}{word()} {word()}."
         at = len(lead) + 1 + len(before)
@@ -261,7 +341,7 @@ def fitted(precision: float = 0.98, seed: int = 7) -> tuple[boosting.Trees, dict
     """The trees, and for each kind the least threshold that holds the precision on held-out cases (0.5 at least)."""
     x, y = training_cases(seed)
     held = np.arange(len(y)) % 4 == 3
-    trees = boosting.fit(x[~held], y[~held])
+    trees = boosting.fit(x[~held], y[~held], rounds=100, depth=4)
     p, kind = trees.probability(x[held]), x[held][:, -1]
     threshold = {}
     for k in EXTRA:
@@ -278,16 +358,29 @@ def extra_spans(text: str, taken: list[tuple[int, int, str]], trees: boosting.Tr
     if not proposed:
         return []
     p = trees.probability(np.array([features(text, *c) for c in proposed]))
+    sure = [k for k in range(len(proposed)) if p[k] >= threshold[proposed[k][2]]]
     chosen: list[tuple[int, int, str]] = []
     places = Taken()
-    for k in np.argsort(-p, kind="stable"):
+    for k in sorted(outermost(proposed, sure), key=lambda k: -p[k]):
         a, b, kind = proposed[k]
-        if p[k] >= threshold[kind] and not places.overlaps(a, b):
+        if not places.overlaps(a, b):
             chosen.append(proposed[k])
             places.add(a, b)
     return chosen
 
 
+def outermost(spans: list[tuple[int, int, str]], among: list[int]) -> list[int]:
+    """Those spans that lie in no other one of their kind; of equal ones the first. In their order."""
+    reach: dict[str, int] = {}
+    kept = []
+    for k in sorted(among, key=lambda k: (spans[k][0], -spans[k][1], k)):
+        _, end, kind = spans[k]
+        if end > reach.get(kind, -1):
+            reach[kind] = end
+            kept.append(k)
+    return sorted(kept)
+
+
 def joined(spans: list[tuple[int, int, str]]) -> str:
     """kind:start:end by start, then kind as in KINDS."""
     return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1])))
