@@ -11,10 +11,10 @@ import json
 
 from pyspark.sql import functions as F
 
-from ..operators import bayes, detector, origin, provenance, report, style, validation
+from ..operators import bayes, detector, evaluation, origin, provenance, report, validation
 from ..streaming import score as streaming
 from .text_queries import SQUEEZE, STREAM_SQL, quoted
-from .views import MANIFEST_SQL, documents, manifest, table, zh_corpus
+from .views import MANIFEST_SQL, documents, manifest, rated, table, zh_corpus
 
 QUERIES, SQL = {}, {}
 
@@ -498,28 +498,35 @@ def reception_evidence_index(spark, sf_dir):
 
 
 def full_findings(spark, sf_dir):
-    """Text findings, verdict and label of each document."""
+    """Text findings with excerpts, verdict and label of each document."""
     v = origin.verdicts(*policy_inputs(spark, sf_dir)).withColumnRenamed("case_id", "doc_id")
-    joined = detector.analyze(zh_corpus(spark, sf_dir)).join(v, "doc_id")
+    joined = detector.analyze(zh_corpus(spark, sf_dir), excerpts=True).join(v, "doc_id")
     return origin.practical(joined.withColumn("assessment", F.col("style_assessment")))
 
 
+def case_images(case_list):
+    """(images, their digests) of the cases of policy_inputs()."""
+    images = case_list.select("case_id", F.explode("image_ids").alias("id"))
+    return images, images.select("case_id", "id", F.sha2(F.concat(F.col("case_id").cast("string"), F.lit("/"), "id"), 256).alias("sha256"))
+
+
 def report_inputs(spark, sf_dir):
-    """full_findings() with the evidence, assets, excerpts, record and sources of each case."""
+    """full_findings() with all evidence and assets (in parts), record, sources, digest, coverage and model status of each case."""
     case_list, seen, signals, proof = policy_inputs(spark, sf_dir)
-    listed = lambda df, key, name, *fields: df.groupBy(F.col(key).alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
     told = _dealt(spark, sf_dir, RECORDS[:1], "json").select(F.col("doc_id").alias("case_id"), "json")
+    images, digests = case_images(case_list)
+    # one shuffle on (case, part) for what grows with a case, then what each case has once
+    parts = report.evidence_parts(origin.evidence(case_list, seen, signals, proof)).join(report.asset_parts(images, proof, signals, digests), ["case_id", "part"], "full").withColumnRenamed("case_id", "doc_id")
+    failed = [f"{r.scope}:{r.gate}" for r in evaluation.release_gates(rated(spark, sf_dir).where("split = 'blind'"), "blind").where("NOT passed").orderBy("scope", "gate").collect()]  # a few gates a language
     extras = [
-        report.top_evidence(origin.evidence(case_list, seen, signals, proof)).withColumnRenamed("case_id", "doc_id"),
-        listed(origin.asset_findings(case_list.select("case_id", F.explode("image_ids").alias("id")), proof, signals), "case_id", "assets", "id", "provenance_status", "signals"),
-        listed(style.excerpts(zh_corpus(spark, sf_dir)), "doc_id", "style_excerpts", "pattern_id", "excerpts"),
         validation.read_records(told).select(F.col("case_id").alias("doc_id"), F.struct(*validation.RECEPTION_FIELDS).alias("reception")),
         validation.source_list(cases(spark, sf_dir)).select(F.col("case_id").cast("long").alias("doc_id"), "sources"),
+        content_fingerprint(spark, sf_dir).withColumnRenamed("sha256", "content_sha256"), provider_coverage(spark, sf_dir).select(F.col("case_id").alias("doc_id"), F.col("status").alias("provider_status")), parts,
     ]
     found = full_findings(spark, sf_dir)
     for extra in extras:
         found = found.join(extra, "doc_id", "left")
-    return found
+    return found.withColumns({"model_status": F.lit("evaluation_not_passed" if failed else "evaluation_metadata_passed"), "failed_checks": F.array(*[F.lit(x) for x in failed]).cast("array<string>")})
 
 
 @query()
@@ -532,6 +539,23 @@ def report_markdown(spark, sf_dir):
     return report.to_markdown(report.nested(report_inputs(spark, sf_dir)))
 
 
+_SIGNS = "CAST(count(*) FILTER (left(k, 1) = 'p') AS BIGINT) AS positive, CAST(count(*) FILTER (right(k, 1) = 's') AS BIGINT) AS strong"
+
+
+@query(f"""{_POLICY}, im AS (SELECT case_id, unnest(CASE WHEN images = 2 THEN ['img1', 'img2'] ELSE ['img1'] END) AS id FROM cs), sn AS (SELECT case_id, scope AS id, count(*) AS n, {_SIGNS} FROM sg GROUP BY ALL)
+SELECT case_id, id, sha256(case_id || '/' || id) AS sha256, CASE WHEN id = 'img1' THEN CASE case_id % 9 WHEN 0 THEN 'verified' WHEN 1 THEN 'invalid' WHEN 2 THEN 'absent' END END AS status, CASE WHEN id = 'img1' AND case_id % 9 < 3 THEN case_id % 9 = 0 END AS valid,
+CAST(coalesce(n, 0) AS BIGINT) AS signals, coalesce(positive, 0) AS positive, coalesce(strong, 0) AS strong FROM im LEFT JOIN sn USING (case_id, id)""")
+def report_assets(spark, sf_dir):
+    """The assets of the reports, over all parts."""
+    case_list, _, signals, proof = policy_inputs(spark, sf_dir)
+    images, digests = case_images(case_list)
+    each = report.asset_parts(images, proof, signals, digests).select("case_id", F.explode("assets").alias("a")).select("case_id", "a.*")
+    those = lambda name, when: F.sum(F.size(F.filter("provider_signals", when))).alias(name)
+    return each.groupBy("case_id", "id").agg(
+        F.max("sha256").alias("sha256"), F.max("c2pa.status").alias("status"), F.max("c2pa.valid").alias("valid"), F.sum(F.size("provider_signals")).alias("signals"), those("positive", lambda x: x["direction"] == "positive"), those("strong", lambda x: x["strength"] == "strong"),
+    )
+
+
 @query(f"""SELECT doc_id, sha256('{{"assets": [{{"asset_id": "img' || doc_id || '", "media_type": "image/png", "sha256": "' || sha256(source) || '", "size_bytes": ' || n_chars || '}}, {{"asset_id": "b", "media_type": null, "sha256": null, "size_bytes": null}}], "language": ' || CAST(to_json(lang) AS VARCHAR) || ', "text": ' || CAST(to_json(text) AS VARCHAR) || '}}') AS sha256 FROM documents""")
 def content_fingerprint(spark, sf_dir):
     d = documents(spark, sf_dir, "doc_id", "text", "lang", "source", "n_chars")

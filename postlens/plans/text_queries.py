@@ -161,9 +161,27 @@ def style_context(spark, sf_dir):
     return s.select("doc_id", has("counter_signals", "concrete_dates", "dates"), has("counter_signals", "personal_or_comedic_voice", "voice"), has("confounds", "game_history_satire", "satire"), has("confounds", "hashtags", "hashtags"))
 
 
-@query()
+_FAMILIES = [(f.id, 1, True, (f.rx,)) for f in P.STYLE] + [(f.id, f.least, False, f.rxs) for f in P.STRUCTURAL]
+_MATCHED = " UNION ALL ".join(
+    f"SELECT doc_id, '{name}' AS pattern_id, {least} AS least, {distinct} AS once, {r} AS r, s, regexp_extract_all(s, {quoted(rx)}) AS ms, regexp_split_to_array(s, {quoted(rx)}) AS ps FROM z WHERE regexp_matches(s, {quoted(rx)})"
+    for name, least, distinct, rxs in _FAMILIES for r, rx in enumerate(rxs)
+)
+
+
+@query(f"""
+WITH {ZH_SQL}, z AS (SELECT doc_id, {SQUEEZE('text')} AS s FROM zh WHERE language = 'zh' AND {SQUEEZE('text')} <> ''), f AS ({_MATCHED}),
+enough AS (SELECT doc_id, pattern_id FROM f GROUP BY doc_id, pattern_id, least HAVING sum(len(ms)) >= least),
+m AS (SELECT * FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM f) JOIN enough USING (doc_id, pattern_id)),
+-- where a match starts: the text between the matches before it, and those matches
+p AS (SELECT *, coalesce(list_sum(list_transform(ps[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0) AS a FROM m),
+w AS (SELECT doc_id, pattern_id, once, r, k, trim(substr(s, CAST(greatest(a - 24, 0) AS BIGINT) + 1, CAST(a + length(ms[k]) + 48 - greatest(a - 24, 0) AS BIGINT))) AS w FROM p),
+e AS (SELECT doc_id, pattern_id, once, r, k, CASE WHEN length(w) <= 120 THEN w ELSE rtrim(left(w, 119)) || '…' END AS e FROM w),
+d AS (SELECT * FROM e QUALIFY NOT once OR row_number() OVER (PARTITION BY doc_id, pattern_id, e ORDER BY r, k) = 1),
+t AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY doc_id, pattern_id ORDER BY r, k) <= 3)
+SELECT doc_id, pattern_id, string_agg(e, '|' ORDER BY r, k) AS excerpts FROM t GROUP BY doc_id, pattern_id
+""")
 def style_excerpts(spark, sf_dir):
-    return style.excerpts(zh_corpus(spark, sf_dir))
+    return style.excerpts(zh_corpus(spark, sf_dir)).withColumn("excerpts", F.array_join("excerpts", "|"))
 
 
 _W = "OVER (PARTITION BY doc_id)"
