@@ -124,6 +124,28 @@ def nb_sentence_predictions(spark, sf_dir):
     return got.select("id", F.array_join("sentence_predictions", ",").alias("sentence_predictions"))
 
 
+def admission_report(**change) -> str:
+    """An evaluation report that admits a model for en, as JSON; change its fields."""
+    checks = {"checks": dict.fromkeys(bayes.OVERALL_CHECKS, True), "language_checks": dict.fromkeys(bayes.LANGUAGE_CHECKS, True)}
+    return json.dumps({"language": "en", "languages": ["de", "en"], "schema_version": "1.0", "selected_split": "blind", "locked": True, "manifest_sha256": "a" * 64, "record_count": 5, "release_eligible": True, "status": "pass", "evaluated_model_id": "m", "model_id": "m"} | checks | change)
+
+
+#: (report, the rules that keep the model out)
+ADMISSIONS = (
+    (admission_report(), ()), (admission_report(language="fr"), ("language_not_declared",)), (admission_report(languages=[]), ("language_not_declared",)), (admission_report(schema_version="0.9"), ("schema",)), (admission_report(selected_split="calibration"), ("not_locked_blind",)),
+    (admission_report(locked=None), ("not_locked_blind",)), (admission_report(manifest_sha256="A" * 64), ("digest",)), (admission_report(record_count=0), ("record_count",)), (admission_report(status="fail"), ("release_not_passed",)), (admission_report(release_eligible=False), ("release_not_passed",)),
+    (admission_report(evaluated_model_id="n"), ("model_mismatch",)), (admission_report(checks={}), ("overall_checks",)), (admission_report(checks=dict.fromkeys((*bayes.OVERALL_CHECKS, "more"), True)), ("overall_checks",)),
+    (admission_report(language_checks=dict.fromkeys(bayes.LANGUAGE_CHECKS, False), model_id=None), ("language_checks", "model_mismatch")), ("{}", ("language_not_declared", "schema", "not_locked_blind", "digest", "record_count", "release_not_passed", "model_mismatch", "overall_checks", "language_checks")),
+)
+_ADMISSION = "language string, languages array<string>, schema_version string, selected_split string, locked boolean, manifest_sha256 string, record_count bigint, release_eligible boolean, status string, evaluated_model_id string, model_id string, checks map<string, boolean>, language_checks map<string, boolean>"
+
+
+@query(" UNION ALL ".join(f"SELECT {_lit} AS language, '{rule}' AS rule, count(*) AS n FROM documents WHERE doc_id % {len(ADMISSIONS)} = {k}" for k, (told, rules) in enumerate(ADMISSIONS) for _lit in ["CAST(NULL AS VARCHAR)" if told == "{}" else quoted(json.loads(told)["language"])] for rule in rules).join(["SELECT language, rule, CAST(sum(n) AS BIGINT) AS n FROM (", ") GROUP BY language, rule HAVING sum(n) > 0"]))
+def nb_admission(spark, sf_dir):
+    told = _dealt(spark, sf_dir, [a for a, _ in ADMISSIONS], "json").select(F.from_json("json", _ADMISSION).alias("r")).select("r.*")
+    return bayes.admission_violations(told).groupBy("language", "rule").agg(F.count("*").alias("n"))
+
+
 # --- origin policy
 
 #: (type, value, assertion, expected)

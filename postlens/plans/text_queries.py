@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import HAN, TERMINATORS, UNIT, WS, han, keep_lines, redact, repeated_ratio, squeeze, sufficient, units
+from ..functions.text import redact_paths as paths_masked
 from ..operators import detector, style
 from .views import ZH_SQL, documents, table, zh_corpus
 
@@ -145,6 +146,17 @@ def style_assessment(spark, sf_dir):
     return style.scan(zh_corpus(spark, sf_dir)).select("doc_id", F.col("style_patterns").alias("pattern_count"), F.col("style_occurrences").alias("occurrence_count"), F.col("style_assessment").alias("assessment"))
 
 
+@query(f"""WITH {ZH_SQL}, {_STYLE}, h AS (SELECT doc_id, len(regexp_extract_all(s, '@[\\p{{L}}\\p{{N}}_]+|#[^ #]+|https?://|[\\x{{1F300}}-\\x{{1FAFF}}]')) >= 2 AS markers, {counted('s', HAN)} < 200 AS short FROM z),
+o AS (SELECT doc_id, string_agg(pattern_id || ':' || n, ',' ORDER BY n DESC, pattern_id) AS found FROM g GROUP BY doc_id)
+SELECT doc_id, coalesce(found, '') AS found, CASE assessment WHEN 'strong_ai_style_patterns' THEN 'ai_assistance_plausible' WHEN 'some_ai_style_patterns' THEN 'ai_assistance_possible' WHEN 'not_applicable' THEN 'unknown' ELSE 'not_supported_by_style_alone' END AS inference,
+coalesce(markers, false) AS markers, coalesce(short, false) AS short FROM a LEFT JOIN h USING (doc_id) LEFT JOIN o USING (doc_id)""")
+def style_decision(spark, sf_dir):
+    """The matches in their order, the inference, platform markers, and texts too short to say more."""
+    s = style.scan(zh_corpus(spark, sf_dir))
+    found = F.array_join(F.transform("style_matches", lambda m: F.concat(m["pattern_id"], F.lit(":"), m["count"].cast("string"))), ",")
+    return s.select("doc_id", found.alias("found"), F.col("style_inference").alias("inference"), F.array_contains("style_counter_signals", "platform_specific_markers").alias("markers"), F.col("style_short").alias("short"))
+
+
 STREAM_SQL = f"""WITH {ZH_SQL}, {_STYLE}, v AS (SELECT doc_id, language, {KEEP('text')} AS k, CAST({counted(KEEP('text'), HAN)} AS BIGINT) AS han FROM zh)
 SELECT doc_id, language, han, CASE WHEN k <> '' AND language <> 'zh' THEN 'unsupported' WHEN han >= 500 THEN 'full' WHEN han >= CASE WHEN language = 'zh' THEN 200 ELSE 400 END THEN 'limited' ELSE 'insufficient' END AS coverage,
   pattern_count AS style_patterns, occurrence_count AS style_occurrences, assessment AS style_assessment FROM v JOIN a USING (doc_id)"""
@@ -161,10 +173,10 @@ def style_context(spark, sf_dir):
     return s.select("doc_id", has("counter_signals", "concrete_dates", "dates"), has("counter_signals", "personal_or_comedic_voice", "voice"), has("confounds", "game_history_satire", "satire"), has("confounds", "hashtags", "hashtags"))
 
 
-_FAMILIES = [(f.id, 1, True, (f.rx,)) for f in P.STYLE] + [(f.id, f.least, False, f.rxs) for f in P.STRUCTURAL]
+_SCANS = [(f.id, 1, True, (f.rx,)) for f in P.STYLE] + [(f.id, f.least, False, f.rxs) for f in P.STRUCTURAL]
 _MATCHED = " UNION ALL ".join(
     f"SELECT doc_id, '{name}' AS pattern_id, {least} AS least, {distinct} AS once, {r} AS r, s, regexp_extract_all(s, {quoted(rx)}) AS ms, regexp_split_to_array(s, {quoted(rx)}) AS ps FROM z WHERE regexp_matches(s, {quoted(rx)})"
-    for name, least, distinct, rxs in _FAMILIES for r, rx in enumerate(rxs)
+    for name, least, distinct, rxs in _SCANS for r, rx in enumerate(rxs)
 )
 
 
@@ -241,3 +253,18 @@ def redact_text(spark, sf_dir):
     d = documents(spark, sf_dir, "doc_id", "text", "source", "lang")
     message = F.concat(F.lit("req "), F.col("doc_id").cast("string"), F.lit(" Authorization: Bearer "), F.md5("source"), F.lit(", x-api-key="), "source", F.lit("; api_key : "), "lang", F.lit(" "), "text")
     return d.select("doc_id", redact(message, ("src7",)).alias("redacted"))
+
+
+#: (text, with its local paths masked)
+PATHS = (
+    ("can't read /home/ann/My.Docs/a.png: denied", "can't read [PATH]: denied"), ("see file:///tmp/x y", "see [PATH] y"), ("C:\\Users\\ann\\a.png is gone", "[PATH] is gone"), ("https://example.org/a/b stays", "https://example.org/a/b stays"),
+    ("half 1/2 and and/or stay", "half 1/2 and and/or stay"), ("/a '/b/c' \"/d\"", "[PATH] '[PATH]' \"[PATH]\""), ("", ""),
+)
+
+
+@query(f"SELECT doc_id, left([{', '.join(quoted(x) for _, x in PATHS)}][doc_id % {len(PATHS)} + 1] || ' ' || text, 500) AS masked FROM documents WHERE NOT regexp_matches(text, '[/\\\\]')")
+def redact_paths(spark, sf_dir):
+    """Texts without a slash, after a reader's error with paths."""
+    said = F.element_at(F.array(*[F.lit(x) for x, _ in PATHS]), (F.col("doc_id") % len(PATHS) + 1).cast("int"))
+    d = documents(spark, sf_dir, "doc_id", "text").where(~F.rlike("text", F.lit(r"[/\\]")))
+    return d.select("doc_id", paths_masked(F.concat(said, F.lit(" "), F.col("text"))).alias("masked"))

@@ -52,6 +52,9 @@ PHRASES = (
     "排队的人很多，我等了四十分钟才轮到。",
     "天！我等了半天，原来他们已经下班了。",
     "晚安，明天见。\n",
+    "窗外\u3000\u3000下着小雨\u00a0，我在家看书。",
+    "第一行\u2028第二行\u3000@小明 也来了 😀！\n",
+    "网址是 https://example.org/a ，#读书 @阿花 都在。",
 )
 
 _LITERAL = lambda s: "'" + s.replace("'", "''") + "'"
