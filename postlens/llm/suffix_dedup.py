@@ -26,8 +26,11 @@ loses nothing:
 
 An anchor that occurs very often (a common 32-byte passage in differing
 surroundings) is no single group: its units are cut in PIECES and dealt by the 77
-bytes or more that all windows of a piece hold. The merge has a partition for each
-PARTITION_BYTES of text.
+bytes or more that all windows of a piece hold. A piece whose bytes are still
+common (a passage of 80 or 95 bytes, as license lines and templates have) is cut
+into its windows, each dealt by all of its WINDOW bytes. What then meets at one place
+are equal windows alone, of which a task sends one. The merge has a partition for
+each PARTITION_BYTES of text.
 
 Windows, and rows by id and text, are told apart by 64-bit hashes; a text may
 have 256 MB at most, a longer one is an error.
@@ -59,7 +62,7 @@ BLOCK_UNITS = 8192
 PARTITION_BYTES = 64 << 20
 #: An anchor is hot from HOT_LEAST occurrences, or more where a corpus would else have over HOT_MOST hot ones; a task reports counts from HOT_LOCAL.
 HOT_LEAST, HOT_MOST, HOT_LOCAL = 10_000, 20_000, 32
-#: Largest distances from an anchor to the starts of the windows of each piece of a hot unit.
+#: Largest distances from an anchor to the starts of the windows of each piece of a hot unit; a piece is hot from the count of a hot anchor.
 PIECES = (22, 45, SPAN)
 _BASE = 0x9E3779B97F4A7C15
 _LAST = (1 << 63) - 1
@@ -208,6 +211,17 @@ def ragged(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[ragged_index(start, size)]
 
 
+def united(rk: np.ndarray, begin: np.ndarray, end: np.ndarray, part: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Intervals of each rk with those that touch joined, in order of a partition of theirs, and those partitions."""
+    by = np.lexsort((begin, rk))
+    rk, begin, end, part = rk[by], begin[by], end[by], part[by]
+    first = np.flatnonzero(np.concatenate([[True], (rk[1:] != rk[:-1]) | (begin[1:] > end[:-1])])) if len(rk) else np.zeros(0, np.int64)
+    end = np.maximum.reduceat(end, first) if len(first) else end
+    rk, begin, part = rk[first], begin[first], part[first]
+    by = np.argsort(part, kind="stable")
+    return {"rk": rk[by], "from": begin[by], "to": end[by]}, part[by]
+
+
 class Units:
     """Units as columns: suffix x (from the anchor) and left (bytes before it) as padded matrices."""
 
@@ -244,8 +258,7 @@ class Units:
         # of equal units the first place stands first (stable sorts); one at the same place (equal rows) is no later
         head = np.maximum.accumulate(np.where(same, 0, np.arange(self.n)))
         later = same & ((c["order"] != c["order"][head]) | (c["start"] != c["start"][head]))
-        cover = {"rk": c["rk"][later], "from": c["start"][later], "to": c["start"][later] + c["windows"][later].astype(np.int32) + np.int32(WINDOW - 1)}
-        cover_part = part[later]
+        cover, cover_part = united(c["rk"][later], c["start"][later], c["start"][later] + c["windows"][later].astype(np.int32) + np.int32(WINDOW - 1), part[later])
         kept = np.flatnonzero(~same)
         c, part = {k: v[kept] for k, v in c.items()}, part[kept]
         lcp = np.zeros(len(kept), np.int64)
@@ -434,30 +447,74 @@ def window_intervals(pick, c, x, x_at, x_size, left, left_at, left_size):
     return [(rk[at[first]], place[at[first]].astype(np.int64), place[at[last]].astype(np.int64) + WINDOW)]
 
 
-def pieces_of_hot(data: np.ndarray, hot: np.ndarray, row, h, anchor, first, last):
-    """The units with those of hot anchors cut in pieces, each dealt by the bytes that all its windows hold.
+def cut_pieces(data: np.ndarray, row, anchor, first, last):
+    """(row, key, anchor, first, last) of the pieces of units; the key is a hash of the bytes that all windows of a piece hold.
 
     A piece has the windows that start between two of PIECES before the anchor,
     so equal windows are in pieces of one kind and hold the same bytes there.
     """
-    is_hot = np.isin(h, hot)
-    if not is_hot.any():
-        return row, h, anchor, first, last
-    out = [tuple(c[~is_hot] for c in (row, h, anchor, first, last))]
-    row, h, anchor, first, last = (c[is_hot] for c in (row, h, anchor, first, last))
-    nearest = 0
+    out, nearest = [], 0
     for farthest in PIECES:
         a, b = np.maximum(first, anchor - farthest), np.minimum(last, anchor - nearest)
         some = a <= b
-        begin, size = anchor[some] - nearest, WINDOW - (farthest - nearest)
-        value = np.zeros(len(begin), np.uint64)
-        for k in range(size):
-            value = value * np.uint64(_BASE) + (data[begin + k].astype(np.uint64) + np.uint64(1))
-        out.append((row[some], mix64(value + np.uint64(farthest)), anchor[some], a[some], b[some]))
+        out.append((row[some], spans_hashed(data, anchor[some] - nearest, WINDOW - (farthest - nearest), farthest), anchor[some], a[some], b[some]))
         nearest = farthest + 1
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
+def spans_hashed(data: np.ndarray, begin: np.ndarray, size: int, salt: int) -> np.ndarray:
+    value = np.zeros(len(begin), np.uint64)
+    for k in range(size):
+        value = value * np.uint64(_BASE) + (data[begin + k].astype(np.uint64) + np.uint64(1))
+    return mix64(value + np.uint64(salt))
+
+
+def pieces_of_hot(data: np.ndarray, hot: np.ndarray, hot_pieces: np.ndarray, row, h, anchor, first, last):
+    """The units with those of hot anchors cut in pieces, and hot pieces cut in windows; each dealt by a hash of what its windows share."""
+    is_hot = np.isin(h, hot)
+    if not is_hot.any():
+        return row, h, anchor, first, last
+    out = [tuple(c[~is_hot] for c in (row, h, anchor, first, last))]
+    cut = cut_pieces(data, *(c[is_hot] for c in (row, anchor, first, last)))
+    again = np.isin(cut[1], hot_pieces)
+    out.append(tuple(c[~again] for c in cut))
+    row, _, anchor, first, last = (c[again] for c in cut)
+    if len(row):
+        count = last - first + 1
+        each = np.repeat(np.arange(len(row)), count)
+        window = ragged_index(first, count)
+        out.append((row[each], spans_hashed(data, window, WINDOW, 0), anchor[each], window, window))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def common_pieces(rows: DataFrame, hot: np.ndarray, least: int) -> np.ndarray:
+    """Keys of the pieces of hot anchors that occur `least` times; as pieces are at most len(PIECES) times the anchors, no more than that many times HOT_MOST."""
+    if not len(hot):
+        return np.zeros(0, np.uint64)
+
+    def count(batches):
+        held: list[np.ndarray] = []
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                row, h, anchor, first, last = anchors(*utf8(piece.column("text")))
+                mine = np.isin(h, hot)
+                if mine.any():
+                    held.append(cut_pieces(utf8(piece.column("text"))[0], *(c[mine] for c in (row, anchor, first, last)))[1])
+                if sum(map(len, held)) >= HELD_ANCHORS:
+                    yield told(held)
+                    held = []
+        if held:
+            yield told(held)
+
+    def told(held):
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        often = n >= HOT_LOCAL
+        return pa.RecordBatch.from_arrays([pa.array(key[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["h", "n"])
+
+    found = rows.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.array([r["h"] for r in found.select("h").collect()], np.int64).view(np.uint64)
+
+
 def removed_intervals(rows: DataFrame) -> DataFrame:
     """(rk, from, to), intervals of bytes to remove; they may overlap."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -466,6 +523,7 @@ def removed_intervals(rows: DataFrame) -> DataFrame:
     # at most HOT_MOST rows, as about one byte in 35 is an anchor
     least = max(HOT_LEAST, size // 32 // HOT_MOST)
     hot = np.array([r["h"] for r in repeated.where("rk is null").groupBy("h").agg(F.sum("pos").alias("n")).where(F.col("n") >= least).select("h").collect()], np.int64).view(np.uint64)
+    hot_pieces = common_pieces(rows, hot, least)
     chosen = repeated.where("rk is not null").groupBy("rk").agg(F.collect_set("pos").alias("pos"))  # a text's anchors, at most its length
 
     def sort(batches):
@@ -481,7 +539,7 @@ def removed_intervals(rows: DataFrame) -> DataFrame:
                 good = np.isin(anchor, want)
                 order = piece.column("id").fill_null(_LAST).to_numpy()
                 if good.any():
-                    units.add(data, off, *pieces_of_hot(data, hot, row[good], h[good], anchor[good], first[good], last[good]), piece.column("rk").to_numpy(), order)
+                    units.add(data, off, *pieces_of_hot(data, hot, hot_pieces, row[good], h[good], anchor[good], first[good], last[good]), piece.column("rk").to_numpy(), order)
                 if units.n >= HELD_UNITS:
                     yield from packed(units)
                     units = Units()

@@ -321,7 +321,7 @@ def test_pieces_of_hot_anchors_keep_equal_windows_together():
     data = np.concatenate([np.concatenate([r.integers(97, 99, 70, np.uint8), passage, r.integers(97, 99, 70, np.uint8)]) for _ in range(200)])
     anchor = np.arange(200) * 172 + 70
     h = np.full(200, 9, np.uint64)
-    row, key, at, first, last = suffix_dedup.pieces_of_hot(data, h[:1], np.zeros(200, np.int64), h, anchor, anchor - suffix_dedup.SPAN, anchor)
+    row, key, at, first, last = suffix_dedup.pieces_of_hot(data, h[:1], np.zeros(0, np.uint64), np.zeros(200, np.int64), h, anchor, anchor - suffix_dedup.SPAN, anchor)
     windows = {}
     for k, a, b in zip(key.tolist(), first.tolist(), last.tolist()):
         for p in range(a, b + 1):
@@ -415,3 +415,25 @@ def test_components_of_a_path(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "u long, v long")
     got = dict(components.components(e).collect())
     assert len(got) == 43 and all(got[i] == 0 for i in range(41)) and got[101] == 100
+
+
+@pytest.mark.parametrize("size", [60, 80, 95, 110, 150])
+def test_no_key_is_hot_after_a_common_passage_was_cut(size):
+    """Units that differ and have one key, around a passage in 2,000 differing surroundings."""
+    g = np.random.default_rng(size)
+    passage = g.integers(97, 123, size, np.uint8)
+    texts = [np.concatenate([g.integers(97, 123, 120, np.uint8), passage, g.integers(97, 123, 120, np.uint8)]) for _ in range(2000)]
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    data = np.concatenate(texts)
+    row, h, anchor, first, last = suffix_dedup.anchors(data, off)
+    many = lambda keys: np.array([k for k, n in Counter(keys.tolist()).items() if n >= 200], np.uint64)
+    hot = many(h)
+    mine = np.isin(h, hot)
+    assert len(hot)
+    common = many(suffix_dedup.cut_pieces(data, row[mine], anchor[mine], first[mine], last[mine])[1])
+    _, key, _, a, b = suffix_dedup.pieces_of_hot(data, hot, common, row, h, anchor, first, last)
+    assert sum((b - a + 1).tolist()) == sum((last - first + 1).tolist())
+    units = {}
+    for k, x, y in zip(key.tolist(), a.tolist(), b.tolist()):
+        units.setdefault(k, set()).add(data[x : y + 100].tobytes())
+    assert max(map(len, units.values())) < 200, max(map(len, units.values()))
