@@ -3,7 +3,7 @@
 Features are which 4- to 6-grams of code points occur in the whole text (A-Z
 lower-cased, other ASCII but digits and letters as a space), hashed to 2^18
 buckets; no bucket is left out. From a bounded, seeded sample of labelled rows
-(at most `rows_per_class` of each class) come the number of toxic and other
+(at most `rows_per_class` of each class, and `most_features` n-grams in all) come the number of toxic and other
 texts with each bucket; the ratio of the smoothed logs scales the feature. An
 L2-regularised squared-hinge classifier over all buckets is fitted to the
 sample's sparse rows by dual coordinate descent, and a logistic curve turns its
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, append_columns, bounded_sample, checkpointed, pieces, small_batches, utf8
+from .common import LOWER, append_columns, bounded_sample, checkpointed, pieces, small_batches, utf8, written
 from .linear import balanced, l2_svm_sparse, logistic, platt
 
 BITS, ORDERS = 18, (4, 5, 6)
@@ -76,6 +76,10 @@ class Present:
         return found
 
 
+#: N-grams (buckets) of all rows of the sample, 4 bytes each on the driver.
+MOST_FEATURES = 1 << 26
+
+
 @dataclass
 class ToxicModel:
     weight: np.ndarray  # of each bucket
@@ -97,8 +101,18 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     return checkpointed(rows.groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y")))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = 2500, alpha: float = 1.0, ridge: float = 0.1, seed: int = 22) -> ToxicModel:
-    """Fits on at most rows_per_class labelled rows of each class: the one bound, the same at every input size."""
+def within(rows: DataFrame, most: int, seed: int) -> DataFrame:
+    """The rows (id, y, n) of each class, in order of their seeded hash, while their n are at most half of `most` together; one at least."""
+    sizes = rows.select("id", "y", "n").withColumn("k", F.xxhash64(F.lit(seed), "id")).toPandas()  # a row for each of the sample
+    if sizes["n"].sum() <= most:
+        return rows
+    sizes = sizes.sort_values(["y", "k", "id"])
+    kept = sizes[(sizes.groupby("y")["n"].cumsum() <= most // 2) | (sizes.groupby("y").cumcount() == 0)]
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in kept["id"].tolist()], rows.select("id").schema)), "id")
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = 2500, alpha: float = 1.0, ridge: float = 0.1, seed: int = 22, most_features: int = MOST_FEATURES) -> ToxicModel:
+    """Fits on at most rows_per_class labelled rows of each class that have at most most_features n-grams in all: the sample's bounds, the same at every input size."""
     small_batches(docs.sparkSession)
     rows = sample(docs, labels, id_col, text_col, label_col, rows_per_class, seed)
 
@@ -106,10 +120,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         present = Present()
         for batch in batches:
             for piece in pieces(batch, "text"):
-                found = [present(p).astype(np.int32).tobytes() for p in code_points(piece.column("text"))]
-                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("y"), pa.array(found, pa.binary())], names=["id", "y", "x"])
+                found = [present(p).astype(np.int32) for p in code_points(piece.column("text"))]
+                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("y"), pa.array([len(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], names=["id", "y", "n", "x"])
 
-    got = rows.mapInArrow(sparse, f"id {rows.schema['id'].dataType.simpleString()}, y int, x binary").toArrow().sort_by("id")
+    table = written(rows.mapInArrow(sparse, f"id {rows.schema['id'].dataType.simpleString()}, y int, n long, x binary"))
+    got = within(table, most_features, seed).select("id", "y", "x").toArrow().sort_by("id")
     y = np.where(got.column("y").to_numpy() == 1, 1.0, -1.0)
     n1, n0 = int((y > 0).sum()), int((y < 0).sum())
     if not n1 or not n0:
