@@ -30,11 +30,22 @@ from pyspark.sql import types as T
 from .common import LOWER, append_columns, checkpointed, fresh, pieces, small_batches, utf8
 from .linear import balanced, l2_svm, logistic
 
-#: Languages by family. A language that is not listed is a family of its own.
+#: Languages by family, or by writing where unrelated ones share it (east_asian). A language that is not listed is a family of its own.
 FAMILIES = {
-    "germanic": ("en", "de", "nl", "af", "sv", "da", "no", "nb", "nn", "is"),
-    "romance": ("fr", "es", "it", "pt", "ro", "ca", "gl"),
-    "slavic": ("ru", "uk", "pl", "cs", "sk", "bg", "sr", "hr", "sl"),
+    "germanic": ("en", "de", "nl", "af", "sv", "da", "no", "nb", "nn", "is", "fo", "lb", "fy", "yi"),
+    "romance": ("fr", "es", "it", "pt", "ro", "ca", "gl", "oc", "la"),
+    "slavic": ("ru", "uk", "be", "pl", "cs", "sk", "bg", "mk", "sr", "hr", "bs", "sl"),
+    "baltic": ("lt", "lv"),
+    "celtic": ("ga", "gd", "cy", "br"),
+    "uralic": ("fi", "et", "hu"),
+    "turkic": ("tr", "az", "uz", "tk", "kk", "ky", "tt", "ug"),
+    "iranian": ("fa", "tg", "ku", "ps"),
+    "indo_aryan": ("hi", "mr", "ne", "sa", "bn", "as", "gu", "pa", "or", "ur", "sd", "si"),
+    "dravidian": ("ta", "te", "kn", "ml"),
+    "austronesian": ("id", "ms", "jv", "su", "tl", "fil", "ceb", "mg", "mi"),
+    "semitic": ("ar", "he", "am", "ti", "mt"),
+    "bantu": ("sw", "zu", "xh", "rw", "sn", "ny", "lg"),
+    "east_asian": ("zh", "yue", "ja", "ko"),
 }
 BITS, ORDERS = 13, (1, 2, 3, 4)
 #: When a language's sample is drawn, 2^SLICE_BITS ranges of its hashes are counted first.

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from postlens.llm import mixing, pii, quality, toxicity
+from postlens.llm import langid, mixing, pii, quality, toxicity
 from tests.llm.test_operators import ODD, brute_spans, make
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -125,3 +125,23 @@ def test_sample_within_a_number_of_features(spark):
     got = toxicity.within(rows, 400, 1).collect()
     assert Counter(x.y for x in got) == {0: 4, 1: 20} and sorted(x.id for x in got) == sorted(x.id for x in toxicity.within(rows.repartition(5), 400, 1).collect())
     assert Counter(x.y for x in toxicity.within(rows, 1, 1).collect()) == {0: 1, 1: 1}
+
+
+# --- 1
+
+
+def test_close_languages_beyond_europe_meet_in_pairs(spark):
+    """Each language has words of its own beside those it shares with the others of its family."""
+    r = random.Random(1)
+    alphabet = {"hi": "कखगघचछजझ", "mr": "कखगघचछजझ", "id": "abdegiklmn", "ms": "abdegiklmn", "tr": "abcçdeğıiş", "zh": "天地人山水火", "ja": "天地人山水火", "xx": "ἀβγδε"}
+    shared = {a: ["".join(r.choice(a) for _ in range(4)) for _ in range(30)] for a in sorted(set(alphabet.values()))}
+    own = {lang: ["".join(r.choice(a) for _ in range(5)) for _ in range(12)] for lang, a in alphabet.items()}
+    text = lambda lang: " ".join(r.choice(own[lang] if r.random() < 0.4 else shared[alphabet[lang]]) for _ in range(25))
+    rows = [(i, text(lang), lang) for i, lang in enumerate(sorted(alphabet) * 25)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {tuple(model.langs[k] for k in p) for p in model.pairs} == {("hi", "mr"), ("id", "ms"), ("ja", "zh")} and len(model.families) == 5
+    fresh = [(lang, text(lang)) for lang in sorted(alphabet) for _ in range(20)]
+    best, score = model.predict(pa.array([t for _, t in fresh]))
+    assert np.mean([model.langs[k] == lang for k, (lang, _) in zip(best, fresh)]) > 0.95 and (score > 0).all()
+    listed = [x for langs in langid.FAMILIES.values() for x in langs]
+    assert len(listed) == len(set(listed)) and langid.family_of("xx") == "=xx"
