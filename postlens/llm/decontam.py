@@ -9,9 +9,12 @@ found.
 
 Items reach the executors in blocks of about `block_words` words, dealt by a
 hash of the item, so that neither an automaton nor what the driver holds grows
-with the table of items. One block takes one narrow pass. Several take one pass
-each, of which only the texts with hits are written to the shared folder; they
-are united by text and joined to the documents at the end.
+with the table of items. One block takes one narrow pass. For several, a pass
+looks for texts that have the hash of a window of up to SCREEN_WINDOWS windows at
+once and writes them, each distinct text once a block, to the shared folder; only
+there do the blocks' automata walk, so a text without a window meets none, and what is
+hit is decided by words, never by hashes. Hits are united by text and joined to the
+documents at the end.
 
 Only runs of words that occur in some item can hold a window, so the automaton
 is walked over such runs that are long enough, and nowhere else; that loses
@@ -34,10 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import T_TO_ARROW, append_columns, checkpointed, fresh, pieces, small_batches, utf8
+from .common import T_TO_ARROW, append_columns, checkpointed, fresh, mix64, pieces, small_batches, span_hash, utf8, words_of, written
 
 WINDOW = 13
 BLOCK_WORDS = 100_000
+#: Item windows whose hashes go with the tasks of one pass over the documents, 12 bytes each.
+SCREEN_WINDOWS = 1 << 21
 
 _FOLD = bytes(32 if b < 48 or 57 < b < 65 or 90 < b < 97 or 122 < b < 128 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -46,6 +51,24 @@ def normal_words(raw: bytes) -> list[bytes]:
     return raw.translate(_FOLD).split()
 
 
+_FOLDED = np.frombuffer(_FOLD, np.uint8)
+
+
+def window_hashes(data: np.ndarray, off: np.ndarray, lengths: list[int]):
+    """(n, rows, hashes) of all n-word windows of texts, for each n of lengths; none crosses from text to text."""
+    folded = _FOLDED[data]
+    starts, ends, row = words_of(folded, off)
+    word = span_hash(folded, starts, ends)
+    for n in lengths:
+        if len(word) >= n:
+            with np.errstate(over="ignore"):
+                h = word[: len(word) - n + 1].copy()
+                for k in range(1, n):
+                    h = h * np.uint64(0x9E3779B97F4A7C15) + word[k : len(word) - n + 1 + k]
+            inside = row[: len(word) - n + 1] == row[n - 1 :]
+            yield n, row[: len(word) - n + 1][inside], mix64(h[inside] + np.uint64(n))
+
+
 class Automaton:
     """Generalised suffix automaton over the word ids of several items."""
 
@@ -182,6 +205,48 @@ def _one_block(docs: DataFrame, block: list[tuple[str | None, list[bytes]]], tex
     return append_columns(docs, text_col, FIELDS, make)
 
 
+def screened(texts: DataFrame, items: DataFrame, key: list[str], window: int) -> DataFrame:
+    """(text, key, block): each distinct text that has a window's hash, once for each block of items with such a window. One pass; the automata decide.
+
+    items: (text, block), whose windows are at most about SCREEN_WINDOWS.
+    """
+    def of_items(batches):
+        for batch in batches:
+            data, off = utf8(batch.column("text"))
+            block = batch.column("block").to_numpy()
+            n_words = np.bincount(words_of(_FOLDED[data], off)[2], minlength=len(block)) if len(data) else np.zeros(len(block), np.int64)
+            length = np.minimum(n_words, window)
+            for n, row, h in window_hashes(data, off, [int(x) for x in np.unique(length[length > 0])]):
+                mine = length[row] == n
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(mine.sum()), n, np.int32)), pa.array(h[mine].view(np.int64)), pa.array(block[row[mine]].astype(np.int32))], names=["n", "h", "block"])
+
+    small_batches(texts.sparkSession)
+    got = items.select("text", F.col("block").cast("int").alias("block")).mapInArrow(of_items, "n int, h long, block int").distinct().toArrow()
+    n, h, block = (got.column(c).to_numpy() for c in ("n", "h", "block"))
+    order = np.argsort(h.view(np.uint64), kind="stable")
+    lengths = np.unique(n).tolist()
+    sent = texts.sparkSession.sparkContext.broadcast((h.view(np.uint64)[order], block[order].astype(np.int32)))
+    out = T.StructType([T.StructField("text", T.StringType()), *[T.StructField(k, T.LongType()) for k in key], T.StructField("block", T.IntegerType())])
+
+    def of_texts(batches):
+        known, of = sent.value
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                data, off = utf8(piece.column("text"))
+                pairs = [np.zeros(0, np.int64)]
+                for _, row, h in window_hashes(data, off, lengths):
+                    left, right = np.searchsorted(known, h, side="left"), np.searchsorted(known, h, side="right")
+                    some = np.flatnonzero(right > left)
+                    for i in range(int((right - left)[some].max(initial=0))):  # blocks that share a window
+                        more = some[left[some] + i < right[some]]
+                        pairs.append(np.unique(row[more].astype(np.int64) << 32 | of[left[more] + i]))
+                found = np.unique(np.concatenate(pairs))
+                rows = pa.array(found >> 32)
+                yield pa.RecordBatch.from_arrays([*(piece.column(c).take(rows) for c in ("text", *key)), pa.array((found & 0xFFFFFFFF).astype(np.int32))], names=out.names)
+
+    return written(texts.select("text", *key).mapInArrow(of_texts, out).dropDuplicates([*key, "block"]))
+
+
 def measure(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with n_words, n_hit, n_items, items (comma-joined, sorted as strings), item_ids (array), hit_words (packed bits of the words)."""
     spark = docs.sparkSession
@@ -197,7 +262,14 @@ def measure(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id:
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     hashes = [F.xxhash64(F.lit(k), text).alias(name) for k, name in enumerate(key)]
     alone = docs.select(text.alias("text"), *hashes)
-    parts = [checkpointed(_one_block(alone, block_of(b), "text", window).where("n_hit > 0").select(*key, "hit_words", "item_ids").dropDuplicates(key)) for b in range(blocks)]
+    parts = []
+    step = max(1, SCREEN_WINDOWS // block_words)
+    for first in range(0, blocks, step):
+        near = screened(alone, dealt.where(F.col("block").between(first, first + step - 1)), key, window)
+        for b in sorted(r["block"] for r in near.select("block").distinct().collect()):  # at most `step` numbers
+            parts.append(checkpointed(_one_block(near.where(F.col("block") == b).drop("block"), block_of(b), "text", window).where("n_hit > 0").select(*key, "hit_words", "item_ids")))
+    if not parts:
+        parts = [alone.limit(0).select(*key, F.lit(None).cast("binary").alias("hit_words"), F.lit(None).cast("array<string>").alias("item_ids"))]
     small_batches(spark)
     names = {f.name.lower() for f in FIELDS}
     kept = [f for f in docs.schema.fields if f.name.lower() not in names]

@@ -103,8 +103,10 @@ def brute_hits(text, items):
     return len(w), len(hit), ",".join(sorted(found))
 
 
-@pytest.mark.parametrize("block_words", [100_000, 30])
-def test_decontamination(spark, block_words):
+@pytest.mark.parametrize("block_words", [100_000, 30, 29])
+def test_decontamination(spark, monkeypatch, block_words):
+    if block_words == 29:  # several passes of a few blocks each
+        monkeypatch.setattr(decontam, "SCREEN_WINDOWS", 90)
     r = random.Random(4)
     words = [f"w{k}" for k in range(12)]
     items = [(i, " ".join(r.choice(words) for _ in range(r.choice([1, 2, 5, 12, 13, 14, 20])))) for i in range(2, 9)] + [(10, None), (11, "..."), (2, "W1 w2, w3 w4-w5 w6 w7 w8 w9 w10 w11 w0 w1 w2")]
