@@ -2,7 +2,7 @@
 
 For each n of NGRAMS a rolling polynomial hash over the word hashes of the
 whole text finds the word n-grams that occur twice or more; the share of word
-characters (UTF-8 bytes) inside any of them (each counted once, all
+characters (code points) inside any of them (each counted once, all
 occurrences) is held against a limit, and so is the share inside lines that
 equal an earlier one. Texts are cut into chunks between texts only.
 
