@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Unicode whitespace as one character class body.
+# Whitespace (a character class body), Han characters, units of text and sentence terminators.
 WS = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 HAN = r"[\x{4e00}-\x{9fff}]"
 UNIT = r"[\x{4e00}-\x{9fff}]|[A-Za-z]+(?:'[A-Za-z]+)?|\p{Nd}+(?:\.\p{Nd}+)?"
