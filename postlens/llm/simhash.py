@@ -8,6 +8,8 @@
    some `blocks - distance` of `blocks` bit blocks. Each fingerprint goes to
    one bucket for each such choice of blocks. This is lossless and is what keeps
    the tables apart on a cluster; pivots alone would leave all pairs to look at.
+   A bucket of HOT_BUCKET rows (many near copies of one text) is dealt over
+   distance + 1 buckets by the bits outside its blocks, which loses no link either.
 4. Inside a bucket the pivot distance table decides: the Hamming distances to
    `pivots` reference fingerprints are precomputed; by the triangle inequality
    a pair whose largest coordinate difference exceeds `distance` is discarded.
@@ -35,10 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, checkpointed, utf8
+from .common import append_columns, checkpointed, utf8, written
 from .components import components
 
 SEED, PIVOTS = 42, 16
+#: A bucket of so many rows is dealt over several before the shuffle; a task reports its counts from HOT_LOCAL on, after HOT_HELD rows.
+HOT_BUCKET, HOT_LOCAL, HOT_HELD = 20_000, 32, 1 << 20
+#: Most hot buckets that are broadcast; more are joined by a shuffle.
+BROADCAST_BUCKETS = 100_000
 #: A bucket with more rows than this is split by further bit blocks.
 LARGE_BUCKET = 2048
 #: Rows of buckets that a task holds, on average, at most.
@@ -166,14 +172,57 @@ def block_masks(distance: int, blocks: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(block, blocks - distance)]
 
 
+def sub_masks(mask: int, distance: int) -> list[int]:
+    """The bits outside a mask, dealt over distance + 1 masks: a close pair that agrees in the mask agrees in one of them too."""
+    rest = [i for i in range(64) if not mask >> i & 1]
+    return [sum(1 << i for i in rest[k :: distance + 1]) for k in range(distance + 1)]
+
+
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
+def hot_buckets(nodes: DataFrame, masks: list[int]) -> DataFrame:
+    """(t, bits) of buckets of HOT_BUCKET rows and more, counted inside the tasks first; written."""
+    def count(batches):
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held.append(batch.column("fingerprint").to_numpy().view(np.uint64))
+            if sum(map(len, held)) >= HOT_HELD:
+                yield told(np.concatenate(held))
+                held = []
+        if held:
+            yield told(np.concatenate(held))
+
+    def told(fp):
+        t, bits, n = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for k, mask in enumerate(masks):
+            value, many = np.unique(fp & np.uint64(mask), return_counts=True)
+            often = many >= HOT_LOCAL
+            t.append(np.full(int(often.sum()), k, np.int32))
+            bits.append(value[often])
+            n.append(many[often])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(t)), pa.array(np.concatenate(bits).view(np.int64)), pa.array(np.concatenate(n).astype(np.int64))], names=["t", "bits", "n"])
+
+    return written(nodes.select("fingerprint").mapInArrow(count, "t int, bits long, n long").groupBy("t", "bits").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_BUCKET).select("t", "bits"))
+
+
 def links(nodes: DataFrame, distance: int = 3, blocks: int = 5) -> DataFrame:
     """(u, v): links whose components are those of all pairs of nodes (fingerprint, node) within the distance.
 
     nodes has each fingerprint once.
     """
-    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in block_masks(distance, blocks)]
-    keyed = nodes.select("fingerprint", "node", F.posexplode(F.array(*[F.col("fingerprint").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "bits"))
-    keyed = keyed.select("fingerprint", "node", F.xxhash64("t", "bits").alias("key"))
+    masks = block_masks(distance, blocks)
+    keyed = nodes.select("fingerprint", "node", F.posexplode(F.array(*[F.col("fingerprint").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("t", "bits"))
+    hot = hot_buckets(nodes, masks)
+    if n_hot := hot.count():
+        # rows of a hot bucket go to distance + 1 buckets, by bits that they do not share yet
+        marked = keyed.join(F.broadcast(hot.withColumn("hot", F.lit(True))) if n_hot <= BROADCAST_BUCKETS else hot.withColumn("hot", F.lit(True)), ["t", "bits"], "left")
+        more = F.element_at(F.array(*[F.array(*[F.lit(signed(x)) for x in sub_masks(m, distance)]) for m in masks]), F.col("t") + 1)
+        split = F.transform(more, lambda x, k: F.xxhash64("t", "bits", k, F.col("fingerprint").bitwiseAND(x)))
+        keyed = marked.select("fingerprint", "node", F.explode(F.when(F.col("hot"), split).otherwise(F.array(F.xxhash64("t", "bits")))).alias("key"))
+    else:
+        keyed = keyed.select("fingerprint", "node", F.xxhash64("t", "bits").alias("key"))
     # the number is given, so that partitions of the Python step are not coalesced; it grows with the nodes, as a task holds a partition
     parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-nodes.count() * len(masks) // PARTITION_ROWS))
     dealt = keyed.repartition(parts, "key")
