@@ -11,7 +11,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,6 +64,15 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{WS}]+|[{WS}]+$", "")
 
 
+def spread(df: DataFrame, columns: list, array: Column, name: str, place: str = "_place") -> DataFrame:
+    """df's columns with a row for each element of an array, and its place.
+
+    The outer form and a test of the place, as from a plain one a filter on the array is
+    inferred and moved below what the array is made of, which is then worked out again for every use in it.
+    """
+    return df.select(*columns, F.posexplode_outer(array).alias(place, name)).where(F.col(place).isNotNull())
+
+
 def parsed(text: str | None):
     """A JSON value, or None: null, not JSON, or nested too deeply to read."""
     try:

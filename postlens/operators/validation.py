@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import is_public_url, is_zoned_time, squeeze
-from ..functions.typed import absent, at, is_object, items, items_or_none, keys, members, no_items, string, strip, variant
+from ..functions.typed import absent, at, is_object, items, items_or_none, keys, members, no_items, spread, string, strip, variant
 
 # Enumerations of the contracts.
 PLATFORMS = ("x", "reddit", "linkedin", "instagram", "tiktok", "threads", "web", "unknown")
@@ -93,7 +93,7 @@ def _each(found: Column, of) -> Column:
 
 def _spread(df: DataFrame, faults: Column) -> DataFrame:
     """(case_id, ord, path, rule): a row for each fault, in order."""
-    return df.select("case_id", F.posexplode(faults).alias("ord", "v")).select("case_id", "ord", "v.*")
+    return spread(df, ["case_id"], faults, "v", "ord").select("case_id", "ord", "v.*")
 
 
 def as_json(cases: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def ground(excerpts: DataFrame, items: DataFrame) -> DataFrame:
 
 def banned_keys(records: DataFrame, json_col: str = "json") -> DataFrame:
     """(case_id, path, key, rule) of prohibited keys at any depth."""
-    named = records.select("case_id", F.explode(members(json_col)).alias("m")).select("case_id", "m.path", "m.key", F.lower("m.key").alias("_k"))
+    named = spread(records.select("case_id", members(json_col).alias("m")), ["case_id"], F.col("m"), "m").select("case_id", "m.path", "m.key", F.lower("m.key").alias("_k"))
     part = F.lit(False)
     for p in BANNED_PARTS:
         part = part | F.contains("_k", F.lit(p))
@@ -253,7 +253,7 @@ EVIDENCE_KEYS = ("kind", "locator", "detail")
 
 def prohibited_text(texts: DataFrame) -> DataFrame:
     """(case_id, path, rule) of texts (case_id, path, text) that hold a prohibited statement."""
-    return texts.select("case_id", "path", F.explode(F.array_compact(F.array(*[F.when(F.rlike("text", F.lit(rx)), F.lit(name)) for name, rx in PROHIBITED.items()]))).alias("rule"))
+    return spread(texts, ["case_id", "path"], F.array_compact(F.array(*[F.when(F.rlike("text", F.lit(rx)), F.lit(name)) for name, rx in PROHIBITED.items()])), "rule").drop("_place")
 
 
 def _strange(v: Column, path: Column | str, known: tuple[str, ...]) -> Column:
@@ -358,7 +358,7 @@ def record_parts(records: DataFrame, json_col: str = "json") -> DataFrame:
     v = F.col("v")
     listed = lambda name: F.transform(items_or_none(at(v, name)), lambda x, i: text(x, _place(name, i)))
     every = F.concat(listed("audience_assumptions"), listed("uncertainties"), F.flatten(F.transform(items_or_none(at(v, "reader_views")), view)), conclusions(at(v, "cross_reader_patterns"), F.lit("cross_reader_patterns")))
-    return records.select("case_id", variant(json_col).alias("v")).select("case_id", F.explode(F.filter(every, lambda p: p["value"].isNotNull())).alias("p")).select("case_id", "p.*")
+    return spread(records.select("case_id", variant(json_col).alias("v")), ["case_id"], F.filter(every, lambda p: p["value"].isNotNull()), "p").select("case_id", "p.*")
 
 
 def reception_violations(records: DataFrame, cases: DataFrame, json_col: str = "json") -> DataFrame:

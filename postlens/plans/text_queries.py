@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.text import HAN, TERMINATORS, UNIT, WS, han, keep_lines, redact, repeated_ratio, squeeze, sufficient, units
 from ..functions.text import redact_paths as paths_masked
+from ..functions.typed import spread
 from ..operators import detector, style
 from .views import ZH_SQL, documents, table, zh_corpus
 
@@ -132,7 +133,7 @@ _Z = f"z AS (SELECT doc_id, {SQUEEZE('text')} AS s FROM zh WHERE language = 'zh'
 
 @query(f"WITH {ZH_SQL}, {_Z}, {_FOUND} SELECT doc_id, pattern_id, category, n FROM g")
 def style_pattern_counts(spark, sf_dir):
-    scanned = style.scan(zh_corpus(spark, sf_dir)).select("doc_id", F.explode("style_matches").alias("m"))
+    scanned = spread(style.scan(zh_corpus(spark, sf_dir)), ["doc_id"], F.col("style_matches"), "m")
     return scanned.select("doc_id", "m.pattern_id", "m.category", F.col("m.count").alias("n"))
 
 
