@@ -160,12 +160,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     got = sample.select("lang", "h", "text").mapInArrow(run, "lang string, h long, x binary").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
     if not got.num_rows:
         return LangModel()
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(got.num_rows, -1).astype(np.float32)
     names = got.column("lang").to_pylist()
-    del got
+    x = np.empty((got.num_rows, 1 << BITS), np.float32)  # the one copy of the sample beside the table
+    for i, row in enumerate(b for chunk in got.column("x").chunks for b in chunk):
+        x[i] = np.frombuffer(row.as_buffer(), np.float16)
+    del got, row
     scale = 1 / (x.std(0) + 1e-3)  # rare buckets count for more, but not without bound
     x *= scale
-    ratio = float(np.sqrt((x**2).sum(1).mean()))
+    ratio = float(np.sqrt(np.einsum("ij,ij->i", x, x).mean()))
     x /= ratio
     gram = (x @ x.T).astype(np.float64)
     langs = sorted(set(names))

@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,12 +125,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("y"), pa.array([len(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], names=["id", "y", "n", "x"])
 
     table = written(rows.mapInArrow(sparse, f"id {rows.schema['id'].dataType.simpleString()}, y int, n long, x binary"))
-    got = within(table, most_features, seed).select("id", "y", "x").toArrow().sort_by("id")
-    y = np.where(got.column("y").to_numpy() == 1, 1.0, -1.0)
+    got = within(table, most_features, seed).select("id", "y", "x").toArrow()
+    by_id = pc.sort_indices(got.column("id")).to_numpy()  # the rows themselves stay where they are
+    y = np.where(got.column("y").to_numpy() == 1, 1.0, -1.0)[by_id]
     n1, n0 = int((y > 0).sum()), int((y < 0).sum())
     if not n1 or not n0:
         return ToxicModel(np.zeros(1 << BITS), float(np.log((n1 + 1) / (n0 + 1))))
-    x = [np.frombuffer(b.as_buffer(), np.int32) for chunk in got.column("x").chunks for b in chunk]
+    rows_of = [np.frombuffer(b.as_buffer(), np.int32) for chunk in got.column("x").chunks for b in chunk]
+    x = [rows_of[i] for i in by_id]
     share = []
     for sign, n in ((1, n1), (-1, n0)):
         count = np.zeros(1 << BITS)
