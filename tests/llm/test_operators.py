@@ -439,42 +439,3 @@ def test_no_key_is_hot_after_a_common_passage_was_cut(size):
     for k, x, y in zip(key.tolist(), a.tolist(), b.tolist()):
         units.setdefault(k, set()).add(data[x : y + 100].tobytes())
     assert max(map(len, units.values())) < 200, max(map(len, units.values()))
-
-
-@pytest.mark.parametrize("broadcast", [100_000, 0])
-def test_hot_buckets_are_dealt_over_several_and_lose_no_link(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(simhash, "HOT_BUCKET", 20)
-    monkeypatch.setattr(simhash, "HOT_LOCAL", 2)
-    monkeypatch.setattr(simhash, "BROADCAST_BUCKETS", broadcast)
-    r = random.Random(10)
-    flip = lambda x, n: x ^ sum(1 << i for i in r.sample(range(64), n))
-    base = [r.getrandbits(64) for _ in range(4)]
-    prints = sorted({flip(r.choice(base), r.randint(0, 9)) for _ in range(700)} | {r.getrandbits(64) for _ in range(100)} | {0, (1 << 64) - 1})
-    nodes = spark.createDataFrame([(simhash.signed(x), simhash.signed(x)) for x in prints], "fingerprint long, node long").repartition(3)
-    masks = simhash.block_masks(3, 5)
-    assert simhash.hot_buckets(nodes, masks).count() > 4
-    parent = {x: x for x in prints}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for k, x in enumerate(prints):
-        for y in prints[:k]:
-            if (x ^ y).bit_count() <= 3:
-                parent[root(x)] = root(y)
-    other = {x: x for x in prints}
-
-    def top(x):
-        while other[x] != x:
-            x = other[x]
-        return x
-
-    found = [(e.u % (1 << 64), e.v % (1 << 64)) for e in simhash.links(nodes, 3).collect()]
-    assert all((u ^ v).bit_count() <= 3 for u, v in found)
-    for u, v in found:
-        other[top(u)] = top(v)
-    same = lambda of: sorted(sorted(x for x in prints if of(x) == t) for t in {of(x) for x in prints})
-    assert same(root) == same(top) and max(map(len, same(root))) > 50
-    assert all(sum(sub) | m == (1 << 64) - 1 and len(sub) == 4 for m in masks for sub in [simhash.sub_masks(m, 3)])
