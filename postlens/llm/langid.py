@@ -50,6 +50,8 @@ FAMILIES = {
 BITS, ORDERS = 13, (1, 2, 3, 4)
 #: When a language's sample is drawn, 2^SLICE_BITS ranges of its hashes are counted first.
 SLICE_BITS = 12
+#: Buckets of the sample that are widened to single precision at once.
+COLUMNS = 512
 SALTS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 
 _letters = LOWER.copy()
@@ -157,30 +159,42 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 x = feature_rows(piece.column("text")).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([piece.column("lang"), piece.column("h"), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "h", "x"])
 
-    got = sample.select("lang", "h", "text").mapInArrow(run, "lang string, h long, x binary").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
-    if not got.num_rows:
+    got = sample.select("lang", "h", "text").mapInArrow(run, "lang string, h long, x binary").toArrow()
+    names, h = got.column("lang").to_pylist(), got.column("h").to_pylist()
+    order = sorted(range(len(names)), key=lambda i: (names[i], h[i]))
+    at = np.empty(len(names), np.int64)
+    at[order] = np.arange(len(names))
+    x = np.empty((len(names), 1 << BITS), np.float16)  # the one copy of the sample beside the table
+    for k, row in enumerate(b for chunk in got.column("x").chunks for b in chunk):
+        x[at[k]] = np.frombuffer(row.as_buffer(), np.float16)
+        del row
+    del got
+    return train(x, [names[i] for i in order])
+
+
+def train(x: np.ndarray, names: list[str]) -> LangModel:
+    """The model of feature rows (float16) and their languages. Only COLUMNS of them are widened at once, and their products are single precision."""
+    if not len(x):
         return LangModel()
-    names = got.column("lang").to_pylist()
-    x = np.empty((got.num_rows, 1 << BITS), np.float32)  # the one copy of the sample beside the table
-    for i, row in enumerate(b for chunk in got.column("x").chunks for b in chunk):
-        x[i] = np.frombuffer(row.as_buffer(), np.float16)
-    del got, row
-    scale = 1 / (x.std(0) + 1e-3)  # rare buckets count for more, but not without bound
-    x *= scale
-    ratio = float(np.sqrt(np.einsum("ij,ij->i", x, x).mean()))
-    x /= ratio
-    gram = (x @ x.T).astype(np.float64)
+    cuts = [slice(c, c + COLUMNS) for c in range(0, x.shape[1], COLUMNS)]
+    scale = np.concatenate([1 / (x[:, c].astype(np.float32).std(0) + 1e-3) for c in cuts])  # rare buckets count for more, but not without bound
+    gram = np.zeros((len(x), len(x)), np.float32)
+    for c in cuts:
+        part = x[:, c] * scale[c]
+        gram += part @ part.T
+    ratio = float(np.sqrt(gram.diagonal().mean()))
+    gram /= ratio**2
     langs = sorted(set(names))
     of = np.array([langs.index(name) for name in names])
     fams = sorted({family_of(lang) for lang in langs})
     fam_of = np.array([fams.index(family_of(lang)) for lang in langs])[of]
-    planes, bias, pairs = [], [], []
+    betas, bias, pairs = [], [], []
 
     def plane(rows: np.ndarray, y: np.ndarray) -> None:
-        beta, b = l2_svm(gram[np.ix_(rows, rows)], y, balanced(y))
+        beta, b = l2_svm(gram if len(rows) == len(gram) else gram[np.ix_(rows, rows)], y, balanced(y))
         whole = np.zeros(len(x), np.float32)
         whole[rows] = beta
-        planes.append(((whole @ x) * scale / ratio).astype(np.float32))
+        betas.append(whole)
         bias.append(b)
 
     for f in range(len(fams)):
@@ -191,7 +205,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 rows = np.flatnonzero((of == i) | (of == j))
                 plane(rows, np.where(of[rows] == i, 1.0, -1.0))
                 pairs.append((i, j))
-    return LangModel(langs, fams, np.stack(planes), np.array(bias), pairs)
+    del gram
+    whole = np.stack(betas)
+    planes = np.concatenate([(whole @ (x[:, c] * (scale[c] / ratio))) * scale[c] / ratio for c in cuts], axis=1).astype(np.float32)
+    return LangModel(langs, fams, planes, np.array(bias), pairs)
 
 
 def predict(docs: DataFrame, model: LangModel, text_col: str = "text") -> DataFrame:

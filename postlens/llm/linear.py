@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 
@@ -9,24 +11,38 @@ def l2_svm(gram: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     """Minimises ridge/2 |w|^2 + 1/2 sum weight_i max(0, 1 - y_i (w x_i + b))^2; returns (beta, b), w = sum beta_i x_i.
 
     Newton's method on the set of rows inside the margin, in terms of the Gram
-    matrix; the bias is a weakly regularised constant feature.
+    matrix (float32 or float64; the bias is a weakly regularised constant
+    feature). At most one float64 matrix of its size stands beside it, and the
+    solver's own copy.
     """
     y = y.astype(np.float64)
-    full = gram + 1.0  # the constant feature
     active = np.ones(len(y), bool)
     beta = np.zeros(len(y))
     for _ in range(rounds):
         at = np.flatnonzero(active)
         beta = np.zeros(len(y))
         if len(at):
-            beta[at] = np.linalg.solve(full[np.ix_(at, at)] + np.diag(ridge / weight[at]), y[at])
-        now = y * (full @ beta) < 1
+            inside = np.empty((len(at), len(at)))
+            for a, rows in blocks(at):
+                inside[a : a + len(rows)] = gram[np.ix_(rows, at)]
+            inside += 1.0  # the constant feature
+            inside.flat[:: len(at) + 1] += ridge / weight[at]
+            beta[at] = np.linalg.solve(inside, y[at])
+            del inside
+        margin = np.concatenate([np.zeros(0), *((gram[rows[0] : rows[-1] + 1].astype(np.float64) + 1.0) @ beta for _, rows in blocks(np.arange(len(y))))])
+        now = y * margin < 1
         if (now == active).all():
             break
         active = now
     return beta, float(beta.sum())
 
 
+def blocks(rows: np.ndarray, size: int = 256) -> Iterator[tuple[int, np.ndarray]]:
+    """(position, rows) of slices of rows."""
+    for a in range(0, len(rows), size):
+        yield a, rows[a : a + size]
+
+
 def l2_svm_sparse(rows: list[np.ndarray], square: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, epochs: int = 12, tolerance: float = 0.1, seed: int = 5) -> tuple[np.ndarray, float]:
     """The same problem over rows of present features, by dual coordinate descent; memory is that of the rows.
 

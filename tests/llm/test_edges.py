@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -448,3 +449,35 @@ def test_pipeline_is_its_stages_one_by_one(spark, tables):
 def test_queries_return_the_columns_of_their_contracts(spark, tables):
     got = entries.QUERIES["op1_language_id"](spark, tables)
     assert got.columns == ["doc_id", "held_out", "lang_pred", "score"] and got.where("held_out is null").count() == 0
+
+
+def test_svm_memory():
+    """op1_language_id, pipeline: what the driver's fit holds beside the Gram matrix is one matrix in double precision, not four."""
+    n = 1200
+    x = np.random.default_rng(3).normal(size=(n, 40)).astype(np.float32)
+    y = np.where(x[:, 0] + 0.5 * x[:, 1] > 0, 1.0, -1.0)
+    gram = x @ x.T
+    tracemalloc.start()
+    beta, b = linear.l2_svm(gram, y, linear.balanced(y))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.7 * 8 * n * n, peak / (8 * n * n)
+    assert ((x @ (beta @ x) + b > 0) == (y > 0)).mean() > 0.98
+
+
+def test_language_fit_by_parts():
+    """op1_language_id: the fit by parts of the buckets is that of all buckets at once."""
+    rng = np.random.default_rng(4)
+    names = ["de"] * 30 + ["en"] * 30 + ["fr"] * 30
+    x = (rng.poisson(0.3, (90, 1 << langid.BITS)) / 100).astype(np.float16)
+    for k in range(3):
+        x[30 * k : 30 * k + 30, 3000 * k : 3000 * k + 40] += np.float16(0.02)
+    model = langid.train(x, names)
+    wide = x.astype(np.float64)
+    wide *= (scale := 1 / (wide.std(0) + 1e-3))
+    ratio = np.sqrt((wide**2).sum(1).mean())
+    y = np.repeat([1.0, 1.0, -1.0], 30)  # germanic against the rest
+    beta, b = linear.l2_svm(wide @ wide.T / ratio**2, y, linear.balanced(y))
+    want = beta @ wide * scale / ratio**2
+    assert model.families == ["germanic", "romance"] and model.pairs == [(0, 1)]
+    assert np.abs(model.planes[0] - want).max() < 1e-3 * np.abs(want).max() and abs(model.bias[0] - b) < 1e-3
