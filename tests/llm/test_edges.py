@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from postlens.llm import boosting, decontam, entries, langid, linear, mixing, pii, pst, quality, repetition, simhash, suffix_dedup, toxicity
-from postlens.llm.common import CHUNK_BYTES, remainder, shared_folder
+from postlens.llm.common import CHUNK_BYTES, mix64, remainder, shared_folder, span_hash, words_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = "long words of a text that is over two megabytes in all 12 " * (CHUNK_BYTES // 50)
@@ -481,3 +481,38 @@ def test_language_fit_by_parts():
     want = beta @ wide * scale / ratio**2
     assert model.families == ["germanic", "romance"] and model.pairs == [(0, 1)]
     assert np.abs(model.planes[0] - want).max() < 1e-3 * np.abs(want).max() and abs(model.bias[0] - b) < 1e-3
+
+
+def test_lm_words_of_trained_rows_are_not_gathered_again(spark, monkeypatch):
+    """op4_lm_score: with `trained` only other rows are read for words, and all scores are the same."""
+    texts = [*sentences(8, 60), None, "", "Mixed CASE words", "word " * 40]
+    d = make(spark, [(i, t) for i, t in enumerate(texts * 2)])
+    trained = F.col("doc_id") % 3 != 1
+    model, training = pst.fit(d.where(trained), head=15)
+    want = {r.doc_id: r for r in pst.score(d, model, training).collect()}
+    asked, gather = [], pst.lexicon
+    monkeypatch.setattr(pst, "lexicon", lambda docs, *a: asked.append(docs.count()) or gather(docs, *a))
+    got = {r.doc_id: r for r in pst.score(d, model, training, trained=trained).collect()}
+    assert asked == [sum(i % 3 == 1 for i in range(len(texts) * 2))] and got.keys() == want.keys()
+    for i, r in want.items():
+        assert (got[i].n_tokens, got[i].n_known) == (r.n_tokens, r.n_known)
+        assert abs(got[i].score - r.score) < 1e-9 and abs(got[i].base_score - r.base_score) < 1e-9
+
+
+def test_places_and_span_hashes():
+    """op4_lm_score: look-ups agree with a binary search, hashes with the polynomial, and first bytes with slices."""
+    rng = np.random.default_rng(5)
+    keys = np.unique(np.concatenate([rng.integers(-(1 << 63), (1 << 63) - 1, 500), np.arange(1000, 1200), [-(1 << 63), (1 << 63) - 1]]))
+    for known in (keys, keys[:0], keys[:-1]):
+        asked = np.concatenate([keys, keys[:-1] + 1, keys[1:] - 1])
+        at, hit = pst.Places(known).find(asked)
+        assert (at == np.searchsorted(known, asked)).all() and (hit == np.isin(asked, known)).all()
+    text = ("Ein langes Wort: " + "x" * 5000 + " é 12 " + "donaudampfschifffahrtsgesellschaft ") * 3
+    data, off = pst.stream(pa.array([text, None, "ab"]))
+    starts, ends, _ = words_of(data, off)
+    base, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
+    byte = [int(x) for x in mix64(np.arange(1, 257, dtype=np.uint64))]
+    slow = [(sum(byte[c] * pow(base, k, 1 << 64) for k, c in enumerate(data[a:b].tolist())) + int(b - a)) & mask for a, b in zip(starts, ends)]
+    assert span_hash(data, starts, ends).tolist() == mix64(np.array(slow, np.uint64)).tolist()
+    first = pst.first_bytes(data, starts, ends).to_pylist()
+    assert first == [(bytes(data[a:b]) + b" ")[: pst.DEEP] if b - a >= pst.DEPTH else None for a, b in zip(starts, ends)]
