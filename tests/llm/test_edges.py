@@ -516,3 +516,18 @@ def test_places_and_span_hashes():
     assert span_hash(data, starts, ends).tolist() == mix64(np.array(slow, np.uint64)).tolist()
     first = pst.first_bytes(data, starts, ends).to_pylist()
     assert first == [(bytes(data[a:b]) + b" ")[: pst.DEEP] if b - a >= pst.DEPTH else None for a, b in zip(starts, ends)]
+
+
+def test_lm_context_levels_are_one_table(spark):
+    """op4_lm_score: counts of next symbols after contexts of all lengths, against a slow count; the empty context stays at any corpus size."""
+    data, off = pst.stream(pa.array(["ein zwei ein", "", "ÿ é"]))
+    slow, grams = Counter(), Counter()
+    for a, b in zip(off[:-1], off[1:]):
+        for i in range(a + pst.DEPTH, b):
+            grams[int.from_bytes(bytes(data[i - pst.DEPTH : i + 1]))] += 1
+            for k in range(pst.DEPTH + 1):
+                slow[k << 8 * pst.DEPTH | int.from_bytes(bytes(data[i - k : i])), int(data[i])] += 1
+    levels = pst.levels_of(spark.createDataFrame(list(grams.items()), "key long, n long"))
+    assert {(r.node, r.sym): r.n for r in levels.collect()} == slow
+    often = pst.frequent_contexts(levels, 10**6).collect()
+    assert {r.node for r in often} == {0} and {r.total for r in often} == {sum(grams.values())}
