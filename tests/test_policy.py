@@ -158,3 +158,8 @@ def test_blank_documents_make_no_empty_cases(spark, tmp_path):
     got = sorted(tuple(r) for r in Q.case_violations(spark, blank).collect())
     assert got == sorted(tuple(r) for r in Q.case_violations(spark, words).collect())
     assert [r[0] for r in got if r[1:] == ("content", "empty")] == ["37"]
+
+
+def test_blank_documents_and_first_violations(spark, tmp_path):
+    words, blank = _blank_documents(spark, tmp_path)
+    assert sorted(tuple(r) for r in Q.first_case_violation(spark, blank).collect()) == sorted(tuple(r) for r in Q.first_case_violation(spark, words).collect())
