@@ -169,7 +169,7 @@ SELECT doc_id, regexp_matches(s, '(^|[^0-9A-Za-z_一-鿿])(19|20)[0-9][0-9]([^0-
   regexp_matches(s, {quoted(P.GAME)}) AND regexp_matches(s, {quoted(P.HISTORY)}) AS satire, contains(s, '#') AS hashtags FROM z
 """)
 def style_context(spark, sf_dir):
-    s = style.scan(zh_corpus(spark, sf_dir)).where("style_assessment <> 'not_applicable'")
+    s = style.scan(zh_corpus(spark, sf_dir).where(style.applicable()))
     has = lambda c, v, name: F.array_contains(f"style_{c}", v).alias(name)
     return s.select("doc_id", has("counter_signals", "concrete_dates", "dates"), has("counter_signals", "personal_or_comedic_voice", "voice"), has("confounds", "game_history_satire", "satire"), has("confounds", "hashtags", "hashtags"))
 
